@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, licenses, media, secrets, sharding, tokenfiles
+from . import bpe, decontaminate, jaccard, langid, licenses, media, secrets, sharding, substrings, tokenfiles
 from .common import table
 
 
@@ -52,6 +52,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), definition)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pair of a document and a benchmark item that it contains."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -61,7 +74,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_license_scans, op3_byte_bpe, op4_language_id, op5_token_files, op9_media_columns, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_sharding, op2_license_scans, op3_byte_bpe, op4_language_id, op5_token_files, op6_ngram_jaccard_join, op7_substring_dedup, op8_decontamination, op9_media_columns, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,23 +1,58 @@
-"""From raw documents to token counts: the stages of a training-data pipeline, each stored before the next one."""
+"""From raw documents to token counts: five stages, each stored as Parquet and read back before the next.
+
+Every stage works on all that the one before kept, and all but the last return the columns of documents:
+
+1. language: documents whose language can't be told (no text, no letters) go; of the rest, rows without a label get the prediction.
+2. near copies: one document of each group of the n-gram Jaccard join stays, the one with the smallest id. Rows with null ids stay.
+3. decontamination: documents that contain a benchmark item go.
+4. secrets: secrets in texts are replaced by a mark, and n_chars is counted anew where a text changed.
+5. tokens: byte-level BPE, encoded and decoded; the digests of the operator's query.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaykit.llm import bpe, langid, secrets
+from assaykit.llm import bpe, decontaminate, jaccard, langid, secrets
 from assaykit.llm.common import stored, table
 from assaykit.llm.queries import byte_codec
 
 #: SQL has no suffix automata, CRFs or BPE; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sample = langid.labelled_sample(docs, langid.crc_remainder("doc_id") != 2)
+    found = langid.identify(docs, sample).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = jaccard.groups(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = secrets.redact(docs.withColumn("_before", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return marked.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, byte_codec()).select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secret_scan), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
