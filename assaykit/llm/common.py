@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder that the driver and all executors see: under spark.checkpoint.dir where the session sets it, else (tests on one machine) a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='assaykit-')}"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

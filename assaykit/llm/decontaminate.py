@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
 
 Words are lower-cased (A-Z) and freed of ASCII punctuation around them; shingles are five words (the whole item, if it
-has fewer). Windows have an item's number of words. A window without any shingle of an item can't be similar to it, so windows are
-laid where a shingle of the document stands in the place that it has in some item.
+has fewer). Windows have an item's number of words, at every position; where they reach over the document's ends they are cut
+there. A window without any shingle of an item can't be similar to it, so only windows around shared shingles are hashed.
 
 Each window and item has a 64-bit SimHash of its shingles. Bits are dealt over BLOCKS blocks; two
 fingerprints within RADIUS bits agree up to RADIUS // BLOCKS bits in one of the blocks, so looking up each block's
@@ -29,6 +29,7 @@ K, LEAST, RADIUS, BLOCKS = 5, 0.75, 23, 12
 #: Bytes of items that one pass over the documents carries.
 ITEM_BYTES = 8 << 20
 
+_FAR = 1 << 40  # beyond any number of words in a batch
 _SIZES = [64 // BLOCKS + (b < 64 % BLOCKS) for b in range(BLOCKS)]
 _SHIFTS = [sum(_SIZES[:b]) for b in range(BLOCKS)]
 
@@ -66,17 +67,24 @@ class Finder:
         hashes, owner, _, _ = words_of([t for _, t in data], lower=True, trim=True)
         lengths = np.bincount(owner, minlength=len(data))
         first = np.cumsum(lengths) - lengths
-        self.ids, self.words, self.k, self.sets, place = [], [], [], [], {}
+        self.ids, self.words, self.k, self.sets, sizes = [], [], [], [], {}
         for j, (i, _) in enumerate(data):
             if n := int(lengths[j]):
                 k = min(K, n)
                 own = hashes[first[j] : first[j] + n]
-                grams, at = windows_of(own, np.zeros(n, np.int64), k)
-                for g, o in zip(grams.tolist(), at.tolist(), strict=True):
-                    place.setdefault(k, {}).setdefault(g, set()).add((n, o))
+                grams, _ = windows_of(own, np.zeros(n, np.int64), k)
+                for g in grams.tolist():
+                    sizes.setdefault(k, {}).setdefault(g, set()).add(n)
                 self.ids.append(i), self.words.append(n), self.k.append(k), self.sets.append(np.unique(grams))
-        #: by shingle length: known shingles in order, and where each may stand in a window of how many words
-        self.places = {k: (np.array(sorted(p), np.uint64), [sorted(p[g]) for g in sorted(p)]) for k, p in place.items()}
+        #: by shingle length: known shingles in order, and for each item length in words which of them such items have
+        self.sizes = {}
+        for k, of in sizes.items():
+            known = sorted(of)
+            has: dict[int, np.ndarray] = {}
+            for i, g in enumerate(known):
+                for n in of[g]:
+                    has.setdefault(n, np.zeros(len(known), bool))[i] = True
+            self.sizes[k] = np.array(known, np.uint64), has
         every, counts = np.unique(np.concatenate(self.sets), return_counts=True) if self.sets else (np.zeros(0, np.uint64), np.zeros(0))
         self.known, self.weight = every, 1 + np.log((len(self.ids) + 1) / (counts + 1))
         self.rare = 1 + np.log(len(self.ids) + 1.0)
@@ -95,18 +103,21 @@ class Finder:
         hashes, owner, _, _ = words_of(texts, lower=True, trim=True)
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         windows: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
-        for k, (known, places) in self.places.items():
+        for k, (known, has) in self.sizes.items():
             grams, at = windows_of(hashes, owner, k)
             if not len(grams):
                 continue
             spot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            for p in np.flatnonzero(known[spot] == grams).tolist():
-                word = int(at[p])
-                d = int(owner[word])
-                lo, hi = int(bounds[d]), int(bounds[d + 1])
-                for n, o in places[spot[p]]:
-                    a, b = max(lo, word - o), min(hi, word - o + n)
-                    windows.setdefault((b - a, k), set()).add((a, b, d))
+            hit = np.flatnonzero(known[spot] == grams)
+            if not len(hit):
+                continue
+            for n, member in has.items():
+                p = at[hit[member[spot[hit]]]]
+                starts = np.unique(owner[p][:, None] * _FAR + (p[:, None] - np.arange(n - k + 1)) + n)
+                d, starts = starts // _FAR, starts % _FAR - n
+                first, end = np.maximum(bounds[d], starts), np.minimum(bounds[d + 1], starts + n)
+                for row in set(zip(first.tolist(), end.tolist(), d.tolist(), strict=True)):
+                    windows.setdefault((row[1] - row[0], k), set()).add(row)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for (n, k), found in windows.items():
             rows = sorted(found)

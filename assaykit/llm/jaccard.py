@@ -385,13 +385,14 @@ def _late_cells(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def _with_equal_ids(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows with one id and different texts: each distinct (id, text) gets a number, and texts of one id are tied."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("number"))
-    found = groups(rows.dropDuplicates(["number"]), doc_id="number", text="text").withColumnsRenamed({"doc_id": "number", "component_id": "c"})
-    known = rows.select("doc_id", "number").join(found, "number").where("doc_id IS NOT NULL")
-    known = stored(known, "numbered")
+    every = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    unnamed = every.where("doc_id IS NULL").mapInArrow(_features, _FEATURES).where("chunk IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    rows = every.where("doc_id IS NOT NULL").withColumn("number", F.xxhash64("doc_id", "text"))
+    found = stored(groups(rows.dropDuplicates(["number"]), doc_id="number", text="text").withColumnsRenamed({"doc_id": "number", "component_id": "c"}), "numbered")
+    known = rows.select("doc_id", "number").join(found, "number")
     # components over ids: ids that share a text's component are tied through the smallest of them
-    ties = known.where("n_shingles > 0").select("doc_id", "c").distinct()
+    ties = stored(known.where("n_shingles > 0").select("doc_id", "c").distinct(), "ties")
     least = ties.groupBy("c").agg(F.min("doc_id").alias("m"))
     over = components(ties.join(least, "c").select("doc_id", "m"))
-    sized = rows.select("doc_id", "number").join(found.select("number", "n_shingles"), "number")
-    return sized.join(over, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = known.join(over, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(unnamed)

@@ -32,13 +32,14 @@ def crc_remainder(doc_id: str, parts: int = 4) -> Column:
 
 
 def labelled_sample(df: DataFrame, where: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 48, chars_per_lang: int = 24_000) -> dict[str, str]:
-    """At most docs_per_lang whole texts of each language, joined until chars_per_lang is reached; longer texts are not taken.
+    """At most docs_per_lang whole texts of each language, joined until chars_per_lang is reached; texts beyond a third of it are not taken.
 
-    Rows are chosen by the smallest hash of their id in each of docs_per_lang hash buckets: two passes, the first over ids only.
+    Rows are chosen by the smallest hash of their id in each of docs_per_lang hash buckets, texts of 200 characters or more
+    before shorter ones: two passes, the first over ids and lengths only.
     """
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    rows = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.length(text).between(200, chars_per_lang // 3)).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(docs_per_lang)).alias("_bucket"), key.alias("_hash"), F.col(text).alias("_text"))
-    least = rows.groupBy("_lang", "_bucket").agg(F.min("_hash").alias("_hash"))
+    rows = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.length(text).between(1, chars_per_lang // 3)).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(docs_per_lang)).alias("_bucket"), key.alias("_hash"), F.col(text).alias("_text"))
+    least = rows.groupBy("_lang", "_bucket").agg(F.min(F.struct(F.length("_text") < 200, "_hash"))["_hash"].alias("_hash"))
     chosen = [(r["_lang"], r["_hash"]) for r in least.orderBy("_lang", "_bucket").collect()]  # docs_per_lang rows a language
     if not chosen:
         return {}
@@ -111,7 +112,9 @@ def suffix_automaton(symbols: list[int]) -> np.ndarray:
 
 
 class CrossParser:
-    """Automata of all languages in one transition table; where a match ends, the entry holds the restart and a flag."""
+    """Automata of all languages in one transition table; where a phrase starts, the entry holds its first state and a flag.
+
+    A symbol that the sample lacks is a phrase of its own."""
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
@@ -123,6 +126,7 @@ class CrossParser:
             dead = arcs < 0
             arcs = np.where(dead, restart[None, :], arcs) + base
             arcs *= ALPHABET
+            dead[0] = True  # at the root each symbol starts a phrase
             tables.append(np.where(dead, arcs | _NEW, arcs).astype(np.int32))
             roots.append(base * ALPHABET)
             base += len(arcs)
@@ -165,7 +169,7 @@ class CrossParser:
         width = live.sum(axis=1)
         n = len(self.langs)
         state = np.broadcast_to(self.roots, (len(owner), n)).copy()
-        found = np.ones((len(owner), n), np.int32)
+        found = np.zeros((len(owner), n), np.int32)
         for t in range(int(size[0])):
             w = width[t]
             to = self.arcs[state[:w] + grid[t, :w, None]]

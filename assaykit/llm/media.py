@@ -25,7 +25,7 @@ from .common import annotate, utf8
 WIDTH, HEIGHT = 16, 12
 SAMPLES = WIDTH * HEIGHT
 FPS = 25
-BINS, AROUND, SPREAD = 16, 6, 2.0
+BINS, AROUND, SPREAD = 16, 6, 4.0
 #: Huffman code lengths of the categories 0 to 8 (bits of a difference): a fixed table written in each frame.
 LENGTHS = {5: 2, 6: 2, 4: 3, 7: 3, 3: 4, 0: 5, 2: 6, 8: 7, 1: 7}
 
