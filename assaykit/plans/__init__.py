@@ -1 +1,6 @@
 """Query catalogue over the standard tables, with SQL twins."""
+
+from . import evidence, measures, records
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "evidence", "measures", "records"]

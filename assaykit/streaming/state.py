@@ -22,7 +22,7 @@ def latest(df: DataFrame, *, key: str, at: str, order: str, now: Column, ttl_hou
 
 def sliding_limit(df: DataFrame, *, key: str, at: str, order: str, seconds: int = RATE_WINDOW_SECONDS, most: int = RATE_MOST) -> DataFrame:
     """df with recent: requests of the key in the seconds before (itself included), and limited: beyond the limit."""
-    micros = F.unix_micros(at)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return df.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("limited", F.col("recent") > most)
 
