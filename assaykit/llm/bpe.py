@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import annotate, utf8
 
 #: Pre-tokens that a task remembers; beyond it the memory starts anew (speed only, never results).
-CACHE = 600_000
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -105,6 +105,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Bytes of text whose words are hashed together.
+SPAN = 1 << 18
 _PLAIN = np.ones(256, bool)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = False
 
@@ -138,10 +140,16 @@ def words_of(texts: list[bytes], lower: bool = False, trim: bool = False) -> tup
         where = np.flatnonzero(_PLAIN[buffer])
         some = rank[ends] > rank[starts]
         starts, ends = where[rank[starts[some]]], where[rank[ends[some]] - 1] + 1
-    powers, inverses = _power_tables(len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buffer] * powers[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    table = _BYTE_LOWER if lower else _BYTE
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # some words at a time, so that the sums stay small
+        to = int(np.searchsorted(starts, starts[at] + SPAN))
+        s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        powers, inverses = _power_tables(int(e[-1]) + 1)
+        sums = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.cumsum(table[buffer[starts[at] : ends[to - 1]]] * powers[:-1], out=sums[1:])
+        hashes[at:to] = mix((sums[e] - sums[s]) * inverses[s] + (e - s).astype(np.uint64) * _ODD)
+        at = to
     owner = np.searchsorted(offsets, starts, side="right") - 1
     base = offsets[owner]
     return hashes, owner, starts - base, ends - base

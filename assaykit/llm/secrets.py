@@ -246,7 +246,7 @@ class Tagger:
 
     def tag(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words that are not O, and their labels."""
-        if len(self.number) > 500_000:
+        if len(self.number) > 200_000:
             self.number.clear()
         for token in set(words).difference(self.number):
             self.number[token] = self._number(token)

@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, utf8, windows_of, words_of
+from .common import mix, slices, utf8, windows_of, words_of
 
 WINDOW = 13
 #: Text that one bucket's hashes come from, and that one batch of a task holds.
-BUCKET_BYTES, BATCH_BYTES = 8 << 20, 8 << 20
+BUCKET_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -85,12 +85,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
     """Ids, text keys and texts of about BATCH_BYTES at a time, by id."""
     ids, keys, texts, size = [], [], [], 0
     for batch in batches:
-        for i, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
-            ids.append(i), keys.append(k), texts.append(x)
-            size += len(x)
-            if size >= BATCH_BYTES:
-                yield _by_id(ids, keys, texts)
-                ids, keys, texts, size = [], [], [], 0
+        for part in slices(batch):
+            for i, k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
+                ids.append(i), keys.append(k), texts.append(x)
+                size += len(x)
+                if size >= BATCH_BYTES:
+                    yield _by_id(ids, keys, texts)
+                    ids, keys, texts, size = [], [], [], 0
     if ids:
         yield _by_id(ids, keys, texts)
 

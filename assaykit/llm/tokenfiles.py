@@ -33,7 +33,7 @@ END = 1
 NULL_ID = -(1 << 63)
 MAGIC = b"TKF1"
 #: Distinct words whose ids a task remembers (speed only).
-CACHE = 600_000
+CACHE = 300_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------
