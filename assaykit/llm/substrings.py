@@ -6,10 +6,11 @@ input. Repeated windows merge into maximal removal intervals.
 1. Each task hashes the windows of some documents at a time. A window that a smaller document of the same task
    has too is marked at once (so a window that millions of documents share leaves a task once at most for each batch). The
    hashes of the others are packed by bucket.
-2. Each bucket of hashes finds the smallest document of each window and returns a bit for each window of each document.
-3. Documents meet their bits, recompute the windows, and merge them.
+2. Each bucket of hashes finds the smallest document of each window and answers with a bit for each window, packed by
+   homes: groups of documents by a hash of id and text.
+3. In each home, documents meet their bits, recompute the windows, and merge them.
 
-Buckets hold about BUCKET_BYTES of text each, at any size of input. Hashes have as many bytes as keep the chance of any
+Buckets hold about BUCKET_BYTES of text each and homes HOME_BYTES, at any size of input. Hashes have as many bytes as keep the chance of any
 false match in the whole input below 1 in 256 (7 for 1 GB, 10 for 100 TB).
 
 Null texts have no words. Documents with null ids keep all words and take none from others. Rows with equal ids don't take
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, slices, utf8, windows_of, words_of
 
 WINDOW = 13
-#: Text that one bucket's hashes come from, and that one batch of a task holds.
-BUCKET_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+#: Text that one bucket's hashes come from, that one batch of a task holds, and that meets its answers in one home.
+BUCKET_BYTES, BATCH_BYTES, HOME_BYTES = 8 << 20, 4 << 20, 4 << 20
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -127,7 +128,7 @@ def _hash_windows(window: int, buckets: int, width: int):
     return run
 
 
-def _judge_bucket(width: int):
+def _judge_bucket(width: int, homes: int):
     def run(key, table):
         heads, known, hashes = [], [], []
         for docs, k, h in zip(*(table.column(c).to_pylist() for c in ("docs", "known", "hashes")), strict=True):
@@ -140,44 +141,72 @@ def _judge_bucket(width: int):
         open_ = np.flatnonzero(~bits)
         bits[open_] = _marked(_narrow(np.frombuffer(b"".join(hashes), np.uint8), width), ids[open_])
         ends = np.cumsum(head["n"], dtype=np.int64)
-        some = np.flatnonzero(np.add.reduceat(bits, ends - head["n"]) > 0) if len(bits) else []
-        packed = [np.packbits(bits[ends[i] - head["n"][i] : ends[i]]).tobytes() for i in some]
-        n = len(packed)
-        return pa.table({"_id": pa.array(head["id"][some], pa.int64()), "_key": pa.array(head["key"][some], pa.int64()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), "bits": pa.array(packed, pa.binary())})
+        some = np.flatnonzero(np.add.reduceat(bits, ends - head["n"]) > 0) if len(bits) else np.zeros(0, np.int64)
+        home = (((head["key"][some].view(np.uint64) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        some, home = some[order], home[order]
+        edges = np.flatnonzero(np.diff(home, prepend=-1, append=-1))
+        rows = {"home": [], "keys": [], "counts": [], "bits": []}
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = some[a:b]
+            rows["home"].append(int(home[a])), rows["keys"].append(head["key"][own].tobytes()), rows["counts"].append(head["n"][own].tobytes())
+            rows["bits"].append(b"".join(np.packbits(bits[ends[i] - head["n"][i] : ends[i]]).tobytes() for i in own.tolist()))
+        n = len(rows["home"])
+        return pa.table({"home": pa.array(rows["home"], pa.int64()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("keys", "counts", "bits")}})
 
     return run
 
 
+def _answers(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    """By text key: (bucket, packed bits)."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for bucket, keys, counts, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "counts", "bits")), strict=True):
+        at = 0
+        for key, n in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
+            size = -(-n // 8)
+            out.setdefault(key, []).append((bucket, bits[at : at + size]))
+            at += size
+    return out
+
+
 def repeated(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """df's ids and texts with intervals: maximal runs of words [first, end) to remove, and keep: the words' number."""
     import pyspark.sql.types as T
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("_id")).withColumn("_key", F.xxhash64("_id", "text"))
     size = max(1, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    buckets = -(-size // BUCKET_BYTES)
+    buckets, homes = -(-size // BUCKET_BYTES), -(-size // HOME_BYTES)
     width = min(16, max(5, math.ceil((2 * math.log2(size) + 3 - math.log2(buckets)) / 8)))  # words have two bytes or more: size / 2 windows at most
-    packed = rows.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_key", "text").mapInArrow(_hash_windows(window, buckets, width), "bucket long, docs binary, known binary, hashes binary")
-    judged = packed.groupBy("bucket").applyInArrow(_judge_bucket(width), "_id long, _key long, bucket long, bits binary")
-    marks = judged.groupBy("_id", "_key").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
-    joined = rows.join(marks, ["_id", "_key"], "left").select("doc_id", "text", "marks")
+    named = rows.where("_id IS NOT NULL AND text IS NOT NULL")
+    packed = named.select("_id", "_key", "text").mapInArrow(_hash_windows(window, buckets, width), "bucket long, docs binary, known binary, hashes binary")
+    judged = packed.groupBy("bucket").applyInArrow(_judge_bucket(width, homes), "home long, bucket long, keys binary, counts binary, bits binary")
     interval = T.StructType([T.StructField("first", T.LongType(), False), T.StructField("end", T.LongType(), False)])
-    schema = T.StructType([df.schema[doc_id].__class__("doc_id", df.schema[doc_id].dataType), T.StructField("text", T.StringType()), T.StructField("intervals", T.ArrayType(interval, False)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("text", T.StringType()), T.StructField("intervals", T.ArrayType(interval, False)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(ids: pa.ChunkedArray | pa.Array, texts: pa.ChunkedArray | pa.Array, marks: Iterator) -> list:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        form = to_arrow_schema(schema)
+        out = [_merge(x, m, window, buckets) for x, m in zip(utf8(texts), marks, strict=True)]
+        forms = list(to_arrow_schema(schema))[2:]
+        columns = zip(*out, strict=True) if out else [[]] * len(forms)
+        return [ids, texts, *(pa.array(c, f.type) for c, f in zip(columns, forms, strict=True))]
+
+    def at_home(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = _answers(right)
+        return pa.table(merged(left.column("doc_id"), left.column("text"), (answers.get(k) for k in left.column("_key").to_pylist())), names=schema.names)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [_merge(x, marks, window, buckets) for x, marks in zip(utf8(part.column(1)), part.column(2).to_pylist(), strict=True)]
-                columns = [part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(form)[2:], strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, schema=form)
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays(merged(part.column(0), part.column(1), (None for _ in range(part.num_rows))), names=schema.names)
 
-    return joined.mapInArrow(merge, schema)
+    home = F.shiftright(F.shiftrightunsigned("_key", 32) * F.lit(homes).cast("long"), 32)
+    texts = named.select("doc_id", "text", "_key", home.alias("home"))
+    known = texts.groupBy("home").cogroup(judged.groupBy("home")).applyInArrow(at_home, schema)
+    return known.unionByName(rows.where("_id IS NULL OR text IS NULL").select("doc_id", "text").mapInArrow(alone, schema))
 
 
-def _merge(text: bytes, marks: list[dict] | None, window: int, buckets: int):
+def _merge(text: bytes, marks: list[tuple[int, bytes]] | None, window: int, buckets: int):
     words = text.split()
     n = len(words)
     intervals, kept = [], words
@@ -185,10 +214,10 @@ def _merge(text: bytes, marks: list[dict] | None, window: int, buckets: int):
         grams, bucket, _, at, *_ = _keys([text], window, buckets)
         bits = np.zeros(len(grams), bool)
         order = np.argsort(bucket, kind="stable")
-        firsts = np.searchsorted(bucket[order], [m["bucket"] for m in marks])
-        lasts = np.searchsorted(bucket[order], [m["bucket"] for m in marks], side="right")
-        for m, a, b in zip(marks, firsts.tolist(), lasts.tolist(), strict=True):
-            bits[order[a:b]] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).astype(bool)
+        firsts = np.searchsorted(bucket[order], [k for k, _ in marks])
+        lasts = np.searchsorted(bucket[order], [k for k, _ in marks], side="right")
+        for (_, packed), a, b in zip(marks, firsts.tolist(), lasts.tolist(), strict=True):
+            bits[order[a:b]] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
         change = np.zeros(n + 1, np.int64)
         np.add.at(change, at[bits], 1)
         np.add.at(change, at[bits] + window, -1)
