@@ -15,6 +15,7 @@ Writing is idempotent: a task writes beside the final name and renames, so a los
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -33,7 +34,7 @@ END = 1
 NULL_ID = -(1 << 63)
 MAGIC = b"TKF1"
 #: Distinct words whose ids a task remembers (speed only).
-CACHE = 300_000
+CACHE = 500_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------
@@ -150,6 +151,12 @@ class WordTokenizer:
         self.by_word = parts == self.tokenizer.encode(probe, add_special_tokens=False).ids
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.by_stem = all(ids(x) == ids(y) + ids(z) for x, y, z in (("Abc.", "abc", "."), ("AB,", "ab", ","), ("x.,.", "x", ".,.")))
+        #: by id: whether a token ends a word; then words of letters alone can be encoded many at a time and told apart
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix and self.by_word:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -164,7 +171,6 @@ class WordTokenizer:
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
-
     def _learn(self, new: set[bytes]) -> None:
         """Many new words differ only by case or by a full stop or comma at their end: those are encoded once.
 
@@ -179,6 +185,10 @@ class WordTokenizer:
         if len(self.stems) > CACHE:
             self.stems.clear()
         rest = list({y for pair in cut.values() for y in pair}.difference(self.stems))
+        if self.ends.any():
+            letters = [y for y in rest if y.isalpha()]
+            self._learn_letters(letters)
+            rest = [y for y in rest if y not in self.stems]
         for i in range(0, len(rest), 4096):
             for y, e in zip(rest[i : i + 4096], self.tokenizer.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False), strict=True):
                 self.stems[y] = np.asarray(e.ids, "<u4").tobytes()
@@ -186,6 +196,19 @@ class WordTokenizer:
             self.cache[w] = self.stems[stem] + self.stems[end] if end else self.stems[stem]
 
 
+    def _learn_letters(self, stems: list[str], together: int = 64) -> None:
+        """Words of letters alone, joined by spaces: each has one token that ends a word. Where the count says otherwise, nothing is learnt."""
+        groups = [stems[i : i + together] for i in range(0, len(stems), together)]
+        for i in range(0, len(groups), 64):
+            for group, e in zip(groups[i : i + 64], self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[i : i + 64]], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(cuts) == len(group):
+                    data = ids.tobytes()
+                    for y, a, b in zip(group, [0, *cuts], cuts, strict=False):
+                        self.stems[y] = data[a:b]
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
