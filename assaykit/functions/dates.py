@@ -11,8 +11,8 @@ def rfc2822(c: Column) -> Column:
 
 
 def iso(c: Column) -> Column:
-    """ISO text with or without an offset; without one it counts as UTC."""
-    return F.try_to_timestamp(F.trim(c))
+    """ISO text with or without an offset; without one it counts as UTC. Words like today, which Spark would read, are no dates."""
+    return F.when(F.trim(c).rlike("^[0-9]{4}"), F.try_to_timestamp(F.trim(c)))
 
 
 def compact_date(c: Column) -> Column:
