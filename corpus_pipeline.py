@@ -3,7 +3,9 @@
 Every stage works on all that the one before kept, and all but the last return the columns of documents:
 
 1. language: documents whose language can't be told (no text, no letters) go; of the rest, rows without a label get the prediction.
-2. near copies: one document of each group of the n-gram Jaccard join stays, the one with the smallest id. Rows with null ids stay.
+2. near copies: rows are grouped by their texts alone, with the n-gram Jaccard join over numbers of rows. One row of each group
+   stays, the one with the smallest id (null ids come last; rows of one id by a hash of their columns, then by number). So repeated rows and
+   copies under null ids become one, and different texts under one id stay apart. Texts without words all stay.
 3. decontamination: documents that contain a benchmark item go.
 4. secrets: secrets in texts are replaced by a mark, and n_chars is counted anew where a text changed.
 5. tokens: byte-level BPE, encoded and decoded; the digests of the operator's query.
@@ -28,9 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard.groups(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    order = numbered.select("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("_order"))
+    groups = jaccard.groups(numbered, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    kept = groups.join(order, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

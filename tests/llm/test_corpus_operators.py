@@ -248,3 +248,12 @@ def test_stages_on_odd_tables(spark, repeated, none, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), small).count() == 0
         assert stage(spark, repeated.select("doc_id", "text", "lang", "source", "n_chars"), small).count() > 5
+
+
+def test_near_copies_are_decided_by_text(spark, small):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    kept = lambda rows: sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_copies(spark, frame(spark, rows).select(*columns), small).collect())
+    assert kept([(1, a), (5, a), (5, b)]) == [("1", a), ("5", b)]
+    got = kept([(3, a), (3, a), (None, b), (None, b), (None, c), (2, c), (4, None), (4, "")])
+    assert got == sorted([("3", a), ("None", b), ("2", c), ("4", "None"), ("4", "")])
