@@ -5,8 +5,10 @@ matches against each automaton: the fewer phrases, the better the language expla
 normalised by the letters parsed; the language with the smallest rate wins, ties going to the name that sorts first.
 
 Texts are parsed whole. The parse starts anew every SEGMENT characters, so that thousands of segments take each
-step together in numpy. The sample is bounded by `docs_per_lang` whole documents and `chars_per_lang` characters
-in each language (documented parameters); which documents are in it depends on hashes of their ids only.
+step together in numpy. The sample is bounded by `docs_per_lang` documents and `chars_per_lang` characters
+in each language (documented parameters); which documents are in it depends on hashes of their ids and on their lengths.
+Texts beyond a third of `chars_per_lang` are taken where a language's hash bucket has no other, and then only the third in their
+middle: an excerpt to learn from; texts to be identified are never cut.
 
 Nulls and texts without letters give `und` and score 0. A table without labelled rows gives `und` everywhere.
 Repeated rows get equal results; other columns are kept, except those that a new column replaces.
@@ -32,20 +34,22 @@ def crc_remainder(doc_id: str, parts: int = 4) -> Column:
 
 
 def labelled_sample(df: DataFrame, where: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 48, chars_per_lang: int = 24_000) -> dict[str, str]:
-    """At most docs_per_lang whole texts of each language, joined until chars_per_lang is reached; texts beyond a third of it are not taken.
+    """At most docs_per_lang texts of each language, joined until chars_per_lang is reached; of longer texts than a third of it, the third in the middle.
 
     Rows are chosen by the smallest hash of their id in each of docs_per_lang hash buckets, texts of 200 characters or more
-    before shorter ones: two passes, the first over ids and lengths only.
+    before shorter ones, and longer ones than a third last: two passes, the first over ids and lengths only.
     """
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    rows = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.length(text).between(1, chars_per_lang // 3)).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(docs_per_lang)).alias("_bucket"), key.alias("_hash"), F.col(text).alias("_text"))
-    least = rows.groupBy("_lang", "_bucket").agg(F.min(F.struct(F.length("_text") < 200, "_hash"))["_hash"].alias("_hash"))
+    most, length = chars_per_lang // 3, F.length(text)
+    excerpt = F.when(length > most, F.col(text).substr(F.floor((length - most) / 2).cast("int") + 1, F.lit(most))).otherwise(F.col(text))
+    rows = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (length > 0)).select(F.col(lang).alias("_lang"), F.pmod(key, F.lit(docs_per_lang)).alias("_bucket"), key.alias("_hash"), (length > most).alias("_long"), excerpt.alias("_text"))
+    least = rows.groupBy("_lang", "_bucket").agg(F.min(F.struct("_long", F.length("_text") < 200, "_hash"))["_hash"].alias("_hash"))
     chosen = [(r["_lang"], r["_hash"]) for r in least.orderBy("_lang", "_bucket").collect()]  # docs_per_lang rows a language
     if not chosen:
         return {}
     wanted = F.col("_hash").isin([h for _, h in chosen])
     texts: dict[tuple[str, int], str] = {}
-    for r in rows.where(wanted).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text")).collect():
+    for r in rows.where(wanted).groupBy("_lang", "_hash").agg(F.min(F.struct("_long", "_text"))["_text"].alias("_text")).collect():
         texts[r["_lang"], r["_hash"]] = r["_text"]
     sample: dict[str, str] = {}
     for name, h in sorted(chosen):

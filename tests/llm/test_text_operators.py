@@ -112,6 +112,16 @@ def test_language_of_odd_texts(spark, odd, none):
     assert langid.labelled_sample(none, F.lit(True)) == {} and langid.identify(none, sample).count() == 0
 
 
+def test_a_language_of_long_documents_is_learnt(spark):
+    r = random.Random(11)
+    text = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(n))
+    rows = [(i, text("abcd", 60), "short") for i in range(6)] + [(100 + i, text("wxyz", 2_500), "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(docs, F.lit(True))
+    assert sorted(sample) == ["long", "short"] and all(len(x) <= 8_000 for x in sample["long"].split("\n")) and len(sample["long"]) <= 32_000
+    assert {(r["lang"], r["lang_pred"]) for r in langid.identify(docs, sample).collect()} == {("short", "short"), ("long", "long")}
+
+
 # --- licenses ---------------------------------------------------------------------------------------
 
 
