@@ -10,8 +10,9 @@ value and its neighbours finds all items within the radius. Those found are veri
 the weight of all shingles of both must be LEAST or more. A shingle weighs 1 + ln((items + 1) / (items with it + 1)). At a
 similarity of exactly 0.75 fingerprints differ in 11 bits on average, with a deviation of 3; RADIUS is four deviations more.
 
-Items are sent to every task in blocks of at most ITEM_BYTES of text, each block against all documents; weights are of
-all items of the block. Null and empty texts match nothing, nor do null and empty items. Repeated items match alike, under their ids;
+Items are sent to every task in blocks of at most ITEM_BYTES of text, each block against all documents. Weights are of all
+items of the benchmark, whatever the blocks: where there are several, Spark counts the items of each shingle, documents first
+get the counts of their own shingles (a block of counts at a time), and each block's items come with theirs. Null and empty texts match nothing, nor do null and empty items. Repeated items match alike, under their ids;
 repeated documents too. Of each pair the most similar window is returned, the first of equals. Other columns do no harm.
 """
 
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate, byte_batches, mix, utf8, windows_of, words_of
+from .common import annotate, byte_batches, mix, stored, utf8, windows_of, words_of
 
 K, LEAST, RADIUS, BLOCKS = 5, 0.75, 23, 12
 #: Bytes of items that one pass over the documents carries.
@@ -61,8 +62,8 @@ class BlockIndex:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[object, str]]):
-        """items: (id, text); those without words are left out."""
+    def __init__(self, items: list[tuple[object, str]], counts: tuple[np.ndarray, np.ndarray] | None = None, total: int | None = None):
+        """items: (id, text); those without words are left out. If they are a block of more: the items' shingles in order, how many of all items have each, and the number of all."""
         data = [(i, t.encode()) for i, t in items if t]
         hashes, owner, _, _ = words_of([t for _, t in data], lower=True, trim=True)
         lengths = np.bincount(owner, minlength=len(data))
@@ -85,13 +86,19 @@ class Finder:
                 for n in of[g]:
                     has.setdefault(n, np.zeros(len(known), bool))[i] = True
             self.sizes[k] = np.array(known, np.uint64), has
-        every, counts = np.unique(np.concatenate(self.sets), return_counts=True) if self.sets else (np.zeros(0, np.uint64), np.zeros(0))
-        self.known, self.weight = every, 1 + np.log((len(self.ids) + 1) / (counts + 1))
-        self.rare = 1 + np.log(len(self.ids) + 1.0)
+        if counts is None:
+            counts = np.unique(np.concatenate(self.sets), return_counts=True) if self.sets else (np.zeros(0, np.uint64), np.zeros(0))
+        self.total = len(self.ids) if total is None else total
+        self.rare = 1 + np.log(self.total + 1.0)
+        self.know(*counts)
         prints = np.array([simhash(s[None, :], self.weights(s)[None, :])[0] for s in self.sets], np.uint64)
         self.index = BlockIndex(prints)
         self.totals = np.array([self.weights(s).sum() for s in self.sets])
 
+    def know(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Weigh by these shingles, in order, and their numbers of items; all others are in no item."""
+        self.known, self.weight = grams, 1 + np.log((self.total + 1) / (counts + 1))
+
     def weights(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.full(grams.shape, self.rare)
@@ -142,14 +149,93 @@ class Finder:
         return [(d, j, -s, a, b) for (d, j), (s, a, b) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[object, str]]]:
+_COUNT = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("items", T.LongType())]))
+
+
+def _grams_of(batches):
+    """Rows (block, text) of items to their distinct shingles; a null shingle for each item with words."""
+    for batch in batches:
+        texts, blocks = utf8(batch.column(1)), batch.column(0).to_pylist()
+        for lo, hi in byte_batches(texts):
+            hashes, owner, _, _ = words_of(texts[lo:hi], lower=True, trim=True)
+            edges = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for j in range(hi - lo):
+                if n := int(edges[j + 1] - edges[j]):
+                    own = hashes[edges[j] : edges[j + 1]]
+                    grams = np.unique(windows_of(own, np.zeros(n, np.int64), min(K, n))[0]).view(np.int64).tolist()
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([blocks[lo + j]] * (len(grams) + 1), pa.int64()), "gram": pa.array([None, *grams], pa.int64())})
+
+
+def _arrays(rows) -> tuple[np.ndarray, np.ndarray]:
+    grams = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.array([r["items"] for r in rows], np.int64)[order]
+
+
+class Benchmark:
     """The items, in blocks of at most about ITEM_BYTES: how many follows from the table's size."""
-    rows = benchmark.where(F.length(F.trim(text)) > 0).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // ITEM_BYTES)
-    for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else rows
-        yield sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x))  # about ITEM_BYTES
+
+    def __init__(self, benchmark: DataFrame, item_id: str, text: str):
+        rows = benchmark.where(F.length(F.trim(text)) > 0).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+        size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n = -(-size // ITEM_BYTES)
+        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, self.n))))
+        self.counts = self.total = None
+        if self.n > 1:
+            grams = self.rows.select("block", "t").mapInArrow(_grams_of, "block long, gram long")
+            self.counts = stored(grams.groupBy("gram").agg(F.count("*").alias("items"), F.collect_set("block").alias("blocks")), "item-shingles")
+            self.total = self.counts.where("gram IS NULL").agg(F.sum("items")).first()[0] or 0
+            self.counts = self.counts.where("gram IS NOT NULL")
+
+    def finders(self):
+        """For each block what makes its Finder in a task."""
+        total = self.total
+        for b in range(self.n):
+            part = self.rows.where(F.col("block") == b) if self.n > 1 else self.rows
+            items = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x))  # about ITEM_BYTES
+            counts = _arrays(self.counts.where(F.array_contains("blocks", F.lit(b).cast("long"))).select("gram", "items").collect()) if self.n > 1 else None
+            yield lambda items=items, counts=counts: Finder(items, counts, total)
+
+    def known(self, docs: DataFrame, text: str, name: str) -> DataFrame:
+        """docs with a column of the benchmark's shingles in each text and their numbers of items."""
+        docs = docs.withColumn(name, F.array().cast(_COUNT))
+        for b in range(self.n):
+            part = self.counts.where(F.pmod(F.xxhash64("gram"), F.lit(self.n)) == b).select("gram", "items")
+            grams, items = _arrays(part.collect())  # the shingles of about ITEM_BYTES
+
+            def make(grams=grams, items=items):
+                def compute(texts: pa.Array):
+                    data, out = utf8(texts), []
+                    for lo, hi in byte_batches(data):
+                        hashes, owner, _, _ = words_of(data[lo:hi], lower=True, trim=True)
+                        found: list[list[np.ndarray]] = [[] for _ in range(hi - lo)]
+                        for k in range(1, K + 1):
+                            own, at = windows_of(hashes, owner, k)
+                            if len(own) and len(grams):
+                                spot = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                                hit = np.flatnonzero(grams[spot] == own)
+                                edges = np.searchsorted(owner[at[hit]], np.arange(hi - lo + 1))
+                                for d in np.unique(owner[at[hit]]).tolist():
+                                    found[d].append(np.unique(spot[hit[edges[d] : edges[d + 1]]]))
+                        for spots in found:
+                            some = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+                            out.append([{"gram": g, "items": c} for g, c in zip(grams[some].view(np.int64).tolist(), items[some].tolist(), strict=True)])
+                    return [out]
+
+                return compute
+
+            docs = annotate(docs, [text], [T.StructField("_some", _COUNT)], make).withColumn(name, F.concat(name, "_some")).drop("_some")
+        return docs
+
+
+def _found(finder: Finder, data: list[bytes], known: list | None):
+    """(text, item, similarity, first word, end) of all matches of a call."""
+    for a, b in byte_batches(data):
+        if known is not None:
+            counts = {x["gram"]: x["items"] for each in known[a:b] for x in each}
+            finder.know(*_arrays([{"gram": g, "items": c} for g, c in counts.items()]))
+        for d, *rest in finder.find(data[a:b]):
+            yield a + d, *rest
 
 
 def matches(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -157,25 +243,28 @@ def matches(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = benchmark.schema[item_id].dataType
     match = T.StructType([T.StructField("item_id", kind), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
+    bench = Benchmark(benchmark, item_id, item_text)
+    inputs = ["text"]
+    if bench.n > 1:  # texts without any shingle of an item match nothing
+        docs = stored(bench.known(docs, "text", "known").where(F.size("known") > 0), "known")
+        inputs.append("known")
 
-    def against(items: list[tuple[object, str]]) -> DataFrame:
+    def against(finder_of) -> DataFrame:
         def make():
-            finder = Finder(items)
-
-            def compute(texts: pa.Array):
-                data = utf8(texts)
-                out: list[list[dict]] = [[] for _ in data]
-                for a, b in byte_batches(data):
-                    for d, j, score, start, end in finder.find(data[a:b]):
-                        out[a + d].append({"item_id": finder.ids[j], "similarity": round(score, 4), "first_word": start, "end_word": end})
+            finder = finder_of()
+
+            def compute(texts: pa.Array, known: pa.Array | None = None):
+                out: list[list[dict]] = [[] for _ in range(len(texts))]
+                for d, j, score, start, end in _found(finder, utf8(texts), None if known is None else known.to_pylist()):
+                    out[d].append({"item_id": finder.ids[j], "similarity": round(score, 4), "first_word": start, "end_word": end})
                 return [out]
 
             return compute
 
-        found = annotate(docs, ["text"], [T.StructField("found", T.ArrayType(match))], make)
+        found = annotate(docs, inputs, [T.StructField("found", T.ArrayType(match))], make)
         return found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
 
-    parts = [against(items) for items in _blocks(benchmark, item_id, item_text)]
+    parts = [against(finder_of) for finder_of in bench.finders()]
     if not parts:
         return docs.where(F.lit(False)).select("doc_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in match))
     return reduce(DataFrame.unionByName, parts)
@@ -183,21 +272,24 @@ def matches(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
 
 def clean(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df that contain no item; all columns stay as they are."""
-    for items in _blocks(benchmark, item_id, item_text):
-
-        def make(items=items):
-            finder = Finder(items)
-
-            def compute(texts: pa.Array):
-                data = utf8(texts)
-                out = [False] * len(data)
-                for a, b in byte_batches(data):
-                    for d, *_ in finder.find(data[a:b]):
-                        out[a + d] = True
+    bench = Benchmark(benchmark, item_id, item_text)
+    columns, inputs = df.columns, [text]
+    if bench.n > 1:
+        df = bench.known(df, text, "_known_shingles")
+        inputs.append("_known_shingles")
+    for finder_of in bench.finders():
+
+        def make(finder_of=finder_of):
+            finder = finder_of()
+
+            def compute(texts: pa.Array, known: pa.Array | None = None):
+                out = [False] * len(texts)
+                for d, *_ in _found(finder, utf8(texts), None if known is None else known.to_pylist()):
+                    out[d] = True
                 return [out]
 
             return compute
 
         name = "_holds_item"
-        df = annotate(df, [text], [T.StructField(name, T.BooleanType())], make).where(~F.col(name)).drop(name)
-    return df
+        df = annotate(df, inputs, [T.StructField(name, T.BooleanType())], make).where(~F.col(name)).drop(name)
+    return df.select(*columns)

@@ -159,6 +159,27 @@ def test_blocks_of_items_and_odd_tables(spark, odd, none, monkeypatch):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(14)]
+    items = [(k, " ".join(common + [f"q{k}x{i}" for i in range(20)])) for k in range(12)] + [(50, "three short words"), (51, " ".join(common))]
+    docs = []
+    for k, text in items[:12]:
+        for n in range(6):
+            w = text.split()
+            for _ in range(n):
+                w[r.randrange(len(w))] = f"other{r.randrange(99)}"
+            docs.append((10 * k + n, " ".join(["before"] * 3 + w[r.randrange(9) :] + common[: r.randrange(14)] + ["after"] * 5)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contained(docs, items)
+    assert 0.75 <= min(want.values()) < 0.8 and len(want) > 12
+    for size in (decontaminate.ITEM_BYTES, 500):
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", size)
+        got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.matches(frame(spark, docs), bench).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
+        assert {x["doc_id"] for x in decontaminate.clean(frame(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_block_index_finds_all_within_the_radius():
     import numpy as np
 
