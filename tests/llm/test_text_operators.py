@@ -155,6 +155,21 @@ def test_changed_notices_and_odd_texts(spark, odd, none):
         licenses.check_templates({"short": "four words are few"})
 
 
+def test_cut_notices_and_whole_texts_are_found(spark):
+    w = licenses.TEMPLATES["GPL-notice"].split()
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for part in (w[1:], w[:-1], w[2:-2]):
+        assert ("GPL-notice", 0, len(part)) in [m[:3] for m in scanner.scan([" ".join(part).encode()])[0]]
+        assert "GPL-notice" in [m[0] for m in scanner.scan([b"short", ("see below " * 9 + " ".join(part)).encode()])[1]]
+    texts = licenses.whole_texts()
+    assert {"MIT-text", "GPL-3.0-text", "ISC-text", "LGPL-2.1-text", "Unlicense-text"} <= texts.keys()
+    rows = [(n, "Copyright of all authors\n" + t.replace("Foundation", "Society")) for n, t in texts.items()] + [("LGPL-notice", "This library is free software; " + licenses.TEMPLATES["LGPL-notice"]), ("MIT-licensed", "It is licensed under the MIT License")]
+    got = {}
+    for r in licenses.matches(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert all(n in got[n] for n, _ in rows)
+
+
 # --- token files ------------------------------------------------------------------------------------
 
 
