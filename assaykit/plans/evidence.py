@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..config import DOCUMENT_INDICATORS
 from ..functions import text
 from ..operators import aggregates, dedupe, documents, filters, matching, model, positional, ranking
 from ..sources.tables import table
@@ -186,6 +187,13 @@ def indicator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.indicators(F.col("text"), _COUNTED).items()))
 
 
+@query()
+def document_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine indicators with their whole patterns; word edges, digits and spaces are Unicode's, as in the reference, so there is no SQL twin."""
+    patterns = {n: f"(?U){p}" for n, p in DOCUMENT_INDICATORS.items()}
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.indicators(F.col("text"), patterns).items()))
+
+
 _DOMAINS = {"english": ("the", "that", "with"), "german": ("der", "und", "die"), "french": ("dans", "le ", "pas"), "spanish": ("el ", "que", "los")}
 _HITS = {k: " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ws) for k, ws in _DOMAINS.items()}
 

@@ -47,3 +47,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_indicators_of_cjk_texts(spark, tmp_path):
+    import re
+
+    from assaykit.config import DOCUMENT_INDICATORS
+
+    texts = ["실시 형태와 도면 3, 수학식; 임계값 데이터 구조, 입력과 출력; 조건 분기, 제어 상태, S12 단계", "実施例 図 4 式 2 閾値 入力 条件 制御 ステップ", "附图 5 公式 参数 输入 分支 反馈 步骤", "Example: fig. 7, equation, weight, table, INPUT; if we loop, step 3, S100", "if는 xif whenの when 図１２ S３４", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r.asDict() for r in plans.QUERIES["document_indicators"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i] == {"doc_id": i} | {n: len(re.findall(p, t or "", re.I)) for n, p in DOCUMENT_INDICATORS.items()}
+    assert all(rows[0][n] for n in DOCUMENT_INDICATORS)
