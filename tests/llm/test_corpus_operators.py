@@ -180,6 +180,16 @@ def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
         assert {x["doc_id"] for x in decontaminate.clean(frame(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_long_items_take_seconds():
+    import time
+
+    r = random.Random(5)
+    words = [f"q{r.randrange(9999)}" for _ in range(20_000)]
+    began = time.perf_counter()
+    (found,) = decontaminate.Finder([(1, " ".join(words))]).find([" ".join(["x"] * 7 + words[:9000] + ["y"] + words[9001:]).encode()])
+    assert found[:2] == (0, 0) and found[2] > 0.99 and found[3:] == (7, 20_007) and time.perf_counter() - began < 10
+
+
 def test_block_index_finds_all_within_the_radius():
     import numpy as np
 
@@ -271,6 +281,17 @@ def test_stages_on_odd_tables(spark, repeated, none, small):
         assert stage(spark, repeated.select("doc_id", "text", "lang", "source", "n_chars"), small).count() > 5
 
 
+def test_stages_give_clashing_columns_back(spark, repeated, small):
+    more = repeated.withColumns({x: F.concat(F.lit(f"{x} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for x in ("lang_pred", "phrase_rate", "_holds_item", "_known_shingles", "row", "order", "before", "holds", "c0")})
+    extra = [x for x in more.columns if x not in ("text", "lang", "n_chars")]
+    given = {tuple(r) for r in more.select(*extra).collect()}
+    docs = more
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        assert docs.columns == more.columns
+        assert {tuple(r) for r in docs.select(*extra).collect()} <= given and docs.count() > 3
+
+
 def test_near_copies_are_decided_by_text(spark, small):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     columns = ("doc_id", "text", "lang", "source", "n_chars")
