@@ -270,14 +270,11 @@ class Tagger:
         """Words that can be in a run that beats O throughout: its gains sum to more than 0, so from one of its ends up to the word they do."""
         if self.ends > 0:
             return np.arange(len(gain))
-        found = set()
-        for i in np.flatnonzero(gain > 0).tolist():
-            for step in (1, -1):
-                total, k = 0.0, i
-                while 0 <= k < len(gain) and (total := total + gain[k]) > 0:
-                    found.add(k)
-                    k += step
-        return np.array(sorted(found), np.int64)
+        near = np.zeros(len(gain), bool)
+        for side in (slice(None), slice(None, None, -1)):  # the best sum that ends here: a total less the least total before it
+            total = np.cumsum(gain[side])
+            near[side] |= total - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]])) > -1e-6
+        return np.flatnonzero(near)
 
     def viterbi(self, em: np.ndarray) -> list[int]:
         """The best labels of a run between O and O."""
@@ -304,6 +301,7 @@ class Tagger:
             return []
         data = text.encode()
         _, _, starts, ends = words_of([data])
+        points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
         out: list[list[int]] = []
         for k, (i, y) in enumerate(zip(at.tolist(), labels.tolist(), strict=True)):
             if y == 2 and k and at[k - 1] == i - 1:
@@ -313,7 +311,7 @@ class Tagger:
         spans = []
         for first, last in out:
             piece = data[starts[first] : ends[last]].decode()
-            start = len(data[: starts[first]].decode()) + len(piece) - len(piece.lstrip(_QUOTES))
+            start = int(points[starts[first]]) - 1 + len(piece) - len(piece.lstrip(_QUOTES))
             if core := piece.strip(_QUOTES):
                 spans.append((start, 3, start + len(core)))
         return spans

@@ -290,6 +290,45 @@ def test_open_runs_decode_like_whole_texts():
         assert [labels.tolist()[at.tolist().index(i)] if i in at.tolist() else 0 for i in range(len(words))] == want
 
 
+def test_long_runs_of_coded_words_take_seconds():
+    import time
+
+    tagger = secrets.Tagger(secrets.train())
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(32_000)]
+    began = time.perf_counter()
+    spans = tagger.spans(" ".join(words))
+    assert time.perf_counter() - began < 10
+    at, labels = tagger.tag(words)
+    assert len(spans) == int((labels == 1).sum()) + sum(y == 2 and (not k or at[k - 1] != i - 1) for k, (i, y) in enumerate(zip(at, labels, strict=True)))
+
+
+def test_open_words_are_those_of_walks_from_positive_ones():
+    tagger = secrets.Tagger(secrets.train(lines=200, rounds=40))
+    tagger.ends = -1.0
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        gain = r.normal(-0.4, 1, 60)
+        want = set()
+        for i in np.flatnonzero(gain > 0).tolist():
+            for step in (1, -1):
+                total, k = 0.0, i
+                while 0 <= k < len(gain) and (total := total + gain[k]) > 0:
+                    want.add(k)
+                    k += step
+        assert tagger._open(gain).tolist() == sorted(want)
+
+
+def test_crf_on_held_out_lines():
+    tagger = secrets.Tagger(secrets.train())
+    hit = found = planted = 0
+    for line in secrets._generated(seed=77, lines=600):
+        at, labels = tagger.tag([w for w, _ in line])
+        got, want = set(at[labels > 0].tolist()), {i for i, (_, y) in enumerate(line) if y}
+        hit, found, planted = hit + len(got & want), found + len(got), planted + len(want)
+    assert hit / found > 0.9 and hit / planted > 0.8, (hit / found, hit / planted)
+
+
 def test_crf_finds_what_patterns_miss_and_leaves_prose_alone():
     tagger = secrets.Tagger(secrets.train())
     value = "q8Zr4Tn2Lk7Xw1Pd9Vb3"
