@@ -1,14 +1,16 @@
 """From raw documents to token counts: five stages, each stored as Parquet and read back before the next.
 
-Every stage works on all that the one before kept, and all but the last return the columns of documents:
+Every stage works on all that the one before kept, and all but the last return the columns of documents. Other columns come
+through as they are, whatever their names. Empty tables give empty ones; texts of any length are read whole; rows with null ids
+are kept and dropped like others:
 
 1. language: documents whose language can't be told (no text, no letters) go; of the rest, rows without a label get the prediction.
 2. near copies: rows are grouped by their texts alone, with the n-gram Jaccard join over numbers of rows. One row of each group
    stays, the one with the smallest id (null ids come last; rows of one id by a hash of their columns, then by number). So repeated rows and
    copies under null ids become one, and different texts under one id stay apart. Texts without words all stay.
-3. decontamination: documents that contain a benchmark item go.
-4. secrets: secrets in texts are replaced by a mark, and n_chars is counted anew where a text changed.
-5. tokens: byte-level BPE, encoded and decoded; the digests of the operator's query.
+3. decontamination: documents that contain a benchmark item go; null and empty texts contain none. Repeated rows go or stay alike.
+4. secrets: secrets in texts are replaced by a mark, and n_chars is counted anew where a text changed. Null texts stay null.
+5. tokens: byte-level BPE, encoded and decoded; the digests of the operator's query. A null text counts as empty. One row for each row.
 """
 
 from __future__ import annotations
@@ -23,18 +25,27 @@ from assaykit.llm.queries import byte_codec
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under column names that no operator uses, and these names by the real ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sample = langid.labelled_sample(docs, langid.crc_remainder("doc_id") != 2)
-    found = langid.identify(docs, sample).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    plain, c = _plain(docs)
+    sample = langid.labelled_sample(plain, langid.crc_remainder(c["doc_id"]) != 2, doc_id=c["doc_id"], text=c["text"], lang=c["lang"])
+    found = langid.identify(plain, sample, text=c["text"]).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn(c["lang"], F.coalesce(c["lang"], "lang_pred")).select(*c.values()).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    order = numbered.select("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("_order"))
-    groups = jaccard.groups(numbered, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    kept = groups.join(order, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    plain, c = _plain(docs)
+    numbered = stored(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    key = F.col(c["doc_id"])
+    order = numbered.select("row", F.struct(key.isNull().alias("unnamed"), key.alias("doc_id"), F.xxhash64(*c.values()).alias("hash"), "row").alias("order"))
+    groups = jaccard.groups(numbered, doc_id="row", text=c["text"]).select(F.col("doc_id").alias("row"), "component_id")
+    kept = groups.join(order, "row").groupBy("component_id").agg(F.min("order")["row"].alias("row"))
+    return numbered.join(kept, "row", "left_semi").select(*c.values()).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +53,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = secrets.redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return marked.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    plain, c = _plain(docs)
+    marked = secrets.redact(plain.withColumn("before", F.col(c["text"])), text=c["text"])
+    length = F.length(c["text"]).cast(docs.schema["n_chars"].dataType)
+    changed = ~F.col(c["text"]).eqNullSafe(F.col("before"))
+    return marked.withColumn(c["n_chars"], F.when(changed, length).otherwise(F.col(c["n_chars"]))).select(*c.values()).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
