@@ -3,18 +3,20 @@
 A word is removed if a window over it also starts in a document with a smaller id; windows are judged on the
 input. Repeated windows merge into maximal removal intervals.
 
-1. Each task hashes the windows of some documents at a time. A window that a smaller document of the same task
-   has too is marked at once (so a window that millions of documents share leaves a task once at most for each batch). The
-   hashes of the others are packed by bucket.
+1. Each task hashes the windows of a batch of documents at a time. A window that a smaller document of the same batch
+   has too is answered at once: its bit goes straight to the document's home, and nothing of it to a bucket. So a window that millions of
+   documents share is in its bucket once for each batch, whatever the documents. The hashes of the others are packed by bucket.
 2. Each bucket of hashes finds the smallest document of each window and answers with a bit for each window, packed by
    homes: groups of documents by a hash of id and text.
-3. In each home, documents meet their bits, recompute the windows, and merge them.
+3. In each home, documents meet their bits, recompute the windows, and merge them. Rows with equal ids and texts share a
+   home and are told apart by the batch that they were hashed in.
 
 Buckets hold about BUCKET_BYTES of text each and homes HOME_BYTES, at any size of input. Hashes have as many bytes as keep the chance of any
-false match in the whole input below 1 in 256 (7 for 1 GB, 10 for 100 TB).
+false match in the whole input below 1 in 64 (7 for 1 GB, 10 for 100 TB); words themselves are not compared.
 
 Null texts have no words. Documents with null ids keep all words and take none from others. Rows with equal ids don't take
-words from each other. Texts with fewer words than a window stay whole. Other columns are not looked at.
+words from each other. Texts with fewer words than a window stay whole.
+Ids must be numbers, or texts of numbers. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,69 +104,98 @@ def _by_id(ids: list[int], keys: list[int], texts: list[bytes]):
     return np.array([ids[i] for i in order], np.int64), np.array([keys[i] for i in order], np.int64), [texts[i] for i in order]
 
 
-def _hash_windows(window: int, buckets: int, width: int):
+_HEAD = [("id", "<i8"), ("key", "<i8"), ("n", "<u4")]
+_PACKED = "bucket long, batch long, docs binary, data binary"
+
+
+def _home(keys: np.ndarray, homes: int) -> np.ndarray:
+    return (((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where equal neighbours start and end."""
+    edges = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _hash_windows(window: int, buckets: int, homes: int, width: int):
+    """Rows of buckets (documents' heads and their open windows' hashes) and, numbered from -1 down, of homes (heads and bits of the windows that the batch answers)."""
+
+    def of_homes(ids, keys, doc, known):
+        total = np.bincount(doc, minlength=len(ids))
+        ends = np.cumsum(total)
+        some = np.unique(doc[known])
+        some = some[np.argsort(_home(keys[some], homes), kind="stable")]
+        for a, b in _runs(_home(keys[some], homes)):
+            own = some[a:b]
+            head = np.empty(len(own), _HEAD)
+            head["id"], head["key"], head["n"] = ids[own], keys[own], total[own]
+            yield -1 - int(_home(keys[own[:1]], homes)[0]), head.tobytes(), b"".join(np.packbits(known[ends[i] - total[i] : ends[i]]).tobytes() for i in own.tolist())
+
+    def of_buckets(ids, keys, doc, known, bucket, wide):
+        open_ = np.flatnonzero(~known)
+        open_ = open_[np.argsort(bucket[open_].astype(np.uint32), kind="stable")]
+        for a, b in _runs(bucket[open_]):
+            at = open_[a:b]
+            of, counts = np.unique(doc[at], return_counts=True)
+            head = np.empty(len(of), _HEAD)
+            head["id"], head["key"], head["n"] = ids[of], keys[of], counts
+            yield int(bucket[at[0]]), head.tobytes(), wide[at].tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, text_keys, texts in _texts(batches):
+        for ids, keys, texts in _texts(batches):
             grams, bucket, doc, _, hashes, owner, _, _ = _keys(texts, window, buckets)
             if not len(grams):
                 continue
+            name = int(np.sum(mix(keys.view(np.uint64)), dtype=np.uint64).view(np.int64))  # the batch, by what is in it
             rank = np.unique(ids, return_inverse=True)[1]  # rows with equal ids rank alike
             wide = _wide(grams, hashes, owner, window, width)
             known = _marked((grams,) if width <= 8 else (grams, _narrow(wide.ravel(), width)[1]), rank[doc])
-            order = np.argsort(bucket.astype(np.uint32), kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            rows = {"bucket": [], "docs": [], "known": [], "hashes": []}
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                at = order[a:b]
-                of, counts = np.unique(doc[at], return_counts=True)
-                head = np.empty(len(of), [("id", "<i8"), ("key", "<i8"), ("n", "<u4")])
-                head["id"], head["key"], head["n"] = ids[of], text_keys[of], counts
-                rows["bucket"].append(int(bucket[at[0]])), rows["docs"].append(head.tobytes())
-                rows["known"].append(np.packbits(known[at]).tobytes()), rows["hashes"].append(wide[at[~known[at]]].tobytes())
-            for i in range(0, len(rows["bucket"]), 64):
-                part = {k: v[i : i + 64] for k, v in rows.items()}
-                yield pa.RecordBatch.from_arrays([pa.array(part["bucket"], pa.int64()), *(pa.array(part[k], pa.binary()) for k in ("docs", "known", "hashes"))], names=list(part))
+            rows = [*of_homes(ids, keys, doc, known), *of_buckets(ids, keys, doc, known, bucket, wide)]
+            for i in range(0, len(rows), 64):
+                places, docs, data = zip(*rows[i : i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([name] * len(docs), pa.int64()), pa.array(docs, pa.binary()), pa.array(data, pa.binary())], names=["bucket", "batch", "docs", "data"])
 
     return run
 
 
+_ANSWERS = "home long, bucket long, keys binary, batches binary, counts binary, bits binary"
+
+
 def _judge_bucket(width: int, homes: int):
+    def answers(rows) -> pa.Table:
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table({c: pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, (c, x) in enumerate(zip(("home", "bucket", "keys", "batches", "counts", "bits"), columns, strict=True))})
+
     def run(key, table):
-        heads, known, hashes = [], [], []
-        for docs, k, h in zip(*(table.column(c).to_pylist() for c in ("docs", "known", "hashes")), strict=True):
-            head = np.frombuffer(docs, [("id", "<i8"), ("key", "<i8"), ("n", "<u4")])
-            heads.append(head)
-            known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=int(head["n"].sum())).astype(bool))
-            hashes.append(h)
-        head, bits = np.concatenate(heads), np.concatenate(known)
-        ids = np.repeat(head["id"], head["n"])
-        open_ = np.flatnonzero(~bits)
-        bits[open_] = _marked(_narrow(np.frombuffer(b"".join(hashes), np.uint8), width), ids[open_])
+        place = key[0].as_py()
+        heads = [np.frombuffer(x, _HEAD) for x in table.column("docs").to_pylist()]
+        batches, data = table.column("batch").to_numpy(), table.column("data").to_pylist()
+        if place < 0:  # answered already
+            return answers([(-1 - place, -1, h["key"].tobytes(), np.full(len(h), b).tobytes(), h["n"].tobytes(), x) for h, b, x in zip(heads, batches, data, strict=True)])
+        batch, head = np.repeat(batches, list(map(len, heads))), np.concatenate(heads)
+        bits = _marked(_narrow(np.frombuffer(b"".join(data), np.uint8), width), np.repeat(head["id"], head["n"]))
         ends = np.cumsum(head["n"], dtype=np.int64)
-        some = np.flatnonzero(np.add.reduceat(bits, ends - head["n"]) > 0) if len(bits) else np.zeros(0, np.int64)
-        home = (((head["key"][some].view(np.uint64) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        some, home = some[order], home[order]
-        edges = np.flatnonzero(np.diff(home, prepend=-1, append=-1))
-        rows = {"home": [], "keys": [], "counts": [], "bits": []}
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some = np.flatnonzero(np.add.reduceat(bits, ends - head["n"], dtype=np.int64) > 0) if len(bits) else np.zeros(0, np.int64)
+        some = some[np.argsort(_home(head["key"][some], homes), kind="stable")]
+        rows = []
+        for a, b in _runs(_home(head["key"][some], homes)):
             own = some[a:b]
-            rows["home"].append(int(home[a])), rows["keys"].append(head["key"][own].tobytes()), rows["counts"].append(head["n"][own].tobytes())
-            rows["bits"].append(b"".join(np.packbits(bits[ends[i] - head["n"][i] : ends[i]]).tobytes() for i in own.tolist()))
-        n = len(rows["home"])
-        return pa.table({"home": pa.array(rows["home"], pa.int64()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("keys", "counts", "bits")}})
+            packed = b"".join(np.packbits(bits[ends[i] - head["n"][i] : ends[i]]).tobytes() for i in own.tolist())
+            rows.append((int(_home(head["key"][own[:1]], homes)[0]), place, head["key"][own].tobytes(), batch[own].tobytes(), head["n"][own].tobytes(), packed))
+        return answers(rows)
 
     return run
 
 
-def _answers(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
-    """By text key: (bucket, packed bits)."""
-    out: dict[int, list[tuple[int, bytes]]] = {}
-    for bucket, keys, counts, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "counts", "bits")), strict=True):
+def _answers(table: pa.Table) -> dict[int, dict[int, dict[int, bytes]]]:
+    """By text key, by batch, by bucket (-1: answered in the batch): packed bits."""
+    out: dict[int, dict[int, dict[int, bytes]]] = {}
+    for bucket, keys, batches, counts, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "batches", "counts", "bits")), strict=True):
         at = 0
-        for key, n in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
+        for key, batch, n in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(batches, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
             size = -(-n // 8)
-            out.setdefault(key, []).append((bucket, bits[at : at + size]))
+            out.setdefault(key, {}).setdefault(batch, {})[bucket] = bits[at : at + size]
             at += size
     return out
 
@@ -178,8 +209,8 @@ def repeated(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", windo
     buckets, homes = -(-size // BUCKET_BYTES), -(-size // HOME_BYTES)
     width = min(16, max(5, math.ceil((2 * math.log2(size) + 3 - math.log2(buckets)) / 8)))  # words have two bytes or more: size / 2 windows at most
     named = rows.where("_id IS NOT NULL AND text IS NOT NULL")
-    packed = named.select("_id", "_key", "text").mapInArrow(_hash_windows(window, buckets, width), "bucket long, docs binary, known binary, hashes binary")
-    judged = packed.groupBy("bucket").applyInArrow(_judge_bucket(width, homes), "home long, bucket long, keys binary, counts binary, bits binary")
+    packed = named.select("_id", "_key", "text").mapInArrow(_hash_windows(window, buckets, homes, width), _PACKED)
+    judged = packed.groupBy("bucket").applyInArrow(_judge_bucket(width, homes), _ANSWERS)
     interval = T.StructType([T.StructField("first", T.LongType(), False), T.StructField("end", T.LongType(), False)])
     schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("text", T.StringType()), T.StructField("intervals", T.ArrayType(interval, False)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -206,18 +237,23 @@ def repeated(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", windo
     return known.unionByName(rows.where("_id IS NULL OR text IS NULL").select("doc_id", "text").mapInArrow(alone, schema))
 
 
-def _merge(text: bytes, marks: list[tuple[int, bytes]] | None, window: int, buckets: int):
+def _merge(text: bytes, marks: dict[int, dict[int, bytes]] | None, window: int, buckets: int):
     words = text.split()
     n = len(words)
     intervals, kept = [], words
     if marks:
         grams, bucket, _, at, *_ = _keys([text], window, buckets)
         bits = np.zeros(len(grams), bool)
-        order = np.argsort(bucket, kind="stable")
-        firsts = np.searchsorted(bucket[order], [k for k, _ in marks])
-        lasts = np.searchsorted(bucket[order], [k for k, _ in marks], side="right")
-        for (_, packed), a, b in zip(marks, firsts.tolist(), lasts.tolist(), strict=True):
-            bits[order[a:b]] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+        unpacked = lambda packed, n: np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+        for of in marks.values():  # one batch, but for repeated rows
+            known = unpacked(of[-1], len(grams)) if -1 in of else np.zeros(len(grams), bool)
+            bits |= known
+            order = np.flatnonzero(~known)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            rest = sorted(set(of) - {-1})
+            firsts, lasts = np.searchsorted(bucket[order], rest), np.searchsorted(bucket[order], rest, side="right")
+            for k, a, b in zip(rest, firsts.tolist(), lasts.tolist(), strict=True):
+                bits[order[a:b]] |= unpacked(of[k], b - a)
         change = np.zeros(n + 1, np.int64)
         np.add.at(change, at[bits], 1)
         np.add.at(change, at[bits] + window, -1)
