@@ -8,8 +8,13 @@ Each stream is cut into blocks of BLOCK values. A block subtracts its minimum, p
 a percentile of the values needs, and keeps larger values in an exception list (positions and high parts).
 An index of block starts precedes the blocks, so that a reader can take any range of tokens.
 
+Documents are dealt by ranges of id, then a hash of the text, then their place in the input, so that neither null ids nor
+repeated rows need to fit in one range. How many ranges follows from the bytes of text. A task writes a file whenever it holds
+FILE_IDS ids; one document is never cut.
+
 Documents with null id come first; a null text counts as empty. Repeated ids stay as rows of their own, in a
-stable order by id, then text. An empty table gives no files. Any other columns are not stored.
+stable order by id, then the text's hash. Ids must be numbers, or texts of numbers. An empty table gives no files. Any other
+columns are not stored, whatever their names.
 Writing is idempotent: a task writes beside the final name and renames, so a lost executor's task can run again.
 """
 
@@ -26,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_dir, slices
+from .common import byte_batches, shared_dir, slices
 
 BLOCK = 16_384
 PERCENTILE = 97
@@ -35,6 +40,8 @@ NULL_ID = -(1 << 63)
 MAGIC = b"TKF1"
 #: Distinct words whose ids a task remembers (speed only).
 CACHE = 500_000
+#: Ids that end a file, and text for one range at most on average.
+FILE_IDS, RANGE_BYTES = 1 << 23, 128 << 20
 
 
 # --- blocks ---------------------------------------------------------------------------------------
@@ -134,11 +141,31 @@ def open_file(data: bytes) -> tuple[Stream, Stream, Stream]:
 # --- tokenizer ------------------------------------------------------------------------------------
 
 
+#: Fixed value: the pattern of pre-tokens without white space that word-level definitions split by.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _steps(part: dict | None, name: str) -> list[dict]:
+    """A normaliser or pre-tokenizer as a list of its steps."""
+    return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+
+def cuts_words(definition: dict) -> tuple[bool, bool]:
+    """Whether a definition cuts texts at ASCII white space before any merge, and whether letters are cut from what follows them and lowered."""
+    normal = _steps(definition.get("normalizer"), "normalizers")
+    cut = _steps(definition.get("pre_tokenizer"), "pretokenizers")
+    space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or n == space for n in normal)
+    split = bool(cut) and cut[0]["type"] == "Split" and cut[0]["pattern"] == {"Regex": WORD_PATTERN} and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+    by_word = plain and (split or bool(cut) and cut[0]["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"))
+    return by_word, by_word and split and any(n["type"] == "Lowercase" for n in normal)
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, remembered by word.
 
-    The library's file must cut texts at ASCII white space before any merge (checked): then the ids of a
-    text are those of its words one after the other.
+    Where the definition cuts texts at ASCII white space before any merge, the ids of a text are those of its words one
+    after the other. Other definitions get whole texts.
     """
 
     def __init__(self, definition: str):
@@ -146,11 +173,7 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        probe = "a b\nc\td"
-        parts = [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.by_word = parts == self.tokenizer.encode(probe, add_special_tokens=False).ids
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.by_stem = all(ids(x) == ids(y) + ids(z) for x, y, z in (("Abc.", "abc", "."), ("AB,", "ab", ","), ("x.,.", "x", ".,.")))
+        self.by_word, self.by_stem = cuts_words(json.loads(definition))
         #: by id: whether a token ends a word; then words of letters alone can be encoded many at a time and told apart
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
@@ -229,51 +252,68 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_files(df: DataFrame, definition: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end: int = END, files: int = 0) -> list[tuple[int, int, int]]:
-    """Encode whole texts and write token files under path; returns (file, documents, ids) of each file.
+def write_files(df: DataFrame, definition: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end: int = END, ranges: int = 0) -> list[tuple[str, int, int]]:
+    """Encode whole texts and write token files under path; returns (file, documents, ids) of each file, in the order of ids.
 
-    One shuffle deals documents by ranges of their ids; file k holds smaller ids than file k + 1.
-    files: how many ranges, by default as many as Spark's shuffle partitions.
+    One shuffle deals documents by ranges; files of a range hold smaller ids than those of the next.
+    ranges: how many, by default one for RANGE_BYTES of text, and as many as Spark's shuffle partitions at least.
     """
     spark = df.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES))
+    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange(n, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        tokenizer, ids, lengths, tokens = None, [], [], []
-        for batch in batches:
-            tokenizer = tokenizer or tokenizer_of(definition)
-            for part in slices(batch):
-                ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                coded = tokenizer.encode([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
-                lengths.append(np.array([len(x) // 4 + 1 for x in coded], np.int64))
-                tokens.append(np.frombuffer(b"".join(x + struct.pack("<I", end) for x in coded), "<u4").astype(np.uint16 if max(end, tokenizer.tokenizer.get_vocab_size()) < 1 << 16 else np.uint32))
-        if ids:
+        tokenizer, held, ids, lengths, tokens = None, 0, [], [], []
+        store, folder = _filesystem(path)
+
+        def file(number: int) -> pa.RecordBatch:
             lengths_ = np.concatenate(lengths)
             data = encode_file(np.concatenate(ids), lengths_, np.concatenate(tokens))
-            store, folder = _filesystem(path)
             store.create_dir(folder, recursive=True)
-            k = task.partitionId()
-            name = f"{folder}/tokens-{k:06d}.tkf"
-            with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as f:
+            name = f"tokens-{task.partitionId():06d}-{number:06d}.tkf"
+            beside = f"{folder}/{name}.{task.taskAttemptId()}.tmp"
+            with store.open_output_stream(beside) as f:
                 f.write(data)
-            store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
-            yield pa.RecordBatch.from_pydict({"file": [k], "docs": [len(lengths_)], "ids": [int(lengths_.sum())]})
+            try:
+                store.move(beside, f"{folder}/{name}")
+            except OSError:  # some stores refuse to replace what an earlier attempt wrote, which is the same
+                if not store.get_file_info(f"{folder}/{name}").is_file:
+                    raise
+                store.delete_file(beside)
+            return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(lengths_)], "ids": [int(lengths_.sum())]})
+
+        number = 0
+        for batch in batches:
+            tokenizer = tokenizer or tokenizer_of(definition)
+            kind = np.uint16 if max(end, tokenizer.tokenizer.get_vocab_size()) < 1 << 16 else np.uint32
+            for part in slices(batch):
+                keys, texts = part.column(0).to_numpy(zero_copy_only=False), [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+                for a, b in byte_batches(texts, 4 << 20):
+                    coded = tokenizer.encode(texts[a:b])
+                    ids.append(keys[a:b])
+                    lengths.append(np.array([len(x) // 4 + 1 for x in coded], np.int64))
+                    tokens.append(np.frombuffer(b"".join(x + struct.pack("<I", end) for x in coded), "<u4").astype(kind))
+                    held += len(tokens[-1])
+                    if held >= FILE_IDS:
+                        yield file(number)
+                        number, held, ids, lengths, tokens = number + 1, 0, [], [], []
+        if ids:
+            yield file(number)
 
-    return sorted(tuple(r) for r in dealt.mapInArrow(run, "file long, docs long, ids long").collect())  # a row for each file
+    return sorted(tuple(r) for r in dealt.mapInArrow(run, "file string, docs long, ids long").collect())  # a row for each file
 
 
-def read_files(spark, path: str, written: list[tuple[int, int, int]]) -> DataFrame:
+def read_files(spark, path: str, written: list[tuple[str, int, int]]) -> DataFrame:
     """Rows of doc_id, start, n_tokens, ids_crc32 from token files; start counts all ids of earlier documents.
 
     written: what write_files returned, a row for each file, from which each file's first position follows."""
     first, total = {}, 0
-    for k, _, ids in written:
-        first[f"tokens-{k:06d}.tkf"] = total
+    for name, _, ids in written:
+        first[name] = total
         total += ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not written:

@@ -218,6 +218,34 @@ def test_token_files_of_odd_tables(spark, repeated, none):
     assert tokenfiles.token_files(none, definition).count() == 0
 
 
+def test_token_files_roll_and_null_ids_spread(spark, monkeypatch, tmp_path):
+    import public_tokenizers as p
+
+    from .conftest import frame
+
+    definition = Path(p.path("word_bpe_49k.json")).read_text()
+    docs = frame(spark, [(None, f"text number {i} of many") for i in range(300)] + [(7, "the same words")] * 300)
+    written = tokenfiles.write_files(docs, definition, f"file://{tmp_path}/a", ranges=8)
+    assert sum(n for _, n, _ in written) == 600 and max(n for _, n, _ in written) < 250
+    monkeypatch.setattr(tokenfiles, "FILE_IDS", 1)
+    rolled = tokenfiles.write_files(docs.limit(200).coalesce(1), definition, f"file://{tmp_path}/b", ranges=1)
+    assert sum(n for _, n, _ in rolled) == 200
+    rows = tokenfiles.read_files(spark, f"file://{tmp_path}/a", written).collect()
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in rows)
+    assert len(rows) == 600 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_definitions_that_cut_at_spaces():
+    import json
+
+    import public_tokenizers as p
+
+    definition = json.loads(Path(p.path("word_bpe_49k.json")).read_text())
+    assert tokenfiles.cuts_words(definition) == (True, True)
+    assert tokenfiles.cuts_words(definition | {"pre_tokenizer": {"type": "ByteLevel"}}) == (False, False)
+    assert tokenfiles.cuts_words(definition | {"normalizer": None}) == (True, False)
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 
