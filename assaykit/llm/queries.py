@@ -10,11 +10,18 @@ from . import bpe, decontaminate, jaccard, langid, licenses, media, secrets, sha
 from .common import table
 
 
+#: Arrivals that op1_sharding deals documents to, by a hash: each of them is appended whole.
+ARRIVALS = 5
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents appended as small shards and compacted; every row read back through the last manifest."""
+    """documents appended in several arrivals of small shards, compacted after each; every row read back through the last manifest."""
     store = sharding.ShardStore(spark)
-    store.append(table(spark, sf_dir, "documents"))
-    version = store.compact()
+    docs = table(spark, sf_dir, "documents")
+    arrival, version = F.pmod(F.xxhash64("doc_id", "source"), F.lit(ARRIVALS)), 0
+    for k in range(ARRIVALS):
+        store.append(docs.where(arrival == k))
+        version = store.compact()
     return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 

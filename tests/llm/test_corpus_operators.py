@@ -219,7 +219,9 @@ def test_shards_are_compacted_and_versions_stay(spark):
     for v in (before["version"], version):
         assert store.read(v).select("id").orderBy("id").toPandas()["id"].tolist() == list(range(600))
     assert store.read(1).count() == 200
-    assert store.vacuum() > 0 and store.read().count() == 600
+    assert store.vacuum() == 0  # all files are young
+    assert store.vacuum(keep_versions=99, older_than_seconds=0) == 0 and store.read(1).count() == 200
+    assert store.vacuum(older_than_seconds=0) > 0 and store.read().count() == 600
 
 
 def test_a_second_writer_of_a_version_conflicts(spark):
@@ -231,6 +233,43 @@ def test_a_second_writer_of_a_version_conflicts(spark):
     assert store.read().count() == 5
 
 
+def test_writers_that_lose_try_again(spark, monkeypatch):
+    store, other = (sharding.ShardStore(spark, r, shard_rows=10, fan_in=2) for r in [sharding.ShardStore(spark).root] * 2)
+    store.append(spark.range(0, 50))
+    real, others = store._commit, iter([lambda: other.append(spark.range(50, 60)), lambda: other.compact()])
+
+    def late(*args):
+        if step := next(others, None):
+            step()
+        return real(*args)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.append(spark.range(60, 70))
+    store.compact()
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(70))
+
+
+def test_arrivals_of_other_types_are_refused(spark):
+    store = sharding.ShardStore(spark)
+    store.append(spark.sql("SELECT 1L AS x, array(1) AS y"))
+    for other in ("SELECT 'a' AS x, array(1) AS y", "SELECT 1 AS x, array(1) AS y", "SELECT 1L AS x, array('b') AS y", "SELECT array(1) AS y, 1L AS x"):
+        with pytest.raises(ValueError):
+            store.append(spark.sql(other))
+    store.append(spark.sql("SELECT nullif(1L, 1L) AS x, array(nullif(1, 1)) AS y"))
+    assert store.read().count() == 2
+
+
+def test_sharding_query_really_compacts(spark, small, monkeypatch):
+    made = []
+    real = sharding.ShardStore.__init__
+    monkeypatch.setattr(sharding.ShardStore, "__init__", lambda self, *a, **k: (real(self, *a, **k), made.append(self))[0])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert queries.op1_sharding(spark, small).count() == docs.count()
+    (store,) = made
+    sizes = [len(store.manifest(v)["shards"]) for v in store.versions()]
+    assert any(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and len(store.versions()) > queries.ARRIVALS
+
+
 def test_shards_of_odd_tables(spark, repeated, none):
     store = sharding.ShardStore(spark)
     store.append(none)
