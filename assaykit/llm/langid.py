@@ -4,8 +4,9 @@ For each language a suffix automaton of labelled sample text is built. A documen
 matches against each automaton: the fewer phrases, the better the language explains it. The phrase count is
 normalised by the letters parsed; the language with the smallest rate wins, ties going to the name that sorts first.
 
-Texts are parsed whole. The parse starts anew every SEGMENT characters, so that thousands of segments take each
-step together in numpy. The sample is bounded by `docs_per_lang` documents and `chars_per_lang` characters
+Texts are parsed whole. Segments of SEGMENT symbols are parsed at the same time, each as if a phrase began with it, so that thousands
+take each step together in numpy. The parse of the segment before then runs on into each until both are in the same state, which
+takes some twenty symbols, and the phrases up to there are counted by it: the result is that of one parse from end to end. The sample is bounded by `docs_per_lang` documents and `chars_per_lang` characters
 in each language (documented parameters); which documents are in it depends on hashes of their ids and on their lengths.
 Texts beyond a third of `chars_per_lang` are taken where a language's hash bucket has no other, and then only the third in their
 middle: an excerpt to learn from; texts to be identified are never cut.
@@ -19,10 +20,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import annotate
+from .common import annotate, byte_batches
 
 UNKNOWN = "und"
 SEGMENT = 256
+#: Characters parsed together; bounds a task's memory.
+TOGETHER = 1 << 19
 #: Characters with numbers of their own in the automata; others share numbers by remainder.
 ALPHABET = 96
 _SPACE, _DIGIT, _OTHER, _FIRST = 0, 1, 2, 3
@@ -125,6 +128,8 @@ class CrossParser:
         self.codes = alphabet(sample)
         tables, roots, base = [], [], 0
         for name in self.langs:
+            if base * ALPHABET >= _NEW - 2 * ALPHABET * len(sample[name]):
+                raise ValueError("too many languages for the transition table: lower chars_per_lang")
             arcs = suffix_automaton(self.encode(sample[name])[0].tolist())
             restart = np.where(arcs[0] >= 0, arcs[0], 0)
             dead = arcs < 0
@@ -155,32 +160,77 @@ class CrossParser:
         """Phrases of each text in each language (a row for each text), and the letters of each text."""
         coded = [self.encode(x) for x in texts]
         letters = np.array([n for _, n in coded], np.int64)
-        sizes = np.array([len(s) if n else 0 for s, n in coded], np.int64)
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not sizes.sum() or not self.langs:
+        if not self.langs:
             return counts, letters
-        flat = np.concatenate([s for s, n in coded if n])
+        roots = lambda k: np.repeat(self.roots[None, :], k, axis=0)
+        some = [i for i, (x, n) in enumerate(coded) if n and len(x) <= TOGETHER]
+        if some:
+            counts[some] = self._parse([coded[i][0] for i in some], roots(len(some)))[0]
+        for i, (x, n) in enumerate(coded):
+            if n and len(x) > TOGETHER:
+                state = roots(1)
+                for at in range(0, len(x), TOGETHER):
+                    more, state = self._parse([x[at : at + TOGETHER]], state)
+                    counts[i] += more[0]
+        return counts, letters
+
+    def _parse(self, texts: list[np.ndarray], given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start in each text's symbols, from the states given, and the states at the ends."""
+        n, sizes = len(self.langs), np.array(list(map(len, texts)), np.int64)
+        flat = np.concatenate(texts)
         pieces = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        first = np.repeat(np.cumsum(sizes) - sizes, pieces) + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(np.cumsum(sizes) - sizes, pieces) + place * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(np.cumsum(sizes), pieces) - first)
-        order = np.argsort(-size, kind="stable")
+        order = np.argsort(-size, kind="stable")  # long segments first, so that each step takes the first ones
+        back = np.argsort(order)
+        before = np.where(place > 0, back[np.arange(len(owner)) - 1], -1)[order]
+        last = back[np.cumsum(pieces) - 1]
         owner, first, size = owner[order], first[order], size[order]
         grid = np.zeros((SEGMENT, len(owner)), np.uint8)
         steps = np.arange(SEGMENT)[:, None]
         live = steps < size[None, :]
         grid[live] = flat[(first[None, :] + steps)[live]]
         width = live.sum(axis=1)
-        n = len(self.langs)
-        state = np.broadcast_to(self.roots, (len(owner), n)).copy()
-        found = np.zeros((len(owner), n), np.int32)
+        #: by step, segment and language: the state after it; phrases so far
+        states = np.zeros((SEGMENT, len(owner), n), np.int32)
+        counted = np.zeros((SEGMENT, len(owner), n), np.uint16)
+        state = np.repeat(self.roots[None, :], len(owner), axis=0)
+        found = np.zeros((len(owner), n), np.uint16)
         for t in range(int(size[0])):
             w = width[t]
             to = self.arcs[state[:w] + grid[t, :w, None]]
-            found[:w] += to >> 30
+            found[:w] += (to >> 30).astype(np.uint16)
             state[:w] = to & (_NEW - 1)
-        np.add.at(counts, owner, found)
-        return counts, letters
+            states[t, :w], counted[t, :w] = state[:w], found[:w]
+        total, end, entry = found.astype(np.int64), state.copy(), np.repeat(self.roots[None, :], len(owner), axis=0)
+        while True:
+            wanted = np.where(before[:, None] >= 0, end[before], given[owner])
+            seg = np.flatnonzero((wanted != entry).any(axis=1))
+            if not len(seg):
+                break
+            entry[seg] = wanted[seg]
+            now, phrases, open_ = wanted[seg], np.zeros((len(seg), n), np.int64), np.ones((len(seg), n), bool)
+            for t in range(SEGMENT):
+                rows = np.flatnonzero(open_.any(axis=1) & (size[seg] > t))
+                if not len(rows):
+                    break
+                at = seg[rows]
+                to = self.arcs[now[rows] + grid[t, at, None]]
+                phrases[rows] += np.where(open_[rows], to >> 30, 0)
+                now[rows] = to & (_NEW - 1)
+                r, c = np.nonzero(open_[rows] & (now[rows] == states[t, at]))
+                # met: the rest of the segment is as it was parsed
+                total[at[r], c] = phrases[rows[r], c] + found[at[r], c] - counted[t, at[r], c].astype(np.int64)
+                end[at[r], c] = state[at[r], c]
+                open_[rows[r], c] = False
+            r, c = np.nonzero(open_)  # never met: all of the segment is the parse that came in
+            total[seg[r], c], end[seg[r], c] = phrases[r, c], now[r, c]
+        counts = np.zeros((len(texts), n), np.int64)
+        np.add.at(counts, owner, total)
+        return counts, end[last]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, score from 0 to 1 and phrases a letter of each text.
@@ -198,11 +248,32 @@ class CrossParser:
         return langs, scores, rates
 
 
+_parsers: dict[tuple, CrossParser] = {}
+
+
+def parser_of(sample: dict[str, str]) -> CrossParser:
+    """One parser for each Python worker: its automata outlive a task."""
+    key = tuple(sorted(sample.items()))
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = CrossParser(sample)
+    return _parsers[key]
+
+
 def identify(df: DataFrame, sample: dict[str, str], *, text: str = "text") -> DataFrame:
     """df with lang_pred, score and phrase_rate of each whole text. The sample's bound makes it fit for sending to tasks."""
 
     def make():
-        parser = CrossParser(sample)
-        return lambda texts: parser.predict([x or "" for x in texts.to_pylist()])
+        parser = parser_of(sample)
+
+        def compute(texts):
+            langs, scores, rates = [], [], []
+            rows = [x or "" for x in texts.to_pylist()]
+            for a, b in byte_batches(rows, TOGETHER):
+                for column, part in zip((langs, scores, rates), parser.predict(rows[a:b]), strict=True):
+                    column += part
+            return langs, scores, rates
+
+        return compute
 
     return annotate(df, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())], make)

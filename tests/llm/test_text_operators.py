@@ -94,6 +94,47 @@ def test_phrases_are_greedy_longest_matches():
         assert counts[0].tolist() == [plain("abab abba", text), plain("bcbc cbbc", text)]
 
 
+def test_segments_are_parsed_as_one_text(monkeypatch):
+    r = random.Random(13)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    sample = {name: " ".join(r.choice(words) for _ in range(400)) for name in ("one", "two", "three")}
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (3, 40, 900, 2_500)] + [sample["two"], "zz " * 500, sample["one"][50:700]]
+    want = []
+    parser = langid.CrossParser(sample)
+    for text in texts:
+        row = []
+        for root in parser.roots.tolist():
+            state, n = root, 0
+            for c in parser.encode(text)[0].tolist():
+                to = int(parser.arcs[state + c])
+                n, state = n + (to >> 30), to & (int(langid._NEW) - 1)
+            row.append(n)
+        want.append(row)
+    for segment, together in ((256, 1 << 19), (7, 1 << 19), (1, 50), (64, 130)):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        assert parser.phrases(texts)[0].tolist() == want
+
+
+def test_query_equals_a_plain_parse(spark, small, texts):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    parser = langid.CrossParser(langid.labelled_sample(docs, langid.crc_remainder("doc_id") != 2))
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, small).collect()}
+    for i, text in texts:
+        symbols, letters = parser.encode(text or "")
+        if not letters:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        counts = []
+        for root in parser.roots.tolist():
+            state, n = root, 0
+            for c in symbols.tolist():
+                to = int(parser.arcs[state + c])
+                n, state = n + (to >> 30), to & (int(langid._NEW) - 1)
+            counts.append(n)
+        assert got[i]["lang_pred"] == parser.langs[counts.index(min(counts))], i
+
+
 def test_held_out_accuracy(spark, small):
     got = queries.op4_language_id(spark, small)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", F.length("text").alias("len"))
