@@ -7,8 +7,13 @@ which frames are found. Frames of a batch are coded and decoded together: step t
 Shots are cut where the histogram difference of neighbouring frames exceeds an adaptive threshold: the mean plus
 SPREAD standard deviations of the differences in the frames before and after.
 
+`clips` also reads ordinary files: frames of any size in the baseline and extended DCT processes or lossless (see jpeg), offsets that
+count from the file's start, files without an index (their movi list is walked), and several streams (the first video stream is
+taken). Shots need histograms of luma only, which are taken frame by frame.
+
 A null or empty text becomes one frame of spaces. Texts of any length are stored whole. Equal texts give equal files
-and features. Other columns are kept, except those that a new column replaces. A null or broken media value gives no clips.
+and features. Other columns are kept, except those that a new column replaces. A media value gives no clips where its status is not
+ok: null, broken (not an AVI, or cut), or unsupported (no motion-JPEG, or a JPEG process that is not decoded).
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate, utf8
+from .common import annotate, fresh, utf8
+from .jpeg import Unsupported, luma
 
 WIDTH, HEIGHT = 16, 12
 SAMPLES = WIDTH * HEIGHT
@@ -151,46 +157,80 @@ def write_avi(images: list[bytes]) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"AVI " + body
 
 
+def _chunks(data: bytes, at: int, end: int):
+    """(name, where its data starts, size) of the chunks in a range."""
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        yield name, at + 8, size
+        at += 8 + size + size % 2
+
+
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """Frames a second, and the frames in the order of the index."""
+    """Frames a second, and the frames of the first video stream in the order of the index."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, rate = 12, 0, b"", float(FPS)
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
-        elif name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
-            if (per := struct.unpack_from("<I", data, at + 20)[0]) and data[at + 12 : at + 16] == b"avih":
-                rate = 1_000_000 / per
-        elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-    if not movi:
-        raise ValueError("no movi list")
-    frames = []
-    for name, _, offset, size in struct.iter_unpack("<4sIII", index):
-        if name[2:] == b"dc":
-            frames.append(data[movi + offset + 8 : movi + offset + 8 + size])
-    return rate, frames
+    movi, stop, index, rate, stream, number, codec = 0, 0, None, float(FPS), -1, None, b""
+    for name, at, size in _chunks(data, 12, len(data)):
+        kind = data[at : at + 4] if name == b"LIST" else name
+        if kind == b"movi" and not movi:
+            movi, stop = at, min(at + size, len(data))
+        elif kind == b"hdrl":
+            for inner, x, n in _chunks(data, at + 4, at + size):
+                if inner == b"avih" and (per := struct.unpack_from("<I", data, x)[0]):
+                    rate = 1_000_000 / per
+                elif inner == b"LIST" and data[x : x + 4] == b"strl":
+                    stream += 1
+                    for leaf, y, _ in _chunks(data, x + 4, x + n):
+                        if leaf == b"strh" and data[y : y + 4] == b"vids" and number is None:
+                            number, codec = stream, data[y + 4 : y + 8]
+        elif kind == b"idx1":
+            index = data[at : at + size]
+    if not movi or number is None:
+        raise ValueError("no movi list or no video stream")
+    if codec.upper() not in (b"MJPG", b"\0\0\0\0", b"JPEG", b"AVRN"):
+        raise Unsupported("no motion-JPEG")
+    names = (b"%02ddc" % number, b"%02ddb" % number)
+    if index is None:  # walk the list, and what records it is cut into
+        frames = []
+        for name, at, size in _chunks(data, movi + 4, stop):
+            for inner, x, n in _chunks(data, at + 4, at + size) if name == b"LIST" else [(name, at, size)]:
+                if inner in names:
+                    frames.append(data[x : x + n])
+        return rate, frames
+    entries = [(offset, size) for name, _, offset, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if name in names]
+    base = movi if not entries or data[movi + entries[0][0] : movi + entries[0][0] + 4] in names else 0  # offsets count from the list or from the file
+    if any(data[base + offset : base + offset + 4] not in names or base + offset + 8 + size > len(data) for offset, size in entries):
+        raise ValueError("an index that leads to no frames")
+    return rate, [data[base + offset + 8 : base + offset + 8 + size] for offset, size in entries]
 
 
 # --- shots ----------------------------------------------------------------------------------------
 
 
-def histogram_differences(frames: np.ndarray) -> np.ndarray:
-    """Half the L1 distance of the histograms of neighbouring frames, as a share of the samples."""
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Shares of BINS levels in the samples of each frame (a row each)."""
     n = len(frames)
     counts = np.bincount(((frames >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS).ravel(), minlength=n * BINS).reshape(n, BINS)
-    return np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2 * SAMPLES)
+    return counts / max(1, frames.shape[1])
 
 
-def shots(frames: np.ndarray) -> list[tuple[int, int, float]]:
-    """(first frame, frame after the last, difference at its start) of each shot."""
-    n = len(frames)
+def file_histograms(images: list[bytes]) -> np.ndarray:
+    """Histograms of a file's frames: of own ones together, of others one by one."""
+    if all(x.startswith(HEADER) for x in images):
+        parts = [histograms(decode_frames(images[i : i + 8192])) for i in range(0, len(images), 8192)]
+    else:
+        parts = [histograms(luma(x).reshape(1, -1)) for x in images]
+    return np.concatenate(parts) if parts else np.zeros((0, BINS))
+
+
+def shots_of(shares: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first frame, frame after the last, difference at its start) of each shot, from the frames' histograms.
+
+    A difference is half the L1 distance of neighbours."""
+    n = len(shares)
     if n < 2:
         return [(0, n, 0.0)] if n else []
-    d = histogram_differences(frames)
+    d = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
     sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (d, d * d))
     i = np.arange(len(d))
     lo, hi = np.maximum(i - AROUND, 0), np.minimum(i + AROUND + 1, len(d))
@@ -201,6 +241,10 @@ def shots(frames: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, round(float(d[a - 1]), 4) if a else 0.0) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def shots(frames: np.ndarray) -> list[tuple[int, int, float]]:
+    return shots_of(histograms(frames))
+
+
 def payload(text: bytes) -> bytes:
     """UTF-8 with spaces up to a positive multiple of SAMPLES."""
     return text + b" " * (max(1, -(-len(text) // SAMPLES)) * SAMPLES - len(text))
@@ -256,21 +300,36 @@ def to_media(df: DataFrame, *, text: str = "text", media: str = "media") -> Data
     return annotate(df, [text], [T.StructField(media, T.BinaryType())], make)
 
 
+def clips_of(data: bytes | None) -> tuple[str, list[dict]]:
+    """Status and clips of a media value."""
+    if data is None:
+        return "null", []
+    try:
+        rate, images = read_avi(data)
+        found = shots_of(file_histograms(images))
+    except Unsupported:
+        return "unsupported", []
+    except (ValueError, struct.error):
+        return "broken", []
+    return "ok", [{"clip": k, "start_ms": a * 1000 / rate, "end_ms": b * 1000 / rate, "frames": b - a, "difference": x} for k, (a, b, x) in enumerate(found)]
+
+
 def clips(df: DataFrame, *, media: str = "media") -> DataFrame:
-    """df with an array of timed clips (number, start and end in milliseconds, frames, difference at the start) of each AVI file."""
+    """df with clips_status (ok, null, broken, unsupported) and an array of timed clips (number, start and end in milliseconds, frames, difference at the start) of each AVI file."""
     clip = T.StructType([T.StructField("clip", T.IntegerType()), T.StructField("start_ms", T.DoubleType()), T.StructField("end_ms", T.DoubleType()), T.StructField("frames", T.IntegerType()), T.StructField("difference", T.DoubleType())])
 
     def make():
-        def of(data: bytes | None):
-            try:
-                ((rate, frames),) = load([data or b""])
-            except (ValueError, struct.error):
-                return []
-            return [{"clip": k, "start_ms": a * 1000 / rate, "end_ms": b * 1000 / rate, "frames": b - a, "difference": x} for k, (a, b, x) in enumerate(shots(frames))]
+        return lambda files: list(zip(*map(clips_of, files.to_pylist()), strict=True)) or [[], []]
+
+    return annotate(df, [media], [T.StructField("clips_status", T.StringType()), T.StructField("clips", T.ArrayType(clip))], make)
 
-        return lambda files: [[of(x) for x in files.to_pylist()]]
 
-    return annotate(df, [media], [T.StructField("clips", T.ArrayType(clip))], make)
+def clip_rows(df: DataFrame, *, media: str = "media") -> DataFrame:
+    """A row for each clip, with df's other columns; media values without clips give none."""
+    found = clips(df, media=media)
+    clip = fresh(found.columns, "each")
+    keep = [c for c in df.columns if c not in (media, "clip", "start_ms", "end_ms", "frames", "difference", "clips", "clips_status")]
+    return found.select(*keep, F.explode("clips").alias(clip)).select(*keep, f"{clip}.*")
 
 
 def digests(df: DataFrame, *, text: str = "text") -> DataFrame:

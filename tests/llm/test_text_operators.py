@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.llm import bpe, langid, licenses, media, queries, secrets, tokenfiles
+from assaykit.llm import bpe, jpeg, langid, licenses, media, queries, secrets, tokenfiles
 
 from . import brute
 from .conftest import ODD_TEXTS, REPEATED
@@ -310,6 +310,124 @@ def test_avi_round_trip_and_index():
     assert (media.decode_frames(back) == frames).all()
 
 
+def plain_shots(frames) -> list[tuple[int, int, float]]:
+    """Shots by the rule, one difference after the other."""
+    shares = [[sum(v // 16 == k for v in f) / len(f) for k in range(media.BINS)] for f in (f.ravel().tolist() for f in frames)]
+    d = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(shares, shares[1:], strict=False)]
+    cuts = [0]
+    for i, x in enumerate(d):
+        near = [d[j] for j in range(max(0, i - media.AROUND), min(len(d), i + media.AROUND + 1)) if j != i]
+        mean = sum(near) / max(1, len(near))
+        spread = (sum(v * v for v in near) / max(1, len(near)) - mean * mean) if near else 0
+        if x > mean + media.SPREAD * max(0, spread) ** 0.5 + 0.02 and x > 0.1:
+            cuts.append(i + 1)
+    cuts.append(len(frames))
+    return [(a, b, round(d[a - 1], 4) if a else 0.0) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def test_shots_and_features_equal_brute_force(spark, small, texts):
+    got = {r["doc_id"]: r["feature"] for r in queries.op9_media_columns(spark, small).collect()}
+    for i, text in texts[:80]:
+        frames = np.frombuffer(media.payload((text or "").encode()), np.uint8).reshape(-1, media.SAMPLES)
+        want = plain_shots(frames)
+        assert [x[:2] for x in media.shots(frames)] == [x[:2] for x in want]
+        feature = f"frames={len(frames)};shots={len(want)};longest_ms={max(b - a for a, b, _ in want) * 1000 / media.FPS:.0f};peak={max(z for _, _, z in want):.4f};mean={frames.mean():.3f}"
+        assert got[i] == feature
+
+
+def baseline_jpeg(plane: np.ndarray, sampling: int = 1, tables: bool = True, restart: int = 0) -> bytes:
+    """A baseline frame of a plane of luma (with two grey planes of colour where sampling is 2), quantised by 2."""
+    codes = {}
+    for key, (counts, symbols) in jpeg.STANDARD.items():
+        code = at = 0
+        for n, count in enumerate(counts, 1):
+            for _ in range(count):
+                codes[key, symbols[at]] = f"{code:0{n}b}"
+                code, at = code + 1, at + 1
+            code <<= 1
+    number = lambda v: "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
+
+    def block(x, last, k):
+        c = np.rint(jpeg._COSINES @ (x.astype(float) - 128) @ jpeg._COSINES.T / 2).astype(int).ravel()[jpeg._ZIGZAG].tolist()
+        out, zeros = codes[(0, k), abs(c[0] - last).bit_length()] + number(c[0] - last), 0
+        for v in c[1:]:
+            if not v:
+                zeros += 1
+                continue
+            while zeros > 15:
+                out, zeros = out + codes[(1, k), 0xF0], zeros - 16
+            out, zeros = out + codes[(1, k), zeros << 4 | abs(v).bit_length()] + number(v), 0
+        return out + (codes[(1, k), 0] if zeros else ""), c[0]
+
+    h, w = plane.shape
+    side = 8 * sampling
+    padded = np.pad(plane, ((0, -h % side), (0, -w % side)), mode="edge")
+    scan, bits, last, colour, done = b"", "", 0, [0, 0], 0
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    units = [(y, x) for y in range(0, padded.shape[0], side) for x in range(0, padded.shape[1], side)]
+    for k, (y, x) in enumerate(units):
+        for v in range(sampling):
+            for u in range(sampling):
+                code, last = block(padded[y + 8 * v : y + 8 * v + 8, x + 8 * u : x + 8 * u + 8], last, 0)
+                bits += code
+        if sampling == 2:
+            for i in (0, 1):
+                code, colour[i] = block(np.full((8, 8), 100 + 20 * i), colour[i], 1)
+                bits += code
+        if restart and (k + 1) % restart == 0 and k + 1 < len(units):
+            scan, bits, last, colour, done = scan + flush(bits) + bytes([0xFF, 0xD0 + done % 8]), "", 0, [0, 0], done + 1
+    parts = [(1, 0x10 * sampling + sampling, 0)] + [(2, 0x11, 0), (3, 0x11, 0)] * (sampling == 2)
+    out = b"\xff\xd8\xff\xfe\x00\x04hi" + b"\xff\xdb\x00\x43\x00" + b"\x02" * 64
+    out += b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(parts), 8, h, w, len(parts)) + b"".join(map(bytes, parts))
+    if tables:
+        for (cls, k), (counts, symbols) in jpeg.STANDARD.items():
+            out += b"\xff\xc4" + struct.pack(">HB", 19 + len(symbols), cls << 4 | k) + counts + symbols
+    if restart:
+        out += b"\xff\xdd\x00\x04" + struct.pack(">H", restart)
+    picks = b"".join(bytes([c, 0x00 if c == 1 else 0x11]) for c, _, _ in parts)
+    return out + b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(parts), len(parts)) + picks + b"\x00\x3f\x00" + scan + flush(bits) + b"\xff\xd9"
+
+
+def test_ordinary_frames_are_decoded():
+    r = np.random.default_rng(5)
+    for h, w in ((8, 8), (33, 50), (120, 160)):
+        smooth = 128 + 60 * np.sin(np.arange(h)[:, None] / 9) * np.cos(np.arange(w)[None, :] / 7) + r.normal(0, 9, (h, w))
+        plane = np.clip(smooth, 0, 255).astype(np.uint8)
+        for options in ({}, {"tables": False}, {"sampling": 2}, {"restart": 3}, {"sampling": 2, "restart": 2, "tables": False}):
+            got = jpeg.luma(baseline_jpeg(plane, **options))
+            assert got.shape == plane.shape and np.abs(got.astype(int) - plane).max() <= 6, options
+    own = r.integers(0, 256, (1, media.SAMPLES), dtype=np.uint8)
+    assert (jpeg.luma(media.encode_frames(own)[0]).ravel() == own[0]).all()
+    whole = baseline_jpeg(plane)
+    with pytest.raises(jpeg.Unsupported):
+        jpeg.luma(whole.replace(b"\xff\xc0", b"\xff\xc2", 1))
+    for bad in (b"", b"\xff\xd8", whole[: len(whole) // 2], whole[:300]):
+        with pytest.raises(ValueError):
+            jpeg.luma(bad)
+
+
+def test_clips_of_ordinary_files(spark):
+    light, dark = np.full((40, 48), 210, np.uint8), np.tile(np.arange(48, dtype=np.uint8) * 2, (40, 1))
+    images = [baseline_jpeg(light)] * 12 + [baseline_jpeg(dark, sampling=2)] * 9
+    file = media.write_avi(images)
+    movi = file.index(b"movi")
+    at = file.index(b"idx1")
+    entries = [list(x) for x in struct.iter_unpack("<4sIII", file[at + 8 :])]
+    absolute = file[: at + 8] + b"".join(struct.pack("<4sIII", n, f, o + movi, s) for n, f, o, s in entries)
+    bare = file[:at]
+    rows = [(1, file), (2, absolute), (3, bare), (4, None), (5, b"RIFF"), (6, file[: len(file) // 2]), (7, file.replace(b"MJPG", b"H264")), (8, b""), (9, media.write_avi([]))]
+    got = {r["id"]: r for r in media.clips(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    for i in (1, 2, 3):
+        assert got[i]["clips_status"] == "ok" and [(c["start_ms"], c["end_ms"], c["frames"]) for c in got[i]["clips"]] == [(0.0, 480.0, 12), (480.0, 840.0, 9)], i
+    assert [got[i]["clips_status"] for i in (4, 5, 7, 8, 9)] == ["null", "broken", "unsupported", "broken", "ok"] and got[9]["clips"] == []
+    clips = media.clip_rows(spark.createDataFrame(rows, "id int, media binary")).where("id < 4")
+    assert clips.columns == ["id", "clip", "start_ms", "end_ms", "frames", "difference"] and clips.count() == 6
+
+
 def test_shots_follow_a_change():
     r = np.random.default_rng(6)
     dark, light = r.integers(0, 60, (30, media.SAMPLES)), r.integers(180, 240, (20, media.SAMPLES))
