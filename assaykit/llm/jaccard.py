@@ -6,8 +6,8 @@ Exact, without pairs of all copies and without caps:
 2. Near copies are merged early: documents that share MinHash values meet the smallest document that has them, and pairs
    with 0.75 or more, by their full sets, are links. This only spares later work; it decides nothing else.
 3. Multiple-global-order filtering: under any order of all shingles, two documents that link share one of the first
-   n - ceil(0.75 n) + 1 of each. ORDERS orders are used, all rare before frequent by a fixed-size table of counts, then each by
-   a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
+   n - ceil(0.75 n) + 1 of each. ORDERS orders are used, all rare before frequent by a table of hashed counts that grows with the
+   input up to MOST_COUNTERS (which only decides speed), then each by a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
    orders' pairs of groups are intersected.
 4. Candidates are verified by full sets: the larger group's members in blocks, each against the members of all
    groups paired with it, in cells of at most two times CELL documents.
@@ -15,7 +15,8 @@ Exact, without pairs of all copies and without caps:
 
 Rows: null and empty texts have no shingles and link with nothing; so do rows with null ids. Rows with equal ids are one
 node. Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered; a text with fewer than five words has its whole sequence as its
-one shingle. Sets are compared by 64-bit shingle hashes.
+one shingle. Sets are compared by 64-bit shingle hashes. Ids must be numbers, or texts of numbers. Columns other than
+the id and the text are not looked at, whatever their names; the result has neither.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ from .common import byte_batches, mix, stored, utf8, windows_of, words_of
 from .components import components
 
 K, ORDERS, KEYS = 5, 3, 8
-#: Counters of shingles, whatever the input's size; documents on each side of a cell; text for one bucket of prefixes.
-COUNTERS, CELL, BUCKET_BYTES = 1 << 18, 256, 32 << 20
-CHUNK = COUNTERS // 64
+#: Documents on each side of a cell; members that meet a leader in one cell; text for one bucket of prefixes; pairs of a bucket that leave it together.
+CELL, EARLY_CELL, BUCKET_BYTES, PAIRS = 256, 64, 32 << 20, 1 << 20
+#: Counters of shingles: one for each KiB of text between these bounds; they travel in chunks.
+LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 1 << 18, 1 << 23, 4096
+#: Text whose counters are summed in one group before the groups are summed.
+COUNTED_BYTES = 8 << 30
 #: Bits of the filter that tells which texts a join needs: a bound for what is broadcast; more ids only make it pass more.
 FILTER_BITS = 1 << 24
 
@@ -65,46 +69,83 @@ def similar(shared: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
     return 100 * shared >= 75 * (n + m - shared)
 
 
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens ^ _COUNTER_SEED) & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (mix(tokens ^ _COUNTER_SEED) & np.uint64(counters - 1)).astype(np.uint32)
 
 
 # --- step 1: one row for each document, and the counters of each task ----------------------------------
 
-_FEATURES = "id long, n long, s1 long, s2 long, keys array<long>, chunk int, counts binary"
+_FEATURES = "id long, n long, s1 long, s2 long, keys array<long>, chunk int, salt int, counts binary"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters = np.zeros(COUNTERS, np.int64)
+def _features(counters: int = 0, salts: int = 1):
+    """Rows of (id, text) to their features; with counters, each task adds its own in chunks that hold any."""
 
-    def batch_of(ids, n, s1, s2, keys, chunk, counts):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-        names = ("id", "n", "s1", "s2", "keys", "chunk", "counts")
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, n, s1, s2, keys, chunk, counts), kinds, strict=True)], names=list(names))
+    def batch_of(size, **columns):
+        kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "chunk": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items()], names=list(kinds))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total, waiting, held = np.zeros(counters, np.uint32), [], 0
+
+        def add():
+            if waiting:
+                np.add(total, np.bincount(np.concatenate(waiting), minlength=counters), out=total, casting="unsafe")
+                waiting.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = sets_of(utf8(part.column(1)))
+                n, s1, s2, keys = [], [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    mixed = mix(s)
+                    s1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
+                    s2.append(int(mix(mixed).sum(dtype=np.uint64).view(np.int64)))
+                    keys.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _KEY_SEEDS] if len(s) else [])
+                if counters:
+                    waiting.append(_counter(np.concatenate(sets), counters))
+                    held += len(waiting[-1])
+                    if held >= 1 << 20:
+                        add()
+                        held = 0
+                yield batch_of(len(sets), id=part.column(0), n=n, s1=s1, s2=s2, keys=keys)
+        add()
+        chunks = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(axis=1)).tolist()
+        salt = TaskContext.get().partitionId() % salts
+        for i in range(0, len(some), 64):
+            own = some[i : i + 64]
+            yield batch_of(len(own), chunk=own, salt=[salt] * len(own), counts=[chunks[k].astype("<i8").tobytes() for k in own])
+
+    return run
+
+
+def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CHUNK, np.int64)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            sets = sets_of(utf8(part.column(1)))
-            n, s1, s2, keys = [], [], [], []
-            for s in sets:
-                n.append(len(s))
-                mixed = mix(s)
-                s1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-                s2.append(int(mix(mixed).sum(dtype=np.uint64).view(np.int64)))
-                keys.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _KEY_SEEDS] if len(s) else [])
-            if any(n):
-                counters += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
-            none = [None] * len(sets)
-            yield batch_of(part.column(0), n, s1, s2, keys, none, none)
-    if counters.any():
-        none = [None] * 64
-        yield batch_of(none, none, none, none, none, list(range(64)), [counters[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in range(64)])
-
-
-def _sum_counts(key, table):
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        for x in batch.column("counts").to_pylist():
+            total += np.frombuffer(x, "<i8")
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _levels(rows: DataFrame, counters: int, salts: int) -> np.ndarray:
+    """The binary logarithm of each counter: a byte each on the driver."""
+    if salts > 1:
+        rows = rows.groupBy("chunk", "salt").applyInArrow(_sum_counts, "chunk int, counts binary")
+
+    def level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sum_counts(key, batches):
+            counts = np.frombuffer(batch.column("counts")[0].as_py(), "<i8")
+            yield pa.RecordBatch.from_pydict({"chunk": batch.column("chunk"), "levels": pa.array([np.log2(counts + 1.0).astype(np.uint8).tobytes()], pa.binary())})
+
+    levels = np.zeros(counters, np.uint8)
+    for r in rows.groupBy("chunk").applyInArrow(level, "chunk int, levels binary").collect():
+        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    return levels
 
 
 # --- joins with texts -----------------------------------------------------------------------------------
@@ -179,9 +220,8 @@ _HEAD = [("group", "<i8"), ("n", "<u4"), *((f"c{j}", "<u2") for j in range(ORDER
 _ENTRY = [("token", "<u4"), ("place", "u1")]
 
 
-def _prefixes(buckets: int, counts: np.ndarray):
+def _prefixes(buckets: int, levels: np.ndarray):
     """Rows of (id, group, text) to packed prefix shingles of each bucket."""
-    levels = np.log2(counts + 1.0).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, entries, size = {}, {}, 0
@@ -199,7 +239,7 @@ def _prefixes(buckets: int, counts: np.ndarray):
                     if not n:
                         continue
                     p = n - -(-3 * n // 4) + 1
-                    level = levels[_counter(s)] << np.uint64(58)
+                    level = levels[_counter(s, len(levels))].astype(np.uint64) << np.uint64(58)
                     found: dict[int, list[bytes]] = {}
                     for j, seed in enumerate(_ORDER_SEEDS):
                         rank = level | (mix(s ^ seed) >> np.uint64(6))
@@ -229,27 +269,24 @@ def _prefixes(buckets: int, counts: np.ndarray):
 
 
 def _pairs(parts: int):
-    def run(key, table):
-        heads = [np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()]
-        head = np.concatenate(heads)
-        rows = {"part": [], "ord": [], "pairs": []}
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        head = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()])
         for j in range(ORDERS):
             entry = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column(f"e{j}").to_pylist()])
             doc = np.repeat(np.arange(len(head)), head[f"c{j}"])
-            found = _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64))
-            if len(found):
+            for found in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64)):
                 part = ((mix(found[:, 0].view(np.uint64)) ^ mix(mix(found[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    rows["part"].append(int(part[order[a]])), rows["ord"].append(j), rows["pairs"].append(found[order[a:b]].astype("<i8").tobytes())
-        return pa.table({"part": pa.array(rows["part"], pa.int64()), "ord": pa.array(rows["ord"], pa.int32()), "pairs": pa.array(rows["pairs"], pa.binary())})
+                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
+                data = [found[order[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part[order[edges[:-1]]], pa.int64()), "ord": pa.array([j] * len(data), pa.int32()), "pairs": pa.array(data, pa.binary())})
 
     return run
 
 
-def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Pairs of groups (smaller, larger) that share a token with lengths and places that allow a link."""
+def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of groups (smaller, larger) that share a token with lengths and places that allow a link, distinct ones of about PAIRS at a time."""
     p = n - -(-3 * n // 4) + 1
     rest = n - place * p // 256  # shingles from this place on, or a few more
     # only tokens of two groups or more
@@ -259,7 +296,7 @@ def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.
     several = np.repeat(np.diff(cut) > 1, np.diff(cut))
     order, token = order[several], token[several]
     if not len(order):
-        return np.zeros((0, 2), np.int64)
+        return
     inner = np.lexsort((group[order], token))
     order, token = order[inner], token[inner]
     g, size, rest = group[order], n[order], rest[order]
@@ -286,13 +323,17 @@ def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.
             pair.sort(axis=1)
             out.append(pair)
             seen += len(pair)
-        if seen > 1 << 21:
+        if seen > 2 * PAIRS:
             out = [np.unique(np.concatenate(out), axis=0)]
-            seen = len(out[0]) if len(out[0]) < 1 << 20 else 0
+            seen = len(out[0])
+            if seen > PAIRS:  # many different ones: they leave now, and repeats are met where orders are intersected
+                yield out[0]
+                out, seen = [], 0
         # lows only grow along a token: beyond 4/3 of the group's largest none fits
         alive = alive[4 * high[alive] >= 3 * low[other]]
         step += 1
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    if out:
+        yield np.unique(np.concatenate(out), axis=0)
 
 
 def _intersect(key, table):
@@ -314,11 +355,11 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     """A row for each row of df: doc_id, n_shingles, component_id (the smallest id in reach by links, its own included)."""
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    all_rows = stored(texts.mapInArrow(_features, _FEATURES), "features")
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (total >> 10).bit_length()))
+    salts = -(-total // COUNTED_BYTES) or 1
+    all_rows = stored(texts.mapInArrow(_features(counters, salts), _FEATURES), "features")
     features = all_rows.where("chunk IS NULL").select("id", "n", "s1", "s2", "keys")
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in all_rows.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary").collect():  # 64 rows, COUNTERS numbers
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), "<i8")
+    levels = _levels(all_rows.where("chunk IS NOT NULL").select("chunk", "salt", "counts"), counters, salts)
 
     nodes = features.where("id IS NOT NULL AND n > 0")
     # Rows that share an id are one node: each id leads, and so do ids that share a set
@@ -342,7 +383,7 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     told = some.join(moved.withColumn("moved", F.lit(True)), "id", "left").where("moved IS NULL OR group IS NOT NULL").select("id", F.coalesce("group", "id").alias("group"), "text")
     prefixed = alone.select("id", F.col("id").alias("group"), "text").unionByName(told)
     buckets = max(1, -(-total // BUCKET_BYTES))
-    packed = prefixed.mapInArrow(_prefixes(buckets, counts), "bucket long, heads binary, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
+    packed = prefixed.mapInArrow(_prefixes(buckets, levels), "bucket long, heads binary, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
     pairs = packed.groupBy("bucket").applyInArrow(_pairs(buckets), "part long, ord int, pairs binary").groupBy("part").applyInArrow(_intersect, "g long, h long")
     pairs = stored(pairs, "pairs")
 
@@ -361,7 +402,7 @@ def _early_cells(alike: DataFrame) -> DataFrame:
     shared = keyed.join(leaders, ["j", "key"]).where("id != leader").groupBy("id", "leader").count().where("count >= 3")
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).where("r <= 3")
     best = stored(best.select("id", "leader"), "early-pairs")
-    sizes = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    sizes = best.groupBy("leader").agg(F.ceil(F.count("*") / EARLY_CELL).alias("cells"))
     members = best.join(sizes, "leader").select(F.col("leader").alias("big"), F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell"), F.lit(0).alias("side"), "id")
     centres = sizes.select(F.col("leader").alias("big"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("side"), F.col("leader").alias("id"))
     return members.unionByName(centres)
@@ -386,9 +427,9 @@ def _late_cells(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
 def _with_equal_ids(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows with one id and different texts: each distinct (id, text) gets a number, and texts of one id are tied."""
     every = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    unnamed = every.where("doc_id IS NULL").mapInArrow(_features, _FEATURES).where("chunk IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    unnamed = every.where("doc_id IS NULL").mapInArrow(_features(), _FEATURES).where("chunk IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     rows = every.where("doc_id IS NOT NULL").withColumn("number", F.xxhash64("doc_id", "text"))
-    found = stored(groups(rows.dropDuplicates(["number"]), doc_id="number", text="text").withColumnsRenamed({"doc_id": "number", "component_id": "c"}), "numbered")
+    found = stored(groups(rows.dropDuplicates(["doc_id", "text"]), doc_id="number", text="text").withColumnsRenamed({"doc_id": "number", "component_id": "c"}), "numbered")
     known = rows.select("doc_id", "number").join(found, "number")
     # components over ids: ids that share a text's component are tied through the smallest of them
     ties = stored(known.where("n_shingles > 0").select("doc_id", "c").distinct(), "ties")

@@ -338,3 +338,14 @@ def test_near_copies_are_decided_by_text(spark, small):
     assert kept([(1, a), (5, a), (5, b)]) == [("1", a), ("5", b)]
     got = kept([(3, a), (3, a), (None, b), (None, b), (None, c), (2, c), (4, None), (4, "")])
     assert got == sorted([("3", a), ("None", b), ("2", c), ("4", "None"), ("4", "")])
+
+
+def test_pairs_leave_in_parts_and_counters_grow(spark, monkeypatch):
+    rows = copies(3, 64)
+    want = brute.groups(rows)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    monkeypatch.setattr(jaccard, "COUNTED_BYTES", 2_000)
+    monkeypatch.setattr(jaccard, "LEAST_COUNTERS", 1 << 13)
+    monkeypatch.setattr(jaccard, "EARLY_CELL", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(frame(spark, rows)).collect()}
+    assert got == want
