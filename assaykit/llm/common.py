@@ -18,19 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application: the temporary folder of a session on one machine.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir where the session sets it, else (tests on one machine) a temporary one."""
+    """A new folder that the driver and all executors see: under spark.checkpoint.dir where the session sets it, else (tests on one machine) a temporary one.
+
+    All folders of an application lie in one; `clear` deletes it when their results are no longer needed."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='assaykit-')}"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = _local.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='assaykit-')}"
+        _local[spark.sparkContext.applicationId] = base
+    return f"{base.rstrip('/')}/assaykit-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators have stored in this application: results that read it can't be computed any more."""
+    path = shared_dir(spark, "none").rsplit("/", 1)[0]
+    delete(spark, path)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and lost executors take nothing with them."""
-    path = shared_dir(df.sparkSession, purpose)
+    path = path or shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

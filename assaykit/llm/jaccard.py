@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_batches, mix, stored, utf8, windows_of, words_of
+from .common import byte_batches, delete, mix, shared_dir, stored, utf8, windows_of, words_of
 from .components import components
 
 K, ORDERS, KEYS = 5, 3, 8
@@ -208,10 +208,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(texts: DataFrame, cells: DataFrame) -> DataFrame:
     """cells: big, cell, side, id. Links (a, b) by full sets."""
-    cells = stored(cells, "cells")
+    path = shared_dir(cells.sparkSession, "cells")
+    cells = stored(cells, "cells", path)
     needed, _ = _passing(texts, _filter(cells))
     rows = needed.join(cells, "id").select("big", "cell", "side", "id", "text")
-    return stored(rows.repartition("big", "cell").sortWithinPartitions("big", "cell", "side").mapInArrow(_verify, "a long, b long"), "links")
+    links = stored(rows.repartition("big", "cell").sortWithinPartitions("big", "cell", "side").mapInArrow(_verify, "a long, b long"), "links")
+    delete(cells.sparkSession, path)
+    return links
 
 
 # --- step 3: prefixes ------------------------------------------------------------------------------------

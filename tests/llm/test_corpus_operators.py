@@ -349,3 +349,16 @@ def test_pairs_leave_in_parts_and_counters_grow(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "EARLY_CELL", 2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(frame(spark, rows)).collect()}
     assert got == want
+
+
+def test_stored_folders_are_cleared(spark):
+    from pathlib import Path
+
+    from assaykit.llm import common
+
+    path = common.shared_dir(spark, "mine")
+    assert common.stored(spark.range(3), "mine", path).count() == 3
+    folder = Path(path.removeprefix("file:")).parent
+    assert folder.exists()
+    common.delete(spark, path)
+    assert folder.exists() and not (folder / path.rsplit("/", 1)[1]).exists()
