@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import byte_batches, shared_dir, slices
@@ -198,16 +199,26 @@ class WordTokenizer:
         """Many new words differ only by case or by a full stop or comma at their end: those are encoded once.
 
         Safe where the library cuts letters from what follows them and lowers ASCII letters (checked)."""
-        cut = {}
-        for w in new:
-            x = w.decode()
-            stem = x.rstrip(".,") if self.by_stem else x
-            if len(stem) < len(x) and not (stem and (stem.isascii() and stem[-1].isalpha() or unicodedata.normalize("NFC", stem).lower()[-1].isalpha())):
-                stem = x
-            cut[w] = (stem.lower() if self.by_stem and stem.isascii() else stem, x[len(stem) :])
+        words = list(new)
+        whole = pa.array(words, pa.binary()).cast(pa.string())
+        ends: dict[int, str] = {}
+        if self.by_stem and words:
+            ascii_ = pc.string_is_ascii(whole)
+            bare = pc.utf8_rtrim(whole, ".,")
+            cut = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(whole)), pc.match_substring_regex(bare, "[A-Za-z]$"))
+            stems = pc.if_else(ascii_, pc.ascii_lower(pc.if_else(cut, bare, whole)), whole).to_pylist()
+            for i in pc.indices_nonzero(pc.and_(ascii_, cut)).to_pylist():
+                ends[i] = words[i][len(stems[i]) :].decode()
+            for i in pc.indices_nonzero(pc.invert(ascii_)).to_pylist():
+                stem = stems[i].rstrip(".,")
+                if stem != stems[i] and stem and unicodedata.normalize("NFC", stem).lower()[-1].isalpha():
+                    ends[i] = stems[i][len(stem) :]
+                    stems[i] = stem.lower() if stem.isascii() else stem
+        else:
+            stems = whole.to_pylist()
         if len(self.stems) > CACHE:
             self.stems.clear()
-        rest = list({y for pair in cut.values() for y in pair}.difference(self.stems))
+        rest = list(set(stems).union(ends.values()).difference(self.stems))
         if self.ends.any():
             letters = [y for y in rest if y.isalpha()]
             self._learn_letters(letters)
@@ -215,9 +226,9 @@ class WordTokenizer:
         for i in range(0, len(rest), 4096):
             for y, e in zip(rest[i : i + 4096], self.tokenizer.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False), strict=True):
                 self.stems[y] = np.asarray(e.ids, "<u4").tobytes()
-        for w, (stem, end) in cut.items():
-            self.cache[w] = self.stems[stem] + self.stems[end] if end else self.stems[stem]
-
+        self.cache.update(zip(words, map(self.stems.__getitem__, stems), strict=True))
+        for i, end in ends.items():
+            self.cache[words[i]] += self.stems[end]
 
     def _learn_letters(self, stems: list[str], together: int = 64) -> None:
         """Words of letters alone, joined by spaces: each has one token that ends a word. Where the count says otherwise, nothing is learnt."""
