@@ -50,3 +50,36 @@ MAX_NEWS_AGE_DAYS = 5 * 365
 REPORT_SCORE_LEAST = 0.5
 STATE_TTL_HOURS, STATE_MOST = 6, 1024
 RATE_WINDOW_SECONDS, RATE_MOST = 60, 120
+
+# Fixed values of patent documents: headings in four languages and the sections they open, in the order of their sources.
+SECTION_ALIASES = {
+    "요약": "abstract", "청구범위": "claims_text", "기술분야": "technical_field", "배경기술": "background_art", "해결하려는 과제": "problem",
+    "과제의 해결 수단": "solution", "발명의 효과": "effect", "도면의 간단한 설명": "figure_description",
+    "발명을 실시하기 위한 구체적인 내용": "detailed_description", "부호의 설명": "reference_signs",
+    "摘要": "abstract", "权利要求书": "claims_text", "技术领域": "technical_field", "背景技术": "background_art", "发明内容": "solution",
+    "附图说明": "figure_description", "具体实施方式": "detailed_description",
+    "要約": "abstract", "特許請求の範囲": "claims_text", "技術分野": "technical_field", "背景技術": "background_art",
+    "発明が解決しようとする課題": "problem", "課題を解決するための手段": "solution", "発明の効果": "effect", "図面の簡単な説明": "figure_description",
+    "発明を実施するための形態": "detailed_description",
+    "ABSTRACT": "abstract", "CLAIMS": "claims_text", "FIELD OF THE INVENTION": "technical_field", "TECHNICAL FIELD": "technical_field",
+    "BACKGROUND": "background_art", "BACKGROUND OF THE INVENTION": "background_art", "SUMMARY": "solution",
+    "SUMMARY OF THE INVENTION": "solution", "BRIEF DESCRIPTION OF THE DRAWINGS": "figure_description",
+    "DETAILED DESCRIPTION": "detailed_description", "DETAILED DESCRIPTION OF THE EMBODIMENTS": "detailed_description",
+}
+MORE_HEADINGS = ("명세서", "발명의 설명", "발명의 내용", "発明の詳細な説明", "発明の概要")
+BRACKET_HEADINGS = ("特許請求の範囲", "発明の詳細な説明", "技術分野", "背景技術", "発明の概要", "発明が解決しようとする課題", "課題を解決するための手段", "発明の効果", "図面の簡単な説明", "発明を実施するための形態")
+HEADER_SPELLINGS = {"명 세 서": "명세서", "기 술 분 야": "기술분야", "배 경 기 술": "배경기술"}
+US_SECTIONS = {
+    "technical_field": ("TECHNICAL FIELD", "FIELD OF THE INVENTION"), "background_art": ("BACKGROUND ART", "BACKGROUND"), "problem": ("DISCLOSURE", "Technical Problem"),
+    "solution": ("Technical Solution", "SUMMARY OF THE INVENTION", "SUMMARY"), "effect": ("Advantageous Effects",),
+    "detailed_description": ("DETAILED DESCRIPTION", "DESCRIPTION OF THE EMBODIMENTS", "DESCRIPTION OF EMBODIMENTS", "BEST MODE FOR CARRYING OUT THE INVENTION", "MODE FOR CARRYING OUT THE INVENTION", "MODE FOR THE INVENTION", "BEST MODE"),
+}
+US_STOPS = (
+    "TECHNICAL FIELD", "FIELD OF THE INVENTION", "BACKGROUND ART", "BACKGROUND", "DISCLOSURE", "SUMMARY OF THE INVENTION", "SUMMARY",
+    "BRIEF DESCRIPTION OF THE DRAWINGS", "BRIEF DESCRIPTION OF DRAWINGS", "DESCRIPTION OF THE DRAWINGS", "DESCRIPTION OF DRAWINGS", "DESCRIPTION",
+    "DETAILED DESCRIPTION", "BEST MODE FOR CARRYING OUT THE INVENTION", "MODE FOR CARRYING OUT THE INVENTION", "BEST MODE", "What is claimed is", "The invention claimed is",
+)
+FIGURE_PAGE_ENDS = (r"^\s*(?:US\s+\d[\d,\s]*[A-Z]?\d?\s*$|[\d,]+\s+[A-Z]\d?\s*$|\d+\s*$)", r"^\s*[\d,]+\s+[A-Z]\d?\s+\d+\s*$")
+ERA_STARTS = {"昭": 1925, "平": 1988, "令": 2018}
+REGIONS = ("서울", "경기", "대전", "부산", "인천", "광주", "대구", "울산", "세종", "강원", "충청", "충북", "충남", "전라", "전북", "전남", "경상", "경북", "경남", "제주")
+REQUIRED_IDENTIFIERS = ("title", "application_number", "registration_number")
