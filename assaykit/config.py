@@ -83,3 +83,23 @@ FIGURE_PAGE_ENDS = (r"^\s*(?:US\s+\d[\d,\s]*[A-Z]?\d?\s*$|[\d,]+\s+[A-Z]\d?\s*$|
 ERA_STARTS = {"昭": 1925, "平": 1988, "令": 2018}
 REGIONS = ("서울", "경기", "대전", "부산", "인천", "광주", "대구", "울산", "세종", "강원", "충청", "충북", "충남", "전라", "전북", "전남", "경상", "경북", "경남", "제주")
 REQUIRED_IDENTIFIERS = ("title", "application_number", "registration_number")
+
+# Industries and their keywords, the more special industry first, which settles ties.
+INDUSTRY_KEYWORDS = {
+    "반도체": ("반도체", "웨이퍼", "파운드리", "포토", "식각", "증착", "집적회로", "패키징", "semiconductor", "wafer", "foundry", "euv"),
+    "이차전지": ("이차전지", "배터리", "리튬", "양극재", "음극재", "전해질", "분리막", "battery", "lithium", "ess"),
+    "디스플레이": ("디스플레이", "유기발광", "발광다이오드", "화소", "패널", "oled", "lcd", "qled", "display"),
+    "자동차": ("자동차", "차량", "전기차", "자율주행", "모빌리티", "파워트레인", "vehicle", "automotive", "adas"),
+    "바이오헬스": ("바이오", "헬스케어", "의료기기", "제약", "신약", "진단", "임상", "유전자", "생명공학", "medical", "healthcare", "biotech", "pharma"),
+    "핀테크": ("핀테크", "금융", "결제", "자산배분", "포트폴리오", "로보어드바이저", "보험", "은행", "웰스", "fintech", "payment"),
+    "조선": ("조선", "선박", "해양플랜트", "운반선", "의장", "shipbuilding", "vessel"),
+    "철강": ("철강", "제철", "강판", "압연", "고로", "steel"),
+    "석유화학": ("석유화학", "폴리머", "고분자", "수지", "촉매", "petrochemical", "polymer"),
+    "정유": ("정유", "원유", "윤활유", "정제", "refinery"),
+    "섬유": ("섬유", "원단", "직물", "방적", "의류", "textile", "fabric"),
+    "정보통신기기": ("이동통신", "무선통신", "기지국", "네트워크장비", "라우터", "사물인터넷", "단말기", "telecom", "5g", "6g", "iot"),
+    "가전": ("가전", "냉장고", "세탁기", "에어컨", "청소기", "공기청정기", "appliance"),
+    "일반기계": ("공작기계", "산업용로봇", "자동화설비", "감속기", "베어링", "유압", "공압", "machinery", "robot"),
+    "AI": ("인공지능", "머신러닝", "딥러닝", "기계학습", "신경망", "자연어", "컴퓨터비전", "강화학습", "생성형", "대규모언어", "초거대", "ai", "ml", "llm", "genai"),
+}
+COMMON_INDUSTRY = "공통"

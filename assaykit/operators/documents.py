@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html.parser
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text
+from ..functions import patents, text
 from . import positional
 
 
@@ -16,22 +17,46 @@ def lines(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(F.coalesce(column, F.lit("")), r"\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def sections(df: DataFrame, key: str, column: str, heading: Column | None = None) -> DataFrame:
+def marked_parts(column: Column, heading: Callable[[Column], Column]) -> Column:
+    """The lines of a text as an array of (section_no, heading, first_line, last_line, lines): a line with a heading opens a section; lines before the first are section 0. Within the row, without a shuffle."""
+    lines = patents.lines_of(column)
+
+    def of(marked: Column) -> Column:
+        starts = F.filter(F.transform(marked, lambda x, i: F.when(x["h"].isNotNull() | (i == 0), i)), lambda i: i.isNotNull())
+        titled = lambda at: F.get(marked, at)["h"].isNotNull()
+
+        def part(at: Column, starts: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(marked))
+            number = k + F.when(titled(F.lit(0)), 1).otherwise(0)
+            own = F.transform(F.slice(marked, at + 1, end - at), lambda x: x["line"])
+            return F.struct(number.cast("long").alias("section_no"), F.get(marked, at)["h"].alias("heading"), (at + 1).alias("first_line"), end.alias("last_line"), own.alias("lines"))
+
+        return patents.let(starts, lambda s: F.transform(s, lambda at, k: part(at, s, k)))
+
+    return patents.let(F.transform(lines, lambda x: F.struct(x.alias("line"), heading(x).alias("h"))), of)
+
+
+def markdown_heading(line: Column) -> Column:
+    return F.nullif(F.regexp_extract(line, "^#{1,6}[ \t]+(.+)$", 1), F.lit(""))
+
+
+def sections(df: DataFrame, key: str, column: str, heading: Callable[[Column], Column] = markdown_heading) -> DataFrame:
     """Lines gathered under the heading before them: key, section_no, heading, text. Text before the first heading has none.
 
-    heading: an expression over line that gives the heading's text or null; by default Markdown headings."""
-    mark = heading if heading is not None else F.nullif(F.regexp_extract("line", "^#{1,6}[ \t]+(.+)$", 1), F.lit(""))
-    marked = lines(df, key, column).withColumn("_h", mark)
-    grouped = positional.islands(marked, [key], "line_no", F.col("_h").isNotNull(), "section_no")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_h").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    out = grouped.groupBy(key, "section_no").agg(F.max("_h").alias("heading"), F.trim(body).alias("text"))
+    heading: gives a line's heading or null; by default Markdown headings."""
+    rows = df.select(key, F.explode(marked_parts(F.col(column), heading)).alias("s"))
+    body = F.when(F.col("s.heading").isNull(), F.col("s.lines")).otherwise(F.slice("s.lines", 2, F.greatest(F.size("s.lines"), F.lit(1))))
+    out = rows.select(key, "s.section_no", "s.heading", F.trim(F.array_join(body, "\n")).alias("text"))
     return out.where((F.col("section_no") > 0) | (F.col("text") != ""))
 
 
 def named_sections(df: DataFrame, key: str, column: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     """A column for each name with the text under a line that is one of its aliases; the last of repeats wins."""
-    line = F.lower(F.trim(F.regexp_replace("line", r"^[#\s\[【]+|[\]】:\s]+$", "")))
-    name = F.coalesce(*(F.when(line.isin(*(a.lower() for a in words)), n) for n, words in aliases.items()))
+
+    def name(line: Column) -> Column:
+        bare = F.lower(F.trim(F.regexp_replace(line, r"^[#\s\[【]+|[\]】:\s]+$", "")))
+        return patents.let(bare, lambda x: F.coalesce(*(F.when(x.isin(*(a.lower() for a in words)), n) for n, words in aliases.items())))
+
     found = sections(df, key, column, name).where("heading IS NOT NULL")
     return found.groupBy(key).agg(*(F.max_by(F.when(F.col("heading") == n, F.col("text")), F.when(F.col("heading") == n, F.col("section_no"))).alias(n) for n in aliases))
 
@@ -73,40 +98,50 @@ def clean_section(c: Column) -> Column:
 
 
 class _Reader(html.parser.HTMLParser):
+    """One open paragraph at a time: the next block's start ends it, whether it was closed or not."""
+
     hidden = frozenset({"script", "style", "svg", "noscript", "header", "footer", "nav"})
-    blocks = frozenset({"p", "h1", "h2", "h3", "li"})
+    blocks = frozenset({"p", "h1", "h2", "h3", "li", "title"})
 
     def __init__(self):
         super().__init__()
-        self.title, self.metas, self.paragraphs, self.stack, self.skip, self.head = [], {}, [], [], 0, []
+        self.title, self.metas, self.paragraphs, self.head, self.skip, self.tag, self.parts = [], {}, [], [], 0, None, []
+
+    def flush(self):
+        value = " ".join("".join(self.parts).split())
+        if self.tag == "title":
+            self.title.append(value)
+        elif self.tag:
+            self.paragraphs.append(value)
+            if self.tag == "h1":
+                self.head.append(value)
+        self.tag, self.parts = None, []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag == "meta" and (a.get("property") or a.get("name")) in ("og:title", "twitter:title", "title"):
-            self.metas.setdefault(a.get("property") or a.get("name"), a.get("content") or "")
+        name = a.get("property") or a.get("name")
+        if tag == "meta" and name in ("og:title", "twitter:title", "title"):
+            self.metas.setdefault(name, a.get("content") or "")
         if tag in self.hidden:
+            self.flush()
             self.skip += 1
-        if tag in self.blocks or tag == "title":
-            self.stack.append((tag, []))
+        if tag in self.blocks and (not self.skip or tag == "title"):
+            self.flush()
+            self.tag = tag
 
     def handle_endtag(self, tag):
         if tag in self.hidden and self.skip:
             self.skip -= 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                value = " ".join("".join(self.stack[i][1]).split())
-                del self.stack[i:]
-                if tag == "title":
-                    self.title.append(value)
-                elif not self.skip:
-                    if tag == "h1":
-                        self.head.append(value)
-                    self.paragraphs.append(value)
-                break
+        if tag in self.blocks or tag in ("ul", "ol", "body", "html"):
+            self.flush()
 
     def handle_data(self, data):
-        if self.stack and (not self.skip or self.stack[-1][0] == "title"):
-            self.stack[-1][1].append(data)
+        if self.tag and (not self.skip or self.tag == "title"):
+            self.parts.append(data)
+
+    def close(self):
+        super().close()
+        self.flush()
 
 
 def read_html(df: DataFrame, column: str, least: int = 20) -> DataFrame:
@@ -118,6 +153,7 @@ def read_html(df: DataFrame, column: str, least: int = 20) -> DataFrame:
         for page in pages:
             r = _Reader()
             r.feed(page or "")
+            r.close()
             names = [r.metas.get(k) for k in ("og:title", "twitter:title", "title")] + r.head[:1] + r.title[:1]
             out.append((next((n.strip() for n in names if n and n.strip()), None), list(dict.fromkeys(p for p in r.paragraphs if len(p) >= least))))
         return pd.DataFrame(out, columns=["title", "paragraphs"])

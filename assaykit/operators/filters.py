@@ -20,7 +20,7 @@ def news_key(url: Column, title: Column, published: Column) -> Column:
     return F.coalesce(F.lower(text.present(url)), F.concat_ws(":", title, published))
 
 
-def news(df: DataFrame, target: Column, now: Column, *, preview: int = 600, most: int = 12_000, days: int = MAX_NEWS_AGE_DAYS) -> DataFrame:
+def news(df: DataFrame, target: Column, now: Column, *, preview: int = 100, most: int = 5_000, days: int = MAX_NEWS_AGE_DAYS) -> DataFrame:
     """Rows of seq, url, title, content, published_at, source with matched, reason, truncated and date_missing.
 
     target: the keywords to meet. A key is used up by its first row even if that is rejected for its age, so later

@@ -36,14 +36,14 @@ def siblings_of(df: DataFrame, target: dict[str, object], *, key: str, product:
 def cascade(rows: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str) -> DataFrame:
     """Each row's value from the first source that has its key, and which that was; one value a key in each source is taken.
 
-    Each source is asked only for what those before it left open."""
-    done, left = [], rows
-    for name, source in sources:
-        have = source.groupBy(key).agg(F.min(value).alias("value"))
-        done.append(left.join(have, key).withColumn("found_in", F.lit(name)))
-        left = left.join(have, key, "left_anti")
-    done.append(left.withColumn("value", F.lit(None).cast(sources[0][1].schema[value].dataType)).withColumn("found_in", F.lit("unresolved")))
-    return reduce(DataFrame.unionByName, done)
+    One left join for each source, all on the same key, so rows are dealt once."""
+    out = rows
+    for i, (_, source) in enumerate(sources):
+        out = out.join(source.groupBy(key).agg(F.min(value).alias(f"_v{i}"), F.lit(True).alias(f"_in{i}")), key, "left")
+    where = F.coalesce(*(F.when(F.col(f"_in{i}"), i) for i in range(len(sources))))
+    value_ = F.coalesce(*(F.when(where == i, F.col(f"_v{i}")) for i in range(len(sources))))
+    name = F.coalesce(*(F.when(where == i, n) for i, (n, _) in enumerate(sources)), F.lit("unresolved"))
+    return out.select(*rows.columns, value_.alias("value"), name.alias("found_in"))
 
 
 def intervals(df: DataFrame, point: str, table: list[tuple[float, float | None, str]], name: str) -> DataFrame:

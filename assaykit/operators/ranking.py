@@ -33,10 +33,10 @@ def citation_order(df: DataFrame, *, types: str, home: str) -> list[Column]:
     return [F.desc("standard"), F.desc(F.col("kind").startswith("B")), tier, F.desc(F.col("country") == home), F.col("display")]
 
 
-def tiers(df: DataFrame, tier: Column, score: str, order: str, unscored: int, k: int) -> DataFrame:
-    """The first k rows by tier, then score downward (tiers from `unscored` on keep their order), then order; with their tier. A limited sort: no task sees all rows."""
-    rows = df.withColumn("tier", tier)
-    return rows.orderBy("tier", F.when(F.col("tier") < unscored, -F.col(score)), order).limit(k)
+def tiers(df: DataFrame, tier: Column, score: str, order: str, unscored: int, k: int | None = None) -> DataFrame:
+    """Rows by tier, then score downward (tiers from `unscored` on keep their order), then order; with their tier. k: only the first so many, which a limited sort finds."""
+    rows = df.withColumn("tier", tier).orderBy("tier", F.when(F.col("tier") < unscored, -F.col(score)), order)
+    return rows if k is None else rows.limit(k)
 
 
 def first_sources(df: DataFrame, by: str, identity: str, source_rank: str, order: str, most: int) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import DOCUMENT_INDICATORS
+from ..config import DOCUMENT_INDICATORS, INDUSTRY_KEYWORDS
 from ..functions import text
-from ..operators import aggregates, dedupe, documents, filters, matching, model, positional, ranking
+from ..operators import aggregates, dedupe, documents, filters, matching, model, ranking
 from ..sources.tables import table
 from .registry import query
 
 #: The benchmark item whose words stand for the target's.
 TARGET_ITEM = 0
-MOST_CHARS, TOP = 12_000, 20
+TOP = 20
 
 _KEYWORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-zA-Z가-힣]{{2,}}'), lambda t: NOT regexp_full_match(t, '[0-9]+')))"
 _KW = _KEYWORDS.format
@@ -25,23 +25,23 @@ def target(spark: SparkSession, sf_dir: str) -> Column:
     return F.array(*map(F.lit, row[0])) if row and row[0] else F.array().cast("array<string>")
 
 
-def judged(df: DataFrame, words: Column) -> DataFrame:
-    """documents with match_count, quality and the reason for keeping or rejecting each."""
-    rows = filters.quality(df.withColumn("words", text.keywords(F.col("text"))), F.col("words"), words)
-    first = F.min("doc_id").over(_same_text())
-    return filters.reasons(rows.withColumn("_first", first), [("duplicate", F.col("doc_id") != F.col("_first")), ("over_long", F.col("n_chars") > MOST_CHARS), ("no_keyword_match", F.col("match_count") == 0)]).drop("_first")
+def first_texts(df: DataFrame, key: str) -> DataFrame:
+    """The smallest key of each text, whatever the case: grouped by a digest, so texts are not shuffled and a text that most rows have is counted before the shuffle."""
+    return df.groupBy(F.md5(F.lower("text")).alias("_digest")).agg(F.min(key).alias(key)).select(key)
 
 
-def _same_text():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.xxhash64(F.lower("text")), F.lower("text"))
+def judged(df: DataFrame, words: Column) -> DataFrame:
+    """documents with match_count, similarity, quality and the reason for keeping or rejecting each; texts stay where they are read."""
+    rows = filters.quality(df.withColumn("words", text.keywords(F.col("text"))), F.col("words"), words)
+    narrow = rows.select("doc_id", "source", "match_count", "quality", text.jaccard(F.col("words"), words).alias("similarity"))
+    first = first_texts(df, "doc_id").withColumn("_first", F.lit(True))
+    return filters.reasons(narrow.join(first, "doc_id", "left"), [("duplicate", F.col("_first").isNull()), ("no_keyword_match", F.col("match_count") == 0)]).drop("_first")
 
 
 _JUDGED = f"""
 judged AS (
   SELECT d.*, len(list_intersect(words, {_TARGET})) AS match_count,
-    CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY lower(text)) THEN 'duplicate' WHEN n_chars > {MOST_CHARS} THEN 'over_long'
+    CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY lower(text)) THEN 'duplicate'
       WHEN len(list_intersect(words, {_TARGET})) = 0 THEN 'no_keyword_match' ELSE 'passed' END AS reason
   FROM (SELECT *, {_KW('text')} AS words FROM documents) d)
 """
@@ -54,7 +54,7 @@ def evidence_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant, unique evidence for a target, the most similar first: a top-k report."""
     words = target(spark, sf_dir)
     kept = judged(table(spark, sf_dir, "documents"), words).where("reason = 'passed'")
-    return kept.select("doc_id", "source", "match_count", text.jaccard(F.col("words"), words).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(TOP)
+    return kept.select("doc_id", "source", "match_count", "similarity").orderBy(F.desc("similarity"), "doc_id").limit(TOP)
 
 
 @query(f"WITH {_JUDGED} SELECT doc_id, CAST(match_count AS INTEGER) AS match_count, reason FROM judged")
@@ -71,7 +71,8 @@ def evidence_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
 def evidence_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.first_per_key(table(spark, sf_dir, "documents"), F.lower("text"), "doc_id").select("doc_id", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", "n_chars").join(first_texts(docs, "doc_id"), "doc_id", "left_semi")
 
 
 @query("""WITH every AS (
@@ -84,11 +85,9 @@ def evidence_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in their order of preference as one table, each text once, counted by origin."""
     seq = {"documents": F.col("doc_id"), "benchmark": F.col("item_id"), "conversations": F.col("conv_id") * 1000 + F.col("turn")}
     every = dedupe.union_sources({n: table(spark, sf_dir, n).select(c.alias("seq"), "text") for n, c in seq.items()}, ["seq", "text"])
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy(F.lower("text")).orderBy("origin_rank", "seq")) == 1
-    rows = every.withColumn("first", first)
-    return rows.groupBy("origin").agg(F.count("*").alias("rows_in"), F.count_if("first").alias("rows_kept"), F.sum(F.when(F.col("first"), F.length("text"))).cast("long").alias("chars_kept"))
+    heads = every.groupBy(F.md5(F.lower("text")).alias("_digest")).agg(F.min(F.struct("origin_rank", "seq", "origin", F.length("text").alias("chars"))).alias("h"))
+    kept = heads.groupBy("h.origin").agg(F.count("*").alias("rows_kept"), F.sum("h.chars").cast("long").alias("chars_kept"))
+    return every.groupBy("origin").agg(F.count("*").alias("rows_in")).join(kept, "origin", "left").select("origin", "rows_in", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept"), "chars_kept")
 
 
 _KIND = "CASE WHEN toxic = 1 THEN 'competitor_patent' WHEN quality = 1 THEN 'news' WHEN quality = 0 THEN 'industry_report' END"
@@ -159,8 +158,10 @@ i AS (SELECT doc_id, no, line, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END
 SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(min(no) AS INTEGER) AS first_line, CAST(max(no) AS INTEGER) AS last_line, CAST(sum(length(line)) AS BIGINT) AS chars FROM i GROUP BY doc_id, island""".replace("\r\n|\r|\n", "\\r\\n|\\r|\\n"))
 def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document gathered into islands; a short line starts one, as a heading would."""
-    rows = positional.islands(documents.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id"], "line_no", F.length("line") < 60)
-    return rows.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.length("line")).cast("long").alias("chars"))
+    parts = documents.marked_parts(F.col("text"), lambda line: F.when(F.length(line) < 60, line))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(parts).alias("p"))
+    chars = F.aggregate("p.lines", F.lit(0).cast("long"), lambda n, line: n + F.length(line))
+    return rows.select("doc_id", F.col("p.section_no").alias("island"), "p.first_line", "p.last_line", chars.alias("chars"))
 
 
 @query("""SELECT page_id, host, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || authority || CASE WHEN path = '' THEN '/' ELSE path END || query END AS url,
@@ -194,23 +195,29 @@ def document_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.indicators(F.col("text"), patterns).items()))
 
 
-_DOMAINS = {"english": ("the", "that", "with"), "german": ("der", "und", "die"), "french": ("dans", "le ", "pas"), "spanish": ("el ", "que", "los")}
-_HITS = {k: " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ws) for k, ws in _DOMAINS.items()}
+def _hits_sql(words: tuple[str, ...]) -> str:
+    low = "lower(coalesce(text, ''))"
+    one = lambda w: f"contains({low}, '{w}')" if any("가" <= c <= "힣" for c in w) else f"regexp_matches({low}, '(^|[^0-9a-z]){w}($|[^0-9a-z])')"
+    return " + ".join(f"CAST({one(w)} AS INTEGER)" for w in words)
+
+
+_LABELS = {f"l{i}": label for i, label in enumerate(INDUSTRY_KEYWORDS)}
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN {k} = top AND {k} > 0 THEN '{k}'" for k in _DOMAINS) + " END AS label, CAST(top AS INTEGER) AS label_hits FROM (SELECT *, greatest(" + ", ".join(_DOMAINS) + ") AS top FROM (SELECT doc_id, " + ", ".join(f"{h} AS {k}" for k, h in _HITS.items()) + " FROM documents))")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {k} = top AND {k} > 0 THEN '{label}'" for k, label in _LABELS.items()) + " END AS label, CAST(top AS INTEGER) AS label_hits FROM (SELECT *, greatest("
+       + ", ".join(_LABELS) + ") AS top FROM (SELECT doc_id, " + ", ".join(f"{_hits_sql(INDUSTRY_KEYWORDS[label])} AS {k}" for k, label in _LABELS.items()) + " FROM documents))")
 def industry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The domain with the most keyword hits, ties to the one named first."""
-    rows = matching.best_label(table(spark, sf_dir, "documents"), {k: text.hits(F.col("text"), ws) for k, ws in _DOMAINS.items()})
+    """The industry with the most keyword hits among fifteen; ties go to the more special one."""
+    rows = matching.best_label(table(spark, sf_dir, "documents"), {k: text.word_hits(F.col("text"), ws) for k, ws in INDUSTRY_KEYWORDS.items()})
     return rows.select("doc_id", "label", "label_hits")
 
 
-@query(f"""SELECT doc_id, source, CAST(tier AS INTEGER) AS tier, n_chars FROM (SELECT *, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS tier FROM documents)
-ORDER BY tier, CASE WHEN tier < 2 THEN -n_chars END, doc_id LIMIT {TOP * 5}""")
+@query("""SELECT doc_id, source, CAST(tier AS INTEGER) AS tier, n_chars FROM (SELECT *, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS tier FROM documents)
+ORDER BY tier, CASE WHEN tier < 2 THEN -n_chars END, doc_id""")
 def nearest_tier_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence by tier of nearness, then score: a top-k report."""
+    """All evidence by tier of nearness, then score."""
     tier = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    return ranking.tiers(table(spark, sf_dir, "documents"), tier, "n_chars", "doc_id", 2, TOP * 5).select("doc_id", "source", "tier", "n_chars")
+    return ranking.tiers(table(spark, sf_dir, "documents"), tier, "n_chars", "doc_id", 2).select("doc_id", "source", "tier", "n_chars")
 
 
 @query("""WITH one AS (SELECT source, lang, doc_id FROM documents WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) = 1)
@@ -231,6 +238,6 @@ def evidence_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text under each heading; a short line in capitals or a Markdown heading starts a section. Tests hold it against fixtures."""
-    head = F.when(F.col("line").rlike("^#{1,6}[ \t]+") | (F.length("line").between(3, 60) & (F.upper("line") == F.col("line"))), F.col("line"))
+    head = lambda line: F.when(line.rlike("^#{1,6}[ \t]+") | (F.length(line).between(3, 60) & (F.upper(line) == line)), line)
     rows = documents.sections(table(spark, sf_dir, "documents"), "doc_id", "text", head)
     return rows.select("doc_id", "section_no", "heading", F.length("text").alias("chars"))

@@ -17,11 +17,12 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
 
 
 def jsonl_with_errors(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the text of bad lines."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    bad = F.col("_corrupt_record").isNotNull()
-    return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("_corrupt_record")
+    """Good rows, and the text of bad lines; blank lines are neither."""
+    bad = "_corrupt_record"
+    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", parsed.alias("row"))
+    return rows.where(f"row.{bad} IS NULL").select(*(F.col(f"row.`{f.name}`") for f in schema)), rows.where(f"row.{bad} IS NOT NULL").select(F.col("value").alias(bad))
 
 
 def xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str) -> DataFrame:
@@ -34,11 +35,11 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def lookup(df: DataFrame, **identifiers: object) -> DataFrame:
-    """At most one row by the first identifier that is given, in the order of the arguments."""
+def lookup(df: DataFrame, *, order: tuple[str, ...] = (), **identifiers: object) -> DataFrame:
+    """At most one row by the first identifier that is given, in the order of the arguments; of several rows the first by order, else by all columns."""
     for column, value in identifiers.items():
         if value not in (None, ""):
-            return df.where(F.col(column) == F.lit(value)).limit(1)
+            return df.where(F.col(column) == F.lit(value)).orderBy(*(order or df.columns)).limit(1)
     raise ValueError("no identifier given")
 
 
@@ -57,16 +58,35 @@ def checked(df: DataFrame, code: str = "code", message: str = "message") -> Data
     return df.withColumn("ok", good)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, fields: list[str], version: str) -> str:
-    """Merge new rows into the Parquet table at path by key and write it as a new version beside the old one, which stays readable."""
+def _filesystem(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last version that `upsert` wrote under path, or None."""
+    fs, pointer = _filesystem(spark, f"{path.rstrip('/')}/_current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
     try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - Spark's error for a path that is not there
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], new.select(key, *fields).schema)
-    out = f"{path.rstrip('/')}-{version}"
+        return f"{path.rstrip('/')}/{bytes(stream.readAllBytes()).decode().strip()}"
+    finally:
+        stream.close()
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, fields: list[str], version: str) -> str:
+    """Merge new rows into the last version under path by key, write that as a version of its own and point to it; versions before stay readable.
+
+    One writer at a time: the pointer is replaced, not compared."""
+    last, schema = current(spark, path), new.select(key, *fields).schema
+    old = spark.read.parquet(last) if last else spark.createDataFrame([], schema)
+    out = f"{path.rstrip('/')}/{version}"
     dedupe.merge_keyed(old, new, key, fields).drop("status").write.mode("errorifexists").parquet(out)
+    fs, pointer = _filesystem(spark, f"{path.rstrip('/')}/_current")
+    stream = fs.create(pointer, True)
+    stream.write(version.encode())
+    stream.close()
     return out
 
 

@@ -5,6 +5,7 @@ Each has a batch form over a table of events and a streaming form that gives the
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,3 +51,28 @@ def stream_latest(df: DataFrame, *, key: str, at: str, value: str, ttl_hours: in
 
     kind = df.schema[key].dataType.simpleString()
     return df.withWatermark(at, "1 minute").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, at timestamp, {value} string", "at long, value string", "update", "EventTimeTimeout")
+
+
+def stream_sliding_limit(df: DataFrame, *, key: str, at: str, order: str, seconds: int = RATE_WINDOW_SECONDS, most: int = RATE_MOST) -> DataFrame:
+    """sliding_limit over a stream: each event once, with recent and limited. Events of a key must not come later than ones after them by more than the watermark.
+
+    State is the times of the key's events within the last seconds; it goes when none came for so long. Append mode; event time."""
+    span = seconds * 1_000_000
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get[0]) if state.exists else []
+        for frame in frames:
+            rows = frame.sort_values([at, order])
+            times = (rows[at].astype("datetime64[us]").astype("int64")).tolist()
+            held = sorted([*held, *times])
+            recent = [bisect.bisect_right(held, t) - bisect.bisect_right(held, t - span) for t in times]
+            yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].tolist(), "at": rows[at].tolist(), "recent": recent, "limited": [n > most for n in recent]})
+        held = held[bisect.bisect_right(held, held[-1] - span) :]
+        state.update((held,))
+        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind, number = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
+    return df.withWatermark(at, "1 minute").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {order} {number}, at timestamp, recent long, limited boolean", "times array<long>", "append", "EventTimeTimeout")
