@@ -103,3 +103,35 @@ INDUSTRY_KEYWORDS = {
     "AI": ("인공지능", "머신러닝", "딥러닝", "기계학습", "신경망", "자연어", "컴퓨터비전", "강화학습", "생성형", "대규모언어", "초거대", "ai", "ml", "llm", "genai"),
 }
 COMMON_INDUSTRY = "공통"
+
+# Fixed values of the axes' rules.
+TECHNOLOGY_GROUPS = {
+    "technical_differentiation": (60, ("configuration_operation_differentiation", "effect_differentiation", "imitation_avoidance_difficulty")),
+    "implementation_specificity": (40, ("component_specificity", "procedure_specificity", "implementation_utilization_specificity")),
+}
+LEGAL_DETAIL_MAXIMA = {"prior_art_overlap": ("right_stability", 20), "follow_on_right_signal": ("portfolio_defensive_value", 4)}
+MARKET_PARTS, MARKET_PART_MOST = ("industry_marketability", "global_business", "competitiveness", "invention_market_linkage"), 20
+MARKET_SIGNALS = ("도입", "출시", "상용", "제품", "서비스", "적용", "확산", "고객", "수요", "규제", "시장", "adoption", "launch", "commercial", "deployment", "product", "service", "demand", "customer", "regulation", "market")
+GLOBAL_HINTS = ("global", "international", "worldwide", "across europe", "across asia", "across markets", "overseas", "cross-border", "multi-country", "multinational", "유럽", "아시아", "글로벌", "국가", "해외")
+CONCRETE_PATHS = ("/finance", "/manufacturing", "/case-study", "/story", "/solution", "/service", "/industry", "/enterprise", "/security", "/blockchain")
+TREND_PATHS = ("/insight", "/trend")
+INACTIVE_STATES, ACTIVE_STATES = ("소멸", "거절", "취하", "포기"), ("등록", "유효")
+SKIPPED_FILES = (".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".zip")
+TITLE_STOPWORDS = ("및", "또는", "으로", "에서", "에게", "하는", "위한", "통한", "기반", "적용한", "상품", "트렌드", "반영한", "모델", "시스템", "방법", "장치", "프로그램")
+BROAD_TERMS = ("ai", "data", "cloud", "서비스", "플랫폼", "자동화", "보안", "인증")
+PARTICLES = ("으로", "에서", "에게", "부터", "까지", "을", "를", "은", "는", "이", "가", "의", "와", "과", "한")
+DOMAIN_PROFILES = {
+    "finance": {"triggers": ("로보어드바이저", "자산배분", "투자", "포트폴리오", "금융", "예측"), "hints": ("금융", "투자", "자산관리", "AI", "예측", "데이터 서비스"), "paths": ("/finance",)},
+    "blockchain_security": {"triggers": ("블록체인", "chainz", "합의", "서명", "인증"), "hints": ("블록체인", "인증", "보안", "디지털 자산"), "paths": ("/blockchain", "/security", "/trust")},
+    "manufacturing_smart_factory": {"triggers": ("cmp", "반도체", "제조", "공정", "물류", "설비", "agv", "컨베이어", "스마트팩토리"), "hints": ("제조", "스마트팩토리", "MCS", "공정", "물류", "자동화", "설비", "설비 제어"), "paths": ("/manufacturing", "/industry", "/smart-factory", "/enterprise")},
+}
+
+# Fixed values of industry reports.
+REPORT_INDUSTRIES = ("자동차", "조선", "일반기계", "철강", "정유", "석유화학", "섬유", "가전", "정보통신기기", "디스플레이", "이차전지", "바이오헬스", "반도체")
+BODY_STARTS = (r"^□\s*", r"^○\s*", r"^\(\d+\)\s*", r"^\d+\.\s+")
+PAGE_FOOTERS = (r"^\d+\s+2026년\s+경제[ㆍ·]?산업\s+전망", r"^\d+\s+KIET\s+경제", r"^제\d+장\s+.+\s+\d+$")
+IMPRINT_MARKS = ("발 행 일", "발 행 인", "발 행 처", "ISSN", "무단 복제")
+SECTION_LEAST_CHARS, REPORT_FIRST_PAGE = 120, 16
+REPORT_SECTION_KEYS = {"2": "evaluationScope", "3": "judgmentBasis", "4": "axisDetails", "5": "roleChecklist", "6": "finalOpinion"}
+EXTERNAL_EVIDENCE_AXES = ("market", "business_fit")
+AXIS_STATES = ("passed", "valuation_retry", "query_rewriting")
