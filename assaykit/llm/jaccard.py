@@ -34,7 +34,7 @@ from .components import components
 
 K, ORDERS, KEYS = 5, 3, 8
 #: Documents on each side of a cell; members that meet a leader in one cell; text for one bucket of prefixes; pairs of a bucket that leave it together.
-CELL, EARLY_CELL, BUCKET_BYTES, PAIRS = 256, 64, 32 << 20, 1 << 20
+CELL, EARLY_CELL, BUCKET_BYTES, PAIRS = 128, 64, 32 << 20, 1 << 20
 #: Counters of shingles: one for each KiB of text between these bounds; they travel in chunks.
 LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 1 << 18, 1 << 23, 4096
 #: Text whose counters are summed in one group before the groups are summed.
