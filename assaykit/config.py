@@ -135,3 +135,23 @@ SECTION_LEAST_CHARS, REPORT_FIRST_PAGE = 120, 16
 REPORT_SECTION_KEYS = {"2": "evaluationScope", "3": "judgmentBasis", "4": "axisDetails", "5": "roleChecklist", "6": "finalOpinion"}
 EXTERNAL_EVIDENCE_AXES = ("market", "business_fit")
 AXIS_STATES = ("passed", "valuation_retry", "query_rewriting")
+
+# Fixed values of news articles.
+ARTICLE_LEAST_CHARS, NOISE_MOST_SHARE = 400, 0.25
+BOILERPLATE = (
+    "advertisement", "copyright", "all rights reserved", "all contents copyright", "recommended articles", "related articles", "newsletter", "subscribe", "sign in", "sign up",
+    "click here", "photo by", "getty images", "연합뉴스", "무단전재", "무단 전재", "재배포 금지", "무단복제", "저작권자", "저작권", "광고", "추천기사", "관련기사", "관련 기사",
+    "많이 본 뉴스", "인기뉴스", "주요뉴스", "함께 보면 좋은", "구독", "로그인", "회원가입", "제보", "카카오톡", "네이버에서",
+)
+NOISE_WORDS = ("광고", "추천", "관련기사", "copyright", "subscribe", "newsletter", "login", "구독", "로그인", "회원가입")
+BYLINES = (r"^[가-힣]{2,4}\s*기자\s*[a-z0-9_.+-]+@[a-z0-9.-]+$", r"^[가-힣]{2,4}\s*기자$", r"^[a-z .'-]+\s+reports\s+")
+PORTALS = ("네이버 뉴스", "다음 뉴스", "Google News", "Yahoo News")
+# Fixed values of applicants, claims and market linkage.
+ORGANISATION_MARKS = ("주식회사", "(주)", "㈜", "회사", "법인", "대학", "학교", "연구원", "연구소", "재단", "공사", "청", "청장", "CORP", "INC", "LTD", "CO.", "UNIV")
+BLANK_COMPANIES = ("n/a", "na", "none", "null", "-", "기타", "해당사항없음", "해당 사항 없음")
+JOINT_MARKS = ("1", "true", "y", "yes", "공동", "공동출원")
+INDEPENDENT_MARKS, DEPENDENT_MARKS = ("독립", "独立", "獨立"), ("종속", "従属", "従屬", "從屬", "从属")
+LINKAGE_ACTIONS = ("스킵", "판단", "비교", "조정", "결합", "예측", "최적화", "반영", "산출", "검증", "리밸런싱", "배분", "동일", "해시", "복원")
+GENERIC_ELEMENTS = ("통신부", "프로세서", "저장부", "저장부 (스토리지)", "메모리 영역", "메모리 영역 (memory pool)", "시스템", "장치", "서버")
+LINKAGE_SECTIONS = ("과제해결수단", "효과", "발명의효과")
+CONNECTIVES = ("그러므로", "따라서", "으로써", "함으로써", ". ")

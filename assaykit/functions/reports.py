@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..config import BODY_STARTS, IMPRINT_MARKS, PAGE_FOOTERS, REPORT_INDUSTRIES, SECTION_LEAST_CHARS
-from .patents import lines_of, once, remove_images
+from .patents import let, lines_of, once, remove_images
 
 _TABLE = r"<\s*표\s*[0-9]+[-–][0-9]+\s*>"
 _WEATHER = "[☂☼☁]"
@@ -157,3 +157,133 @@ def report_issues(markdown: Column, axes: Column, recommendation: Column, countr
         F.when(some & abroad & markdown.rlike(r"국내\s*(?:권|특허|출원|등록)"), "domestic_wording"), F.when(some & abroad & markdown.contains("권리범위 참고도 및 이해"), "drawing_block"),
     ]
     return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+# --- sections that are no prose -------------------------------------------------------------------
+
+
+def _count(c: Column, word: str) -> Column:
+    return F.regexp_count(c, F.lit(word))
+
+
+def _shares(c: Column) -> Column:
+    """Tokens of a text, and the shares of single letters and of tokens of one or two characters among them."""
+    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return let(words, lambda w: F.struct(F.size(w).alias("n"), (F.size(F.filter(w, lambda x: x.rlike("^[A-Za-z]$"))) / F.greatest(F.size(w), F.lit(1))).alias("letters"), (F.size(F.filter(w, lambda x: F.length(x) <= 2)) / F.greatest(F.size(w), F.lit(1))).alias("short")))
+
+
+@once
+def is_figures_only(c: Column) -> Column:
+    marks, sentences = _count(c, "Figure ") + _count(c, "Table "), _count(c, r"\. ")
+    small = (F.length(c) < 180) & c.contains("Figure ") & c.contains("Source:")
+    return (F.length(c) <= 900) & (((marks >= 3) & (sentences <= 2)) | ((marks >= 2) & (sentences <= 1)) | small)
+
+
+@once
+def is_chart_noise(c: Column) -> Column:
+    """A chart's letters as recognition reads them."""
+    marked = c.contains("Figure ") | c.contains("Source:") | c.contains("Data source:")
+    return (F.length(c) <= 260) & let(_shares(c), lambda s: (s["n"] >= 18) & ((s["letters"] >= 0.35) | (s["short"] >= 0.75) | (marked & (s["letters"] >= 0.25))))
+
+
+@once
+def is_chart_tail(c: Column) -> Column:
+    marked = c.contains("Chart:") | c.contains("Figure ") | c.contains("Data source:")
+    return marked & let(_shares(c), lambda s: (s["n"] >= 25) & ((s["letters"] >= 0.15) | (s["short"] >= 0.45)))
+
+
+@once
+def without_chart_tail(c: Column) -> Column:
+    """The text up to the first source mark behind which only a chart's letters follow; from the sentence's end before it, if that is near. Source marks come before data source marks."""
+
+    def cut(mark: str) -> Column:
+        parts = F.split(c, mark)
+        tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), mark).alias("head"), F.concat(F.lit(mark), F.array_join(F.slice(parts, k + 1, F.size(parts)), mark)).alias("tail")))
+        found = F.get(F.filter(tails, lambda x: is_chart_tail(x["tail"])), F.lit(0))["head"]
+
+        def ended(head: Column) -> Column:
+            end = F.length(head) - F.locate(" .", F.reverse(head))  # place of the full stop of the last ". ", from 1
+            near = (F.locate(" .", F.reverse(head)) > 0) & (F.length(head) - (end - 1) <= 180)
+            return F.when(near, F.substring(head, F.lit(1), end)).otherwise(F.trim(head))
+
+        return F.when(F.size(parts) > 1, let(found, lambda h: F.when(h.isNotNull(), ended(h))))
+
+    return F.coalesce(cut(" Source:"), cut(" Data source:"), c)
+
+
+@once
+def is_source_note(c: Column) -> Column:
+    low = F.lower(c)
+    rounding = low.contains("for the sake of brevity") | low.contains("figures may not add up") | low.contains("percentage points are rounded")
+    return (F.length(c) <= 260) & (c.rlike(r"^[0-9]+\s+Data source:") | (c.rlike(r"^[0-9]+\s+") & rounding))
+
+
+def is_footnote(c: Column) -> Column:
+    return (F.length(c) <= 500) & c.rlike(r"^[0-9]+\s+(Each|Due|For more|The full|National|All data|The LinkedIn)\b")
+
+
+def is_running_head(c: Column, title: str) -> Column:
+    """Little more than the report's running title."""
+    return (F.length(c) < 220) & F.contains(c, F.lit(title)) & ~c.contains(". ")
+
+
+@once
+def is_no_prose(c: Column, title: str) -> Column:
+    return is_figures_only(c) | is_chart_noise(c) | is_source_note(c) | is_footnote(c) | is_running_head(c, title)
+
+
+def numbered_heading(line: Column, stops: tuple[str, ...] = (" The ", " This ", " In ", " As ", " Across ", " Since ", " While ", " Source:", " Figure "), most: int = 100) -> Column:
+    """`n.n Title`, up to the first word that begins a sentence; null without one."""
+    found = F.regexp_extract(F.coalesce(line, F.lit("")), r"\b([0-9]+\.[0-9]+\s+[A-Z][A-Za-z0-9&/,\- ]{2,120})", 1)
+    for stop in stops:
+        found = F.substring_index(found, stop, 1)
+    return F.nullif(F.substring(F.trim(found), 1, most), F.lit(""))
+
+
+def lines_from_words(words: Column, gap: float = 3.0) -> Column:
+    """A page's text from its words (text, top, x): by rounded top, then x; a new line where the top is further than gap from the line's first word; within a line by x."""
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct(F.round(w["top"], 0).alias("r"), w["x"].alias("x"), w["top"].alias("top"), w["text"].alias("text"))))
+    start = F.struct(F.array().cast("array<array<struct<x:double,text:string>>>").alias("lines"), F.lit(None).cast("double").alias("top"))
+
+    def step(state: Column, w: Column) -> Column:
+        word = F.struct(w["x"].cast("double").alias("x"), w["text"].alias("text"))
+        fresh = state["top"].isNull() | (F.abs(w["top"] - state["top"]) > gap)
+        n = F.size(state["lines"])
+        grown = F.concat(F.slice(state["lines"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(state["lines"], F.greatest(n, F.lit(1))), F.array(word))))
+        return F.struct(F.when(fresh, F.concat(state["lines"], F.array(F.array(word)))).otherwise(grown).alias("lines"), F.when(fresh, w["top"].cast("double")).otherwise(state["top"]).alias("top"))
+
+    made = F.aggregate(ordered, start, step, lambda s: F.transform(s["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda w: w["text"]), " ")))
+    return F.array_join(made, "\n")
+
+
+# --- texts of scanned documents -------------------------------------------------------------------
+
+
+@once
+def has_text(c: Column) -> Column:
+    """A page's text says something: an abstract, claims, a numbered line, or 400 characters beside images."""
+    lines = F.filter(F.transform(lines_of(c), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"(?i)^!\[image\s+[0-9]+\]\(.+\)$"))
+    keyed = c.rlike(r"(?i)\babstract\b") | c.rlike(r"(?i)\bclaims?\b") | c.rlike(r"\b[0-9]+\.\s+\S+")
+    return F.coalesce(keyed | ((F.length(F.trim(c)) >= 200) & (F.length(F.array_join(lines, " ")) >= 400)), F.lit(False))
+
+
+@once
+def is_drawing_sheet(c: Column) -> Column:
+    """A page of drawings: sheet marks, figures with little prose, or few letters among digits."""
+    sheet = r"(?i)\b(?:sheet|heet)\s+[0-9]+\s+of\s+[0-9]+\b"
+
+    def of(lines: Column) -> Column:
+        count = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
+        figures, sheets, prose = count(r"(?i)\bFIGS?\b"), count(rf"{sheet}|(?i)\bU\.?S\.?\s+Patent\b"), count("[A-Za-z]{4,}.*[A-Za-z]{4,}")
+        letters, digits = F.length(F.regexp_replace(c, r"[^\p{L}]", "")), F.length(F.regexp_replace(c, r"[^0-9]", ""))
+        sparse = (letters < 200) & (digits > F.floor(letters / 2)) & ((figures > 0) | (sheets > 0))
+        return ((figures >= 2) & (prose <= 8)) | ((sheets >= 2) & (prose <= 10)) | sparse
+
+    blank = F.trim(F.coalesce(c, F.lit(""))) == ""
+    return blank | c.rlike(sheet) | let(F.filter(F.transform(lines_of(c), lambda x: F.trim(x)), lambda x: x != ""), of)
+
+
+def without_front_matter(c: Column) -> Column:
+    """The text from the first heading of a description on; the whole text without one."""
+    body = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?im)^(\s*(?:TECHNICAL FIELD|BACKGROUND ART|BACKGROUND|DISCLOSURE|SUMMARY|BEST MODE|DETAILED DESCRIPTION|DESCRIPTION OF DRAWINGS|BRIEF DESCRIPTION OF (?:THE )?DRAWINGS)\b(?s:.*))", 1)
+    return F.regexp_replace(F.when(body != "", body).otherwise(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", "")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text
+from ..functions import patents, text
 
 
 def siblings(df: DataFrame, *, key: str, product: str, family: str, management: str) -> DataFrame:
@@ -73,11 +73,18 @@ def used_by(df: DataFrame, item: str, user: str, order: str) -> DataFrame:
     return firsts.groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", user))), lambda x: x[user]).alias("users"))
 
 
+def label_of(scores: dict[str, Column]) -> Column:
+    """The name of the highest score, ties to the one named first, null where all are 0."""
+    names = F.array(*map(F.lit, scores))
+    return patents.let(F.array(*scores.values()), lambda s: F.when(F.array_max(s) > 0, F.get(names, (F.array_position(s, F.array_max(s)) - 1).cast("int"))))
+
+
 def best_label(df: DataFrame, scores: dict[str, Column], name: str = "label") -> DataFrame:
     """df with the label of the highest score, ties to the one named first, null where all are 0."""
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    out = F.coalesce(*(F.when((c == top) & (c > 0), label) for label, c in scores.items()))
-    return df.withColumn(name, out).withColumn(f"{name}_hits", top)
+    names = F.array(*map(F.lit, scores))
+    top = F.array_max("_scores")
+    label = F.when(top > 0, F.get(names, (F.array_position("_scores", top) - 1).cast("int")))
+    return df.withColumn("_scores", F.array(*scores.values())).withColumn(name, label).withColumn(f"{name}_hits", top).drop("_scores")
 
 
 def claims_for(candidates: DataFrame, claims: DataFrame, languages: tuple[str, ...], most: int = 3) -> DataFrame:
