@@ -142,6 +142,26 @@ class CrossParser:
         self.arcs = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
 
+    def __getstate__(self) -> dict:
+        """Without the entries that only start a phrase: those are the same in all states of a language."""
+        if self.arcs is None:
+            return self.__dict__
+        table = self.arcs.reshape(-1, ALPHABET)
+        starts = (self.roots // ALPHABET).astype(np.int64)
+        sizes = np.diff(np.append(starts, len(table)))
+        live = np.flatnonzero(table.ravel() != np.repeat(table[starts], sizes, axis=0).ravel()) if len(starts) else np.zeros(0, np.int64)
+        return self.__dict__ | {"arcs": None, "folded": (table[starts], sizes, live.astype(np.uint32), self.arcs[live])}
+
+    def unfolded(self) -> CrossParser:
+        """The parser with its whole table, which lives as long as this copy."""
+        if self.arcs is not None:
+            return self
+        out = CrossParser.__new__(CrossParser)
+        roots, sizes, live, values = self.folded
+        out.__dict__ = {"langs": self.langs, "codes": self.codes, "roots": self.roots, "arcs": np.repeat(roots, sizes, axis=0).ravel()}
+        out.arcs[live] = values
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, int]:
         """Symbols with runs of characters that are no letters squeezed to one, and the number of letters."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -212,22 +232,26 @@ class CrossParser:
             if not len(seg):
                 break
             entry[seg] = wanted[seg]
-            now, phrases, open_ = wanted[seg], np.zeros((len(seg), n), np.int64), np.ones((len(seg), n), bool)
+            # pairs of a segment and a language, until they meet the parse that began with the segment
+            at, lang = (x.ravel() for x in np.broadcast_arrays(seg[:, None], np.arange(n)[None, :]))
+            now, phrases = wanted[seg].ravel(), np.zeros(len(at), np.int64)
             for t in range(SEGMENT):
-                rows = np.flatnonzero(open_.any(axis=1) & (size[seg] > t))
-                if not len(rows):
+                ended = size[at] <= t
+                if ended.any():  # never met: all of the segment is the parse that came in
+                    total[at[ended], lang[ended]], end[at[ended], lang[ended]] = phrases[ended], now[ended]
+                    at, lang, now, phrases = at[~ended], lang[~ended], now[~ended], phrases[~ended]
+                if not len(at):
                     break
-                at = seg[rows]
-                to = self.arcs[now[rows] + grid[t, at, None]]
-                phrases[rows] += np.where(open_[rows], to >> 30, 0)
-                now[rows] = to & (_NEW - 1)
-                r, c = np.nonzero(open_[rows] & (now[rows] == states[t, at]))
-                # met: the rest of the segment is as it was parsed
-                total[at[r], c] = phrases[rows[r], c] + found[at[r], c] - counted[t, at[r], c].astype(np.int64)
-                end[at[r], c] = state[at[r], c]
-                open_[rows[r], c] = False
-            r, c = np.nonzero(open_)  # never met: all of the segment is the parse that came in
-            total[seg[r], c], end[seg[r], c] = phrases[r, c], now[r, c]
+                to = self.arcs[now + grid[t, at]]
+                phrases += to >> 30
+                now = to & (_NEW - 1)
+                met = now == states[t, at, lang]
+                if met.any():  # the rest of the segment is as it was parsed
+                    i, j = at[met], lang[met]
+                    total[i, j] = phrases[met] + found[i, j] - counted[t, i, j].astype(np.int64)
+                    end[i, j] = state[i, j]
+                    at, lang, now, phrases = at[~met], lang[~met], now[~met], phrases[~met]
+            total[at, lang], end[at, lang] = phrases, now
         counts = np.zeros((len(texts), n), np.int64)
         np.add.at(counts, owner, total)
         return counts, end[last]
@@ -248,23 +272,13 @@ class CrossParser:
         return langs, scores, rates
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
-def parser_of(sample: dict[str, str]) -> CrossParser:
-    """One parser for each Python worker: its automata outlive a task."""
-    key = tuple(sorted(sample.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(sample)
-    return _parsers[key]
-
-
 def identify(df: DataFrame, sample: dict[str, str], *, text: str = "text") -> DataFrame:
     """df with lang_pred, score and phrase_rate of each whole text. The sample's bound makes it fit for sending to tasks."""
 
+    built = CrossParser(sample)  # on the driver; its few arcs travel, and each task unfolds the table
+
     def make():
-        parser = parser_of(sample)
+        parser = built.unfolded()
 
         def compute(texts):
             langs, scores, rates = [], [], []
