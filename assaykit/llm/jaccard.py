@@ -3,8 +3,9 @@
 Exact, without pairs of all copies and without caps:
 
 1. Documents with the same set are one from here on, under the smallest id.
-2. Near copies are merged early: documents that share MinHash values meet the smallest document that has them, and pairs
-   with 0.75 or more, by their full sets, are links. This only spares later work; it decides nothing else.
+2. Near copies are merged early: documents that share MinHash values meet the one of them whose values most documents share (the
+   likeliest centre of a family), and pairs with 0.75 or more, by their full sets, are links. What is still apart then, one document
+   for each group, does so once more. This only spares later work; it decides nothing else.
 3. Multiple-global-order filtering: under any order of all shingles, two documents that link share one of the first
    n - ceil(0.75 n) + 1 of each. ORDERS orders are used, all rare before frequent by a table of hashed counts that grows with the
    input up to MOST_COUNTERS (which only decides speed), then each by a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
@@ -376,6 +377,9 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
 
     first_links = _links(texts, _early_cells(alike))
     early = stored(components(first_links), "early")
+    apart = alike.join(early, F.col("rep") == F.col("id"), "left").where("component IS NULL OR component = rep").select("rep", "n", "keys")
+    first_links = first_links.unionByName(_links(texts, _early_cells(stored(apart, "apart"))))
+    early = stored(components(first_links), "early")
     labelled = alike.select(F.col("rep").alias("id"), "n").join(early, "id", "left").select("id", "n", F.coalesce("component", "id").alias("group"))
     labelled = stored(labelled, "labelled")
 
@@ -400,9 +404,12 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _early_cells(alike: DataFrame) -> DataFrame:
     """Each document with up to three leaders of the MinHash values that it shares with them, at least three values of KEYS."""
-    keyed = alike.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = keyed.join(leaders, ["j", "key"]).where("id != leader").groupBy("id", "leader").count().where("count >= 3")
+    keyed = alike.select(F.col("rep").alias("id"), F.posexplode("keys").alias("j", "key"))
+    several = keyed.groupBy("j", "key").agg(F.count("*").alias("c")).where("c > 1")
+    common = stored(keyed.join(several, ["j", "key"]), "common")
+    known = common.groupBy("id").agg(F.sum("c").alias("known"))
+    leaders = common.join(known, "id").groupBy("j", "key").agg(F.max(F.struct("known", F.bitwise_not("id").alias("i")))["i"].alias("i")).select("j", "key", F.bitwise_not("i").alias("leader"))
+    shared = common.join(leaders, ["j", "key"]).where("id != leader").groupBy("id", "leader").count().where("count >= 3")
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).where("r <= 3")
     best = stored(best.select("id", "leader"), "early-pairs")
     sizes = best.groupBy("leader").agg(F.ceil(F.count("*") / EARLY_CELL).alias("cells"))
