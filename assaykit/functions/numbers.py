@@ -120,7 +120,7 @@ def us_digits(c: Column) -> Column:
 
 
 def publication_id(country: Column, registration: Column, application: Column) -> Column:
-    """The id under which a public archive shows the document: country, digits and kind; a registration without a kind is B2 in the US and Japan."""
+    """The id under which a public archive shows the document: country, digits and kind; a registration without a kind is B2 in the US and Japan. All digits count, also those of a kind behind a space."""
     c = _up(country)
     registered = F.trim(F.coalesce(registration, F.lit(""))) != ""
     base = F.when(registered, _up(registration)).otherwise(_up(application))

