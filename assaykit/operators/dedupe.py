@@ -61,8 +61,11 @@ def citations(df: DataFrame) -> DataFrame:
     rows = df.withColumn("_original", original).where(F.coalesce(text.present(F.col("number")), text.present(F.col("original"))).isNotNull())
     standard = rows.where("standard").groupBy("patent", "_original").agg(F.min(F.struct("seq", F.concat_ws("|", "country", "number", "kind").alias("k"))).alias("s"))
     keyed = rows.join(standard, ["patent", "_original"], "left").withColumn("key", F.when(F.col("standard"), F.concat_ws("|", "country", "number", "kind")).otherwise(F.coalesce("s.k", "_original"))).drop("s")
-    heads = keyed.groupBy("patent", "key").agg(F.min("seq").alias("seq"), F.bool_or("standard").alias("standard"))
-    return heads.join(ordered_distinct(keyed, ["patent", "key"], "type", "seq", "types"), ["patent", "key"], "left")
+    by_type = keyed.groupBy("patent", "key", "type").agg(F.min("seq").alias("_o"), F.bool_or("standard").alias("_s"))
+    named = F.collect_list(F.when(text.present(F.col("type").cast("string")).isNotNull(), F.struct("_o", "type")))
+    types = F.transform(F.array_sort(named), lambda x: x["type"])
+    merged = by_type.groupBy("patent", "key").agg(F.min("_o").alias("seq"), F.bool_or("_s").alias("standard"), types.alias("types"))
+    return merged.withColumn("types", F.when(F.size("types") > 0, F.col("types")))
 
 
 def citation_stats(df: DataFrame) -> DataFrame:
