@@ -378,8 +378,10 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     first_links = _links(texts, _early_cells(alike))
     early = stored(components(first_links), "early")
     apart = alike.join(early, F.col("rep") == F.col("id"), "left").where("component IS NULL OR component = rep").select("rep", "n", "keys")
-    first_links = first_links.unionByName(_links(texts, _early_cells(stored(apart, "apart"))))
-    early = stored(components(first_links), "early")
+    again = _early_cells(stored(apart, "apart"))
+    if again.limit(1).count():
+        first_links = first_links.unionByName(_links(texts, again))
+        early = stored(components(first_links), "early")
     labelled = alike.select(F.col("rep").alias("id"), "n").join(early, "id", "left").select("id", "n", F.coalesce("component", "id").alias("group"))
     labelled = stored(labelled, "labelled")
 
