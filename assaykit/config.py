@@ -80,6 +80,35 @@ US_STOPS = (
     "DETAILED DESCRIPTION", "BEST MODE FOR CARRYING OUT THE INVENTION", "MODE FOR CARRYING OUT THE INVENTION", "BEST MODE", "What is claimed is", "The invention claimed is",
 )
 FIGURE_PAGE_ENDS = (r"^\s*(?:US\s+\d[\d,\s]*[A-Z]?\d?\s*$|[\d,]+\s+[A-Z]\d?\s*$|\d+\s*$)", r"^\s*[\d,]+\s+[A-Z]\d?\s+\d+\s*$")
+# Patterns that decide what is cut from patent documents. `\z` is the end of the text.
+COVER_ABSTRACTS = (
+    r"\(57\)\s*요\s*약\s*(.+?)(?=\n#{0,6}\s*명세서|\n청구범위|\n####|\n명세서)",
+    r"\(57\)\s*摘要\s*(.+?)(?=\n(?:CN\s*\d+\s*[A-Z]?|1\.\s*一种|权利要求书|技术领域|背景技术|发明内容|附图说明|具体实施方式)\s*$)",
+    r"\(57\)\s*ABSTRACT\s*(.+?)(?=\n#{0,6}\s*(?:BACKGROUND|FIELD OF THE INVENTION|TECHNICAL FIELD|CLAIMS?)\s*$)",
+)
+US_ABSTRACT = r"\b(?:\(\s*(?:57|67)\s*\)\s*)?ABSTRACT\b[:\s]*(.+?)(?=^\s*(?:TECHNICAL FIELD|FIELD OF THE INVENTION|BACKGROUND ART|BACKGROUND|DISCLOSURE|SUMMARY OF THE INVENTION|SUMMARY|BRIEF DESCRIPTION OF DRAWINGS|DESCRIPTION|DETAILED DESCRIPTION|BEST MODE)\b|\z)"
+US_CLAIMS = r"\b(?:What is claimed is|The invention claimed is)\s*:?\s*(.+?)(?=^\s*(?:TECHNICAL FIELD|BACKGROUND ART|BACKGROUND|DISCLOSURE|BRIEF DESCRIPTION OF DRAWINGS|DESCRIPTION|DETAILED DESCRIPTION|BEST MODE)\b|\z)"
+PAGE_NOISE = (
+    r"^\s*US\s+\d[\d,]*\s*[A-Z]\d?\s*$",
+    r"^\s*U\.S\.\s+Patent(?:ed)?\b.*$",
+    r"^\s*(?:Sheet|heet)\s+\d+\s+of\s+\d+\s*$",
+    r"^\s*Page\s+\d+\s*$",
+    r"^\s*\d+\s*$",
+)
+MISREADINGS = ((r"\bAl\b", "AI"), (r"(?i)\bleaming\b", "learning"))
+NEXT_SECTION = r"^#?\s*(발명의 설명|기술분야|배경기술|발명의 내용|해결하려는 과제|과제의 해결 수단|발명의 효과|도면의 간단한 설명|발명을 실시하기 위한 구체적인 내용|부호의 설명)\s*$"
+FIGURE_CAPTION = r"^\s*FIG(?:S)?\s*\.\s*[\d\s,toand]+"
+DRAWING_HEADINGS = ("도면의 간단한 설명", "도면")
+BEHIND_DRAWINGS = ("발명을 실시하기 위한 구체적인 내용", "발명의 설명", "기술분야", "배경기술")
+CLAIM_DEPENDENCY = (
+    r"(?:청구항|제)\s*(\d+)\s*항?"
+    r"(?:\s*(?:내지|또는|및)\s*(?:청구항|제)?\s*\d+\s*항?)*"
+    r"\s*(?:중\s*)?(?:어느\s*(?:한|하나의?)\s*항)?"
+    r"\s*(?:에\s*있어서|에\s*기재된|에\s*따른|에\s*의한|에\s*있어|에서|의\s|에\s)"
+)
+ENGLISH_DEPENDENCY = r"claims?\s*(\d+)"
+JAPANESE_OWN_THING = r"請求項[0-9０-９]+(?:(?:又は|若しくは|ないし|乃至|～|〜|-)[0-9０-９]+)?記載の.+?(?:システム|装置|プログラム|記録媒体)であって"
+JAPANESE_DEPENDENCY = r"請求項([0-9０-９]+)(?:(?:又は|若しくは|ないし|乃至|～|〜|-)[0-9０-９]+)?(?:のいずれか(?:１|1)項)?(?:に記載|記載)"
 ERA_STARTS = {"昭": 1925, "平": 1988, "令": 2018}
 REGIONS = ("서울", "경기", "대전", "부산", "인천", "광주", "대구", "울산", "세종", "강원", "충청", "충북", "충남", "전라", "전북", "전남", "경상", "경북", "경남", "제주")
 REQUIRED_IDENTIFIERS = ("title", "application_number", "registration_number")
@@ -131,6 +160,11 @@ REPORT_INDUSTRIES = ("자동차", "조선", "일반기계", "철강", "정유",
 BODY_STARTS = (r"^□\s*", r"^○\s*", r"^\(\d+\)\s*", r"^\d+\.\s+")
 PAGE_FOOTERS = (r"^\d+\s+2026년\s+경제[ㆍ·]?산업\s+전망", r"^\d+\s+KIET\s+경제", r"^제\d+장\s+.+\s+\d+$")
 IMPRINT_MARKS = ("발 행 일", "발 행 인", "발 행 처", "ISSN", "무단 복제")
+SENTENCE_STARTS = (" The ", " This ", " In ", " As ", " Across ", " Since ", " While ", " Source:", " Figure ")
+NUMBERED_HEADING = r"\b([0-9]+\.[0-9]+\s+[A-Z][A-Za-z0-9&/,\- ]{2,120})"
+FOOTNOTE_START = r"^[0-9]+\s+(Each|Due|For more|The full|National|All data|The LinkedIn)\b"
+SOURCE_NOTE_START = r"^[0-9]+\s+Data source:"
+ROUNDING_NOTES = ("for the sake of brevity", "figures may not add up", "percentage points are rounded")
 SECTION_LEAST_CHARS, REPORT_FIRST_PAGE = 120, 16
 REPORT_SECTION_KEYS = {"2": "evaluationScope", "3": "judgmentBasis", "4": "axisDetails", "5": "roleChecklist", "6": "finalOpinion"}
 EXTERNAL_EVIDENCE_AXES = ("market", "business_fit")
@@ -151,6 +185,10 @@ ORGANISATION_MARKS = ("주식회사", "(주)", "㈜", "회사", "법인", "대
 BLANK_COMPANIES = ("n/a", "na", "none", "null", "-", "기타", "해당사항없음", "해당 사항 없음")
 JOINT_MARKS = ("1", "true", "y", "yes", "공동", "공동출원")
 INDEPENDENT_MARKS, DEPENDENT_MARKS = ("독립", "独立", "獨立"), ("종속", "従属", "従屬", "從屬", "从属")
+# Fixed values of structures made in two passes.
+NULLISH = ("null", "none", "n/a", "nan", "")
+ELEMENT_ROLES, ROLES_OF_PARTS = ("essential", "supporting"), ("essential", "supporting", "limiter")
+CLAIM_CLARITIES, OBSERVABILITIES, COUPLINGS = ("self_clear", "spec_resolved", "unresolved"), ("external", "inferable", "internal"), ("strong", "weak")
 LINKAGE_ACTIONS = ("스킵", "판단", "비교", "조정", "결합", "예측", "최적화", "반영", "산출", "검증", "리밸런싱", "배분", "동일", "해시", "복원")
 GENERIC_ELEMENTS = ("통신부", "프로세서", "저장부", "저장부 (스토리지)", "메모리 영역", "메모리 영역 (memory pool)", "시스템", "장치", "서버")
 LINKAGE_SECTIONS = ("과제해결수단", "효과", "발명의효과")

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..config import BODY_STARTS, IMPRINT_MARKS, PAGE_FOOTERS, REPORT_INDUSTRIES, SECTION_LEAST_CHARS
+from ..config import BODY_STARTS, FOOTNOTE_START, IMPRINT_MARKS, NUMBERED_HEADING, PAGE_FOOTERS, REPORT_INDUSTRIES, ROUNDING_NOTES, SECTION_LEAST_CHARS, SENTENCE_STARTS, SOURCE_NOTE_START
+from .arrays import runs, scan
 from .patents import let, lines_of, once, remove_images
 
 _TABLE = r"<\s*표\s*[0-9]+[-–][0-9]+\s*>"
@@ -214,12 +215,12 @@ def without_chart_tail(c: Column) -> Column:
 @once
 def is_source_note(c: Column) -> Column:
     low = F.lower(c)
-    rounding = low.contains("for the sake of brevity") | low.contains("figures may not add up") | low.contains("percentage points are rounded")
-    return (F.length(c) <= 260) & (c.rlike(r"^[0-9]+\s+Data source:") | (c.rlike(r"^[0-9]+\s+") & rounding))
+    rounding = reduce(Column.__or__, map(low.contains, ROUNDING_NOTES))
+    return (F.length(c) <= 260) & (c.rlike(SOURCE_NOTE_START) | (c.rlike(r"^[0-9]+\s+") & rounding))
 
 
 def is_footnote(c: Column) -> Column:
-    return (F.length(c) <= 500) & c.rlike(r"^[0-9]+\s+(Each|Due|For more|The full|National|All data|The LinkedIn)\b")
+    return (F.length(c) <= 500) & c.rlike(FOOTNOTE_START)
 
 
 def is_running_head(c: Column, title: str) -> Column:
@@ -232,9 +233,9 @@ def is_no_prose(c: Column, title: str) -> Column:
     return is_figures_only(c) | is_chart_noise(c) | is_source_note(c) | is_footnote(c) | is_running_head(c, title)
 
 
-def numbered_heading(line: Column, stops: tuple[str, ...] = (" The ", " This ", " In ", " As ", " Across ", " Since ", " While ", " Source:", " Figure "), most: int = 100) -> Column:
+def numbered_heading(line: Column, stops: tuple[str, ...] = SENTENCE_STARTS, most: int = 100) -> Column:
     """`n.n Title`, up to the first word that begins a sentence; null without one."""
-    found = F.regexp_extract(F.coalesce(line, F.lit("")), r"\b([0-9]+\.[0-9]+\s+[A-Z][A-Za-z0-9&/,\- ]{2,120})", 1)
+    found = F.regexp_extract(F.coalesce(line, F.lit("")), NUMBERED_HEADING, 1)
     for stop in stops:
         found = F.substring_index(found, stop, 1)
     return F.nullif(F.substring(F.trim(found), 1, most), F.lit(""))
@@ -242,18 +243,19 @@ def numbered_heading(line: Column, stops: tuple[str, ...] = (" The ", " This ",
 
 def lines_from_words(words: Column, gap: float = 3.0) -> Column:
     """A page's text from its words (text, top, x): by rounded top, then x; a new line where the top is further than gap from the line's first word; within a line by x."""
-    ordered = F.array_sort(F.transform(words, lambda w: F.struct(F.round(w["top"], 0).alias("r"), w["x"].alias("x"), w["top"].alias("top"), w["text"].alias("text"))))
-    start = F.struct(F.array().cast("array<array<struct<x:double,text:string>>>").alias("lines"), F.lit(None).cast("double").alias("top"))
-
-    def step(state: Column, w: Column) -> Column:
-        word = F.struct(w["x"].cast("double").alias("x"), w["text"].alias("text"))
-        fresh = state["top"].isNull() | (F.abs(w["top"] - state["top"]) > gap)
-        n = F.size(state["lines"])
-        grown = F.concat(F.slice(state["lines"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(state["lines"], F.greatest(n, F.lit(1))), F.array(word))))
-        return F.struct(F.when(fresh, F.concat(state["lines"], F.array(F.array(word)))).otherwise(grown).alias("lines"), F.when(fresh, w["top"].cast("double")).otherwise(state["top"]).alias("top"))
-
-    made = F.aggregate(ordered, start, step, lambda s: F.transform(s["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda w: w["text"]), " ")))
-    return F.array_join(made, "\n")
+    number = lambda w, name: w[name].cast("double").alias(name)
+    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(F.bround(w["top"].cast("double")).alias("r"), number(w, "x"), i.alias("i"), number(w, "top"), w["text"].alias("text"))))
+
+    def step(line: Column, w: Column) -> Column:
+        fresh = line["top"].isNull() | (F.abs(w["top"] - line["top"]) > gap)
+        return F.when(fresh, F.struct(w["top"].alias("top"), (line["no"] + 1).alias("no"))).otherwise(line)
+
+    def lines(ws: Column) -> Column:
+        start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("no"))
+        numbered = let(scan(ws, start, "struct<top:double,no:int>", step), lambda at: F.transform(ws, lambda w, i: F.struct(F.get(at, i)["no"].alias("no"), w["x"].alias("x"), i.alias("i"), w["text"].alias("text"))))
+        return runs(F.array_sort(numbered), lambda xs, i: F.get(xs, i)["no"] != F.get(xs, i - 1)["no"])
+
+    return F.array_join(F.transform(let(ordered, lines), lambda line: F.array_join(F.transform(line, lambda w: w["text"]), " ")), "\n")
 
 
 # --- texts of scanned documents -------------------------------------------------------------------

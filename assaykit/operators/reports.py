@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import COMMON_INDUSTRY, REPORT_FIRST_PAGE
 from ..functions import reports
+from ..functions.arrays import scan
 from ..functions.patents import let
 from . import documents
 
@@ -18,17 +19,21 @@ def sections(df: DataFrame, key: str, column: str, first_page: int = REPORT_FIRS
 
     def carried(parts: Column) -> Column:
         page_of = lambda p: F.when(p["heading"].startswith("\x01"), F.substring(p["heading"], 2, 9).cast("int"))
-        last = lambda i, f: F.try_element_at(F.filter(F.transform(F.slice(parts, F.lit(1), i + 1), f), lambda x: x.isNotNull()), F.lit(-1))
-        paged = F.transform(parts, lambda p, i: F.struct(p["section_no"].alias("no"), p["heading"].alias("h"), page_of(p).alias("own"), last(i, page_of).alias("page"), p["lines"].alias("lines")))
 
-        def named(rows: Column) -> Column:
-            label = lambda r: F.when(r["own"].isNull() & (r["page"].isNull() | (r["page"] >= first_page)), reports.industry_of(r["h"]))
-            industry = lambda i: F.try_element_at(F.filter(F.transform(F.slice(rows, F.lit(1), i + 1), label), lambda x: x.isNotNull()), F.lit(-1))
-            heading = lambda r: F.when(r["own"].isNotNull(), F.concat(F.lit("Page "), r["own"].cast("string"))).otherwise(F.coalesce(r["h"], F.lit("문서 개요")))
-            body = lambda r: F.when(r["h"].isNull(), r["lines"]).otherwise(F.slice(r["lines"], F.lit(2), F.greatest(F.size(r["lines"]), F.lit(1))))
-            return F.transform(rows, lambda r, i: F.struct(r["no"].alias("section_no"), heading(r).alias("heading"), r["page"].alias("page"), industry(i).alias("industry"), documents.clean_section(F.array_join(F.transform(body(r), lambda x: F.trim(x)), "\n")).alias("text")))
+        def step(held: Column, p: Column) -> Column:
+            own = page_of(p)
+            page = F.coalesce(own, held["page"])
+            named = F.when(own.isNull() & (page.isNull() | (page >= first_page)), reports.industry_of(p["heading"]))
+            return F.struct(page.alias("page"), F.coalesce(named, held["industry"]).alias("industry"))
 
-        return let(paged, named)
+        def section(p: Column, held: Column) -> Column:
+            heading = F.when(page_of(p).isNotNull(), F.concat(F.lit("Page "), page_of(p).cast("string"))).otherwise(F.coalesce(p["heading"], F.lit("문서 개요")))
+            body = F.when(p["heading"].isNull(), p["lines"]).otherwise(F.slice(p["lines"], F.lit(2), F.greatest(F.size(p["lines"]), F.lit(1))))
+            text = documents.clean_section(F.array_join(F.transform(body, lambda x: F.trim(x)), "\n"))
+            return F.struct(p["section_no"].alias("section_no"), heading.alias("heading"), held["page"].alias("page"), held["industry"].alias("industry"), text.alias("text"))
+
+        none = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("industry"))
+        return let(scan(parts, none, "struct<page:int,industry:string>", step), lambda held: F.transform(parts, lambda p, i: section(p, F.get(held, i))))
 
     rows = df.select(key, F.explode(let(documents.marked_parts(F.col(column), mark), carried)).alias("s"))
     return rows.select(key, "s.*").where("text != ''")

@@ -1,6 +1,6 @@
 """Query catalogue over the standard tables, with SQL twins."""
 
-from . import evidence, measures, records, rules
+from . import evidence, measures, records, rules, structures
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "evidence", "measures", "records", "rules"]
+__all__ = ["QUERIES", "SQL", "evidence", "measures", "records", "rules", "structures"]
