@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import runs, scan
 from ..functions.patents import let
 
 START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n", "<|nl|>"
@@ -37,13 +38,7 @@ def unescape(text: Column) -> Column:
 
 def _messages(turns: Column) -> Column:
     """The array of turns cut where the role changes."""
-
-    def cut(x: Column) -> Column:
-        role = lambda i: F.get(x, i)["role"]
-        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~role(i).eqNullSafe(role(i - 1)))
-        return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(x, at + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - at)))
-
-    return let(turns, cut)
+    return runs(turns, lambda x, i: F.get(x, i)["role"] != F.get(x, i - 1)["role"])
 
 
 def _message(turns: Column) -> Column:
@@ -82,15 +77,10 @@ def spans(formatted: Column, loss: Column) -> Column:
 
     def walk(marks: Column, texts: Column) -> Column:
         # marks[k] stands before texts[k]
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
         both = F.arrays_zip(marks.alias("mark"), texts.alias("text"), loss.alias("loss"))
-
-        def step(acc: Column, z: Column) -> Column:
-            start = acc["at"] + F.length(z["mark"])
-            end = start + F.length(z["text"])
-            return F.struct(end.alias("at"), F.when(z["loss"], F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["spans"]).alias("spans"))
-
-        return F.aggregate(both, zero, step, lambda acc: acc["spans"])
+        ends = scan(both, F.lit(0), "bigint", lambda at, z: at + F.length(z["mark"]) + F.length(z["text"]))
+        every = let(ends, lambda e: F.transform(both, lambda z, i: F.struct((F.get(e, i) - F.length(z["text"])).alias("start"), F.get(e, i).alias("end"), z["loss"].alias("loss"))))
+        return F.transform(F.filter(every, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["end"]))
 
     texts = let(F.split(formatted, mark, -1), lambda x: F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0))))
     marks = let(F.regexp_extract_all(formatted, F.lit(mark), F.lit(0)), lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
