@@ -85,7 +85,14 @@ class _Bits:
 
 
 def luma(data: bytes) -> np.ndarray:
-    """The samples of a frame's first component, height x width."""
+    """The samples of a frame's first component, height x width. Whatever is wrong with a frame, it is a ValueError, or Unsupported."""
+    try:
+        return _luma(data)
+    except (IndexError, KeyError, StopIteration, ZeroDivisionError, struct.error) as e:
+        raise ValueError("a broken frame") from e
+
+
+def _luma(data: bytes) -> np.ndarray:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     at, quant, huffman, frame, restart = 2, {}, dict(STANDARD), None, 0
@@ -136,12 +143,9 @@ def luma(data: bytes) -> np.ndarray:
             stop = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]").search(data, at)
             parts = re.split(rb"\xff[\xd0-\xd7]", data[at : stop.start() if stop else len(data)])
             tables = lambda cls, k: _table(*huffman[cls, k])
-            try:
-                if frame[0] == 0xC3:
-                    return _lossless(frame, [(c, tables(0, t >> 4)) for c, t in names], body[1 + 2 * len(names)], body[3 + 2 * len(names)] & 15, parts, restart)
-                return _dct(frame, [(c, tables(0, t >> 4), tables(1, t & 15)) for c, t in names], quant, parts, restart)
-            except (KeyError, IndexError) as e:
-                raise ValueError("a broken frame") from e
+            if frame[0] == 0xC3:
+                return _lossless(frame, [(c, tables(0, t >> 4)) for c, t in names], body[1 + 2 * len(names)], body[3 + 2 * len(names)] & 15, parts, restart)
+            return _dct(frame, [(c, tables(0, t >> 4), tables(1, t & 15)) for c, t in names], quant, parts, restart)
     raise ValueError("no scan")
 
 

@@ -26,6 +26,8 @@ UNKNOWN = "und"
 SEGMENT = 256
 #: Characters parsed together; bounds a task's memory.
 TOGETHER = 1 << 19
+#: Times that all segments are parsed again side by side before the rest is followed one by one.
+ROUNDS = 3
 #: Characters with numbers of their own in the automata; others share numbers by remainder.
 ALPHABET = 96
 _SPACE, _DIGIT, _OTHER, _FIRST = 0, 1, 2, 3
@@ -162,6 +164,10 @@ class CrossParser:
         out.arcs[live] = values
         return out
 
+    def together(self) -> int:
+        """Symbols that are parsed together: fewer where there are many languages, so that their states take the same memory."""
+        return max(1, TOGETHER * 8 // max(8, len(self.langs)))
+
     def encode(self, text: str) -> tuple[np.ndarray, int]:
         """Symbols with runs of characters that are no letters squeezed to one, and the number of letters."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -184,14 +190,15 @@ class CrossParser:
         if not self.langs:
             return counts, letters
         roots = lambda k: np.repeat(self.roots[None, :], k, axis=0)
-        some = [i for i, (x, n) in enumerate(coded) if n and len(x) <= TOGETHER]
+        together = self.together()
+        some = [i for i, (x, n) in enumerate(coded) if n and len(x) <= together]
         if some:
             counts[some] = self._parse([coded[i][0] for i in some], roots(len(some)))[0]
         for i, (x, n) in enumerate(coded):
-            if n and len(x) > TOGETHER:
+            if n and len(x) > together:
                 state = roots(1)
-                for at in range(0, len(x), TOGETHER):
-                    more, state = self._parse([x[at : at + TOGETHER]], state)
+                for at in range(0, len(x), together):
+                    more, state = self._parse([x[at : at + together]], state)
                     counts[i] += more[0]
         return counts, letters
 
@@ -226,7 +233,7 @@ class CrossParser:
             state[:w] = to & (_NEW - 1)
             states[t, :w], counted[t, :w] = state[:w], found[:w]
         total, end, entry = found.astype(np.int64), state.copy(), np.repeat(self.roots[None, :], len(owner), axis=0)
-        while True:
+        for _ in range(ROUNDS):
             wanted = np.where(before[:, None] >= 0, end[before], given[owner])
             seg = np.flatnonzero((wanted != entry).any(axis=1))
             if not len(seg):
@@ -252,10 +259,30 @@ class CrossParser:
                     end[i, j] = state[i, j]
                     at, lang, now, phrases = at[~met], lang[~met], now[~met], phrases[~met]
             total[at, lang], end[at, lang] = phrases, now
+        else:
+            self._follow(back, before, owner, given, grid, size, entry, total, end)
         counts = np.zeros((len(texts), n), np.int64)
         np.add.at(counts, owner, total)
         return counts, end[last]
 
+    def _follow(self, back, before, owner, given, grid, size, entry, total, end) -> None:
+        """Segments that still began with another state than the one before them left, one after the other: where parses never meet, as in repetitive texts, each is walked once more at most."""
+        wanted = np.where(before[:, None] >= 0, end[before], given[owner])
+        apart = (wanted != entry).any(axis=1)
+        if not apart.any():
+            return
+        arcs, mask = memoryview(self.arcs), int(_NEW) - 1
+        for s in back[int(np.argmax(apart[back])) :].tolist():
+            want = end[before[s]] if before[s] >= 0 else given[owner[s]]
+            for j in np.flatnonzero(want != entry[s]).tolist():
+                state, phrases = int(want[j]), 0
+                for c in grid[: size[s], s].tobytes():
+                    to = arcs[state + c]
+                    phrases += to >> 30
+                    state = to & mask
+                total[s, j], end[s, j] = phrases, state
+            entry[s] = want
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, score from 0 to 1 and phrases a letter of each text.
 
@@ -283,7 +310,7 @@ def identify(df: DataFrame, sample: dict[str, str], *, text: str = "text") -> Da
         def compute(texts):
             langs, scores, rates = [], [], []
             rows = [x or "" for x in texts.to_pylist()]
-            for a, b in byte_batches(rows, TOGETHER):
+            for a, b in byte_batches(rows, parser.together()):
                 for column, part in zip((langs, scores, rates), parser.predict(rows[a:b]), strict=True):
                     column += part
             return langs, scores, rates

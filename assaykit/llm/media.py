@@ -307,11 +307,11 @@ def clips_of(data: bytes | None) -> tuple[str, list[dict]]:
     try:
         rate, images = read_avi(data)
         found = shots_of(file_histograms(images))
+        return "ok", [{"clip": k, "start_ms": a * 1000 / rate, "end_ms": b * 1000 / rate, "frames": b - a, "difference": x} for k, (a, b, x) in enumerate(found)]
     except Unsupported:
         return "unsupported", []
-    except (ValueError, struct.error):
+    except (ValueError, IndexError, ArithmeticError, struct.error):
         return "broken", []
-    return "ok", [{"clip": k, "start_ms": a * 1000 / rate, "end_ms": b * 1000 / rate, "frames": b - a, "difference": x} for k, (a, b, x) in enumerate(found)]
 
 
 def clips(df: DataFrame, *, media: str = "media") -> DataFrame:

@@ -116,6 +116,34 @@ def test_segments_are_parsed_as_one_text(monkeypatch):
         assert parser.phrases(texts)[0].tolist() == want
 
 
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    r = random.Random(4)
+    prose = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(3_000))
+    parser = langid.CrossParser({"aa": prose("abcde"), "bb": prose("defgh"), "cc": prose("aeiou")})
+    texts = ["a" * 1_000_000, "ab" * 200_000, "".join(r.choice("ab") for _ in range(100)) * 2_000]
+    began = time.perf_counter()
+    got = [parser.phrases([t])[0][0].tolist() for t in texts]
+    assert time.perf_counter() - began < 2 * 1.6 * len(parser.langs)  # 1.6 million symbols; two seconds a million symbols and language at most, on a busy machine
+    for text, row in zip(texts, got, strict=True):
+        symbols = parser.encode(text)[0].tolist()
+        arcs, mask = memoryview(parser.arcs), int(langid._NEW) - 1
+        for root, n in zip(parser.roots.tolist(), row, strict=True):
+            state, want = root, 0
+            for c in symbols:
+                to = arcs[state + c]
+                want, state = want + (to >> 30), to & mask
+            assert n == want
+
+
+def test_many_languages_are_parsed_in_smaller_parts():
+    r = random.Random(2)
+    parser = langid.CrossParser({f"l{i:02}": "".join(r.choice("abcdefgh ") for _ in range(300)) for i in range(40)})
+    assert parser.together() * 40 <= langid.TOGETHER * 8
+    assert langid.CrossParser({"a": "ab", "b": "cd"}).together() == langid.TOGETHER
+
+
 def test_query_equals_a_plain_parse(spark, small, texts):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     parser = langid.CrossParser(langid.labelled_sample(docs, langid.crc_remainder("doc_id") != 2))
@@ -428,6 +456,34 @@ def test_clips_of_ordinary_files(spark):
     assert clips.columns == ["id", "clip", "start_ms", "end_ms", "frames", "difference"] and clips.count() == 6
 
 
+def test_damaged_files_are_broken(spark):
+    r = random.Random(21)
+    plane = np.random.default_rng(2).integers(0, 256, (24, 40), dtype=np.uint8)
+    own = media.encode_frames(np.random.default_rng(3).integers(0, 256, (3, media.SAMPLES), dtype=np.uint8))
+    files = [media.write_avi([baseline_jpeg(plane, **o)] * 2) for o in ({}, {"tables": False}, {"sampling": 2, "restart": 2})] + [media.write_avi(own)]
+
+    def damaged():
+        file = bytearray(r.choice(files))
+        for _ in range(r.randint(1, 4)):
+            file[r.randrange(len(file))] = r.randrange(256)
+        return bytes(file[: r.choice([len(file), len(file), r.randrange(len(file))])])
+
+    seen = {media.clips_of(damaged())[0] for _ in range(5_000)}
+    assert seen == {"ok", "broken", "unsupported"}
+    for _ in range(1_500):
+        frame = bytearray(r.choice([baseline_jpeg(plane), own[0]]))
+        for _ in range(3):
+            frame[r.randrange(len(frame))] = r.randrange(256)
+        try:
+            jpeg.luma(bytes(frame))
+        except (ValueError, jpeg.Unsupported):
+            pass
+    no_components = files[0].replace(b"\xff\xc0\x00\x0b\x08\x00\x18\x00\x28\x01", b"\xff\xc0\x00\x0b\x08\x00\x18\x00\x28\x00")
+    rows = [(1, files[0]), (2, no_components), (3, files[3][:-40]), (4, files[3])]
+    got = {x["id"]: x["clips_status"] for x in media.clips(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert got[1] == got[4] == "ok" and got[2] in ("broken", "unsupported")
+
+
 def test_shots_follow_a_change():
     r = np.random.default_rng(6)
     dark, light = r.integers(0, 60, (30, media.SAMPLES)), r.integers(180, 240, (20, media.SAMPLES))
