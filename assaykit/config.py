@@ -145,6 +145,7 @@ GLOBAL_HINTS = ("global", "international", "worldwide", "across europe", "across
 CONCRETE_PATHS = ("/finance", "/manufacturing", "/case-study", "/story", "/solution", "/service", "/industry", "/enterprise", "/security", "/blockchain")
 TREND_PATHS = ("/insight", "/trend")
 INACTIVE_STATES, ACTIVE_STATES = ("소멸", "거절", "취하", "포기"), ("등록", "유효")
+FOREIGN_PATH_WORDS = ("aicc",)
 SKIPPED_FILES = (".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".zip")
 TITLE_STOPWORDS = ("및", "또는", "으로", "에서", "에게", "하는", "위한", "통한", "기반", "적용한", "상품", "트렌드", "반영한", "모델", "시스템", "방법", "장치", "프로그램")
 BROAD_TERMS = ("ai", "data", "cloud", "서비스", "플랫폼", "자동화", "보안", "인증")
@@ -160,6 +161,10 @@ REPORT_INDUSTRIES = ("자동차", "조선", "일반기계", "철강", "정유",
 BODY_STARTS = (r"^□\s*", r"^○\s*", r"^\(\d+\)\s*", r"^\d+\.\s+")
 PAGE_FOOTERS = (r"^\d+\s+2026년\s+경제[ㆍ·]?산업\s+전망", r"^\d+\s+KIET\s+경제", r"^제\d+장\s+.+\s+\d+$")
 IMPRINT_MARKS = ("발 행 일", "발 행 인", "발 행 처", "ISSN", "무단 복제")
+CHAPTER_LINE = r"^제\d+장\s+(.+?산업)\s*[·.\s]{3,}\s*(\d{1,3})$"
+INDEX_NOISE_MARKERS = ("appendix", "references", "bibliography", "doi.org", "figure a", "table a", "endnotes", "acknowledgments")
+INDEX_TITLE, INDEX_LAST_PAGE, INDEX_LEAST_CHARS, INDEX_CHUNK = "AI INDEX REPORT", 384, 350, (500, 60)
+FRONT_SECTIONS = ("Contents", "Foreword", "Building strategic foresight", "Introduction", "Methodology")
 SENTENCE_STARTS = (" The ", " This ", " In ", " As ", " Across ", " Since ", " While ", " Source:", " Figure ")
 NUMBERED_HEADING = r"\b([0-9]+\.[0-9]+\s+[A-Z][A-Za-z0-9&/,\- ]{2,120})"
 FOOTNOTE_START = r"^[0-9]+\s+(Each|Due|For more|The full|National|All data|The LinkedIn)\b"
@@ -185,6 +190,34 @@ ORGANISATION_MARKS = ("주식회사", "(주)", "㈜", "회사", "법인", "대
 BLANK_COMPANIES = ("n/a", "na", "none", "null", "-", "기타", "해당사항없음", "해당 사항 없음")
 JOINT_MARKS = ("1", "true", "y", "yes", "공동", "공동출원")
 INDEPENDENT_MARKS, DEPENDENT_MARKS = ("독립", "独立", "獨立"), ("종속", "従属", "従屬", "從屬", "从属")
+# Patterns of claims in running texts of foreign documents.
+FOREIGN_CLAIM_MARKERS = (
+    r"\bwhat\s+is\s+claimed\s+is\s*:",
+    r"\bwe\s+claim\s*:",
+    r"^\s*#{1,6}\s*claims?\s*$",
+    r"^\s*claims?\s*$",
+    r"^\s*权利要求书\s*$",
+    r"^\s*申請專利範圍\s*$",
+)
+FOREIGN_CLAIM_STARTS = (
+    r"(?i)^\s*(?:claim|claims?)\s*([0-9]+)\s*[:.)-]?\s*(.*)$",
+    r"^\s*【\s*第\s*([0-9]{1,3})\s*項\s*】\s*(.*)$",
+    r"^\s*([0-9]{1,3})\s*[、．]\s*(.*)$",
+    r"^\s*-?\s*([0-9]{1,3})\s*[.)]\s*(.*)$",
+    r"^\s*权利要求\s*([0-9]+)\s*(.*)$",
+)
+FOREIGN_PAGE_END = r"^\s*##\s*페이지\s+\d+\s*$"
+FOREIGN_CLAIM_NOISE = (
+    r"^!\[",
+    r"(?i)^#{2,6}\s*(?:페이지\s+\d+|OCR 텍스트)$",
+    r"(?i)^```(?:text)?$",
+    r"^\d{1,3}$",
+    r"^\d{6,}[\d.\s]*.*第.*(?:页|頁|丰)\s*$",
+)
+FOREIGN_MISREAD_ONE = r"(权利要求)\s*[|Il](?=\s|所述|记载|記載|的)"
+FOREIGN_DEPENDENCIES = (r"claims?\s*([0-9]+)\b", r"权利要求\s*([0-9]+)", r"申請專利範圍\s*第?\s*([0-9]+)\s*項")
+FOREIGN_CLAIM_LEAST, FOREIGN_CLAIM_MOST, CLAIM_DESCRIPTION_MOST = 20, 5_000, 12_000
+
 # Fixed values of structures made in two passes.
 NULLISH = ("null", "none", "n/a", "nan", "")
 ELEMENT_ROLES, ROLES_OF_PARTS = ("essential", "supporting"), ("essential", "supporting", "limiter")

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..config import CONNECTIVES, DEPENDENT_MARKS, GENERIC_ELEMENTS, INDEPENDENT_MARKS, LINKAGE_ACTIONS, LINKAGE_SECTIONS
+from ..config import CONNECTIVES, DEPENDENT_MARKS, GENERIC_ELEMENTS, INDEPENDENT_MARKS, LINKAGE_ACTIONS, LINKAGE_SECTIONS, NULLISH
 from ..functions import text
 from ..functions.patents import let
 
@@ -85,7 +85,7 @@ def claim_type(kind: Column, depends_on: Column) -> Column:
     """independent or dependent from a label in several languages (independent is tried first), else by whether the claim depends on one."""
     marked = lambda words: reduce(lambda a, b: a | b, [F.contains(_some(kind), F.lit(w)) for w in words])
     low = F.lower(_some(kind))
-    rest = F.when(F.lower(_some(depends_on)).isin("", "null", "none", "n/a"), "independent").otherwise("dependent")
+    rest = F.when(F.lower(_some(depends_on)).isin(*NULLISH), "independent").otherwise("dependent")
     return F.when(marked(INDEPENDENT_MARKS) | low.contains("independent"), "independent").when(marked(DEPENDENT_MARKS) | low.contains("dependent"), "dependent").otherwise(rest)
 
 

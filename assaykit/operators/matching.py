@@ -9,18 +9,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import patents, text
 
 
-def siblings(df: DataFrame, *, key: str, product: str, family: str, management: str) -> DataFrame:
-    """Pairs of a row and another with the same product, product family or management family, and the reasons in that order.
+_KINDS = ("same_product", "same_family", "same_management")
 
-    Three equi-joins on non-blank keys, then one grouping: never a theta join over all pairs.
-    """
+
+def sibling_groups(df: DataFrame, *, key: str, product: str, family: str, management: str) -> DataFrame:
+    """kind, value, n, first: each product, product family and management family with two rows or more. What all pairs would say, without them."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), text.present(F.col(c)).alias("value")) for k, c in zip(_KINDS, (product, family, management), strict=True)))
+    rows = df.select(F.col(key).alias("_id"), F.inline(kinds)).where("value IS NOT NULL")
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("_id").alias("first")).where("n > 1")
+
+
+def siblings(df: DataFrame, targets: DataFrame, *, key: str, product: str, family: str, management: str, most: int = 10) -> DataFrame:
+    """id, sibling, priority, reasons: each target's nearest relatives among df, `most` of them, those of its product first, then of its product family, then of its management.
+
+    Targets are a stated set. Three equi-joins on non-blank keys, of which each target keeps its first `most` in each, so a key that most rows have doesn't multiply what is kept."""
     parts = []
-    for rank, (reason, column) in enumerate((("same_product", product), ("same_family", family), ("same_management", management))):
-        a = df.select(F.col(key).alias("id"), F.col(column).alias("_k")).where(text.present(F.col("_k")).isNotNull())
-        b = a.select(F.col("id").alias("sibling"), "_k")
-        parts.append(a.join(b, "_k").where("id != sibling").select("id", "sibling", F.struct(F.lit(rank).alias("r"), F.lit(reason).alias("reason")).alias("why")))
-    pairs = reduce(DataFrame.unionByName, parts)
-    return pairs.groupBy("id", "sibling").agg(F.array_sort(F.collect_set("why")).alias("w")).select("id", "sibling", F.col("w")[0]["r"].alias("priority"), F.transform("w", lambda x: x["reason"]).alias("reasons"))
+    for rank, (reason, column) in enumerate(zip(_KINDS, (product, family, management), strict=True)):
+        a = targets.select(F.col(key).alias("id"), F.col(column).alias("_k")).where(text.present(F.col("_k")).isNotNull())
+        b = df.select(F.col(key).alias("sibling"), F.col(column).alias("_k"))
+        met = a.join(b, "_k").where("id != sibling").select("id", "sibling", F.lit(rank).alias("r"), F.lit(reason).alias("reason"))
+        n = F.row_number().over(Window.partitionBy("id").orderBy("sibling"))
+        parts.append(met.withColumn("_n", n).where(F.col("_n") <= most).drop("_n"))
+    first = reduce(DataFrame.unionByName, parts).groupBy("id", "sibling").agg(F.min("r").alias("priority"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("priority", "sibling"))
+    kept = first.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+    own, other = (df_.select(F.col(key).alias(name), F.struct(product, family, management).alias(f"_{name}")) for df_, name in ((targets, "id"), (df, "sibling")))
+    both = kept.join(own, "id").join(other, "sibling")
+    why = F.array_compact(F.array(*(F.when((F.col(f"_id.{c}") == F.col(f"_sibling.{c}")) & text.present(F.col(f"_id.{c}")).isNotNull(), F.lit(k)) for k, c in zip(_KINDS, (product, family, management), strict=True))))
+    return both.select("id", "sibling", "priority", why.alias("reasons"))
 
 
 def siblings_of(df: DataFrame, target: dict[str, object], *, key: str, product: str, family: str, management: str, limit: int = 10, order: tuple[str, ...] = ()) -> DataFrame:

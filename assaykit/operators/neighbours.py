@@ -65,7 +65,7 @@ def _scan(rows: list, k: int, places: int, grouped: bool):
                 sims = np.zeros((len(keys), len(ids)))
                 for n, (columns, matrix) in of_length.items():
                     if len(own := np.flatnonzero(size == n)):
-                        sims[np.ix_(own, columns)] = np.round(unit(np.array([vs[i] for i in own])) @ matrix.T, places)
+                        sims[np.ix_(own, columns)] = np.round(unit(np.array([vs[i] for i in own])) @ matrix.T, places) + 0.0  # no negative zeros
                 sims[keys[:, None] == ids[None, :]] = -np.inf
                 if grouped:
                     codes = np.array([known.get(g, -1) for g in part.column(2).to_pylist()])

@@ -16,15 +16,6 @@ def top_cosine(df: DataFrame, query: list[float], *, vector: str, key: str, k: i
     return rows.withColumn("similarity", score if places is None else F.round(score, places)).orderBy(F.desc("similarity"), key).limit(max(1, int(k)))
 
 
-def cosine_ranks(df: DataFrame, queries: DataFrame, *, vector: str, key: str, by: str, k: int, places: int = 4) -> DataFrame:
-    """The k nearest of each query within its group: an equi-join on the group, so only queries of one group meet its rows."""
-    q = queries.select(F.col(key).alias("query"), F.col(by).alias("_by"), F.col(vector).alias("_q"))
-    pairs = df.join(q, F.col(by) == F.col("_by")).where(F.col(key) != F.col("query"))
-    scored = pairs.select("query", F.col(key).alias("match"), F.round(vectors.cosine(F.col(vector), F.col("_q")), places).alias("similarity"))
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "match"))
-    return scored.withColumn("rank", n).where(F.col("rank") <= k)
-
-
 def citation_order(df: DataFrame, *, types: str, home: str) -> list[Column]:
     """Sort keys: standardised, kind B, type tier, home country, display number."""
     tier = F.lit(len(CITATION_TYPE_TIERS))

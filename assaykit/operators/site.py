@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import BROAD_TERMS, DOMAIN_PROFILES, PARTICLES, SKIPPED_FILES, TITLE_STOPWORDS
+from ..config import BROAD_TERMS, DOMAIN_PROFILES, FOREIGN_PATH_WORDS, PARTICLES, SKIPPED_FILES, TITLE_STOPWORDS
 from ..functions import text
 from ..functions.patents import let, once
 from . import filters
@@ -128,13 +128,14 @@ def candidates(results: DataFrame, *, by: str, order: str, domains: tuple[str, .
     )
 
 
-def score(title: Column, content: Column, url: Column, product: Column, target_title: Column, business: Column, technology: Column, *, foreign: tuple[str, ...] = ()) -> Column:
+def score(title: Column, content: Column, url: Column, product: Column, target_title: Column, business: Column, technology: Column, *, snippet: Column | None = None, foreign: tuple[str, ...] = FOREIGN_PATH_WORDS) -> Column:
     """How well a result meets a target: relevance_score from 0 to 1, score_reasons, is_relevant.
 
     Product .50, each strong term .16, technology area .14, business area .12, each hint of its domains .08, each preferred path .10; in the
-    finance domain .50 less for a path with a foreign word that the target lacks. A result that meets nothing special scores 0."""
+    finance domain .50 less for a path with a foreign word that the target lacks. A result that meets nothing special scores 0. Words are
+    looked for in the title, the snippet, the content and the address."""
     path = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
-    words = _low(F.concat_ws(" ", title, content, url))
+    words = _low(F.concat_ws(" ", title, *([] if snippet is None else [snippet]), content, url))
     has = lambda w, x: (F.trim(F.coalesce(x, F.lit(""))) != "") & F.contains(w, _low(x))
     none = F.array().cast("array<string>")
     said = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(none)
@@ -144,15 +145,16 @@ def score(title: Column, content: Column, url: Column, product: Column, target_t
         hints = F.filter(_of_profiles(names, "hints"), lambda h: F.contains(w, F.lower(h)))
         paths = F.filter(F.array(*(F.when(F.array_contains(names, n), F.coalesce(*(F.when(path.startswith(x), x) for x in p["paths"]))) for n, p in DOMAIN_PROFILES.items())), lambda x: x.isNotNull())
         own = _low(F.concat_ws(" ", product, target_title, business, technology))
-        astray = reduce(lambda a, b: a | b, [F.contains(path, F.lit(x)) & ~F.contains(own, F.lit(x)) for x in foreign], F.lit(False)) & F.array_contains(names, "finance")
+        strange = F.filter(F.array(*map(F.lit, foreign)), lambda x: F.contains(path, x) & ~F.contains(own, x)) if foreign else none
+        astray = F.when(F.array_contains(names, "finance"), strange).otherwise(none)
 
         def scored(m: Column) -> Column:
             met = F.array_distinct(F.concat(F.when(m["product"], F.array(F.trim(product))).otherwise(none), m["strong"]))
-            points = F.when(m["product"], 0.5).otherwise(0.0) + F.size(m["strong"]) * 0.16 + F.when(m["technology"], 0.14).otherwise(0.0) + F.when(m["business"], 0.12).otherwise(0.0) + F.size(m["hints"]) * 0.08 + F.size(m["paths"]) * 0.1 - F.when(m["astray"], 0.5).otherwise(0.0)
+            points = F.when(m["product"], 0.5).otherwise(0.0) + F.size(m["strong"]) * 0.16 + F.when(m["technology"], 0.14).otherwise(0.0) + F.when(m["business"], 0.12).otherwise(0.0) + F.size(m["hints"]) * 0.08 + F.size(m["paths"]) * 0.1 - F.size(m["astray"]) * 0.5
             fits = m["product"] | (F.size(met) >= 2) | ((F.size(met) >= 1) & (F.size(m["paths"]) > 0)) | ((F.size(m["paths"]) > 0) & (F.size(m["hints"]) >= 2))
             why = F.concat(
                 said(m["product"], "matched_related_product"), F.transform(m["strong"], lambda t: F.concat(F.lit("matched_strong_term:"), t)), said(m["technology"], "matched_technology_area"), said(m["business"], "matched_business_area"),
-                F.transform(m["hints"], lambda t: F.concat(F.lit("matched_domain_hint:"), t)), F.transform(m["paths"], lambda t: F.concat(F.lit("matched_preferred_path:"), t)), said(m["astray"], "penalty_unrelated_keyword"), said(~fits, "insufficient_specific_match"),
+                F.transform(m["hints"], lambda t: F.concat(F.lit("matched_domain_hint:"), t)), F.transform(m["paths"], lambda t: F.concat(F.lit("matched_preferred_path:"), t)), F.transform(m["astray"], lambda t: F.concat(F.lit("penalty_unrelated_keyword:"), F.upper(t))), said(~fits, "insufficient_specific_match"),
             )
             kept = F.when(fits, points).otherwise(F.least(points, F.lit(0.0)))
             return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(kept, 3))).alias("relevance_score"), F.array_distinct(why).alias("score_reasons"), fits.alias("is_relevant"))
@@ -164,13 +166,19 @@ def score(title: Column, content: Column, url: Column, product: Column, target_t
     return let(words, lambda w: let(terms, lambda t: let(names, lambda n: of(w, t, n))))
 
 
-def final_reasons(found: DataFrame, scored: DataFrame, selected: DataFrame, evidence: DataFrame, *, url: str = "normalized_url") -> DataFrame:
+def final_reasons(found: DataFrame, scored: DataFrame, selected: DataFrame, evidence: DataFrame, *, url: str = "normalized_url", by: str | None = None) -> DataFrame:
     """Candidates with their score, whether they became evidence, and why not. scored: url, relevance_score; selected and evidence: url.
 
-    Three joins on the url; the floor is the lowest selected score, one value."""
-    floor = selected.join(scored, url).agg(F.coalesce(F.min("relevance_score"), F.lit(0.0)).alias("_floor"))
-    tagged = lambda df, name: df.select(url).distinct().withColumn(name, F.lit(True))
-    rows = found.join(scored.dropDuplicates([url]), url, "left").join(tagged(selected, "_sel"), url, "left").join(tagged(evidence, "_ev"), url, "left").crossJoin(F.broadcast(floor))
+    Joins on the url. The floor is the lowest selected score, of the query where all tables have a column `by`, else of all. Null addresses meet nothing; of repeated scores the highest counts."""
+    on = [by, url] if by else [url]
+    best = scored.groupBy(*on).agg(F.max("relevance_score").alias("relevance_score"))
+    tagged = lambda df, name: df.select(*on).distinct().withColumn(name, F.lit(True))
+    least = selected.select(*on).join(best, on)
+    rows = found.join(best, on, "left").join(tagged(selected, "_sel"), on, "left").join(tagged(evidence, "_ev"), on, "left")
+    if by:
+        rows = rows.join(least.groupBy(by).agg(F.min("relevance_score").alias("_floor")), by, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))
+    else:
+        rows = rows.crossJoin(F.broadcast(least.agg(F.coalesce(F.min("relevance_score"), F.lit(0.0)).alias("_floor"))))  # one row
     points = F.coalesce("relevance_score", F.lit(0.0))
     why = (
         F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason")).when(F.col("_ev"), F.lit(None).cast("string")).when(F.col("relevance_score").isNull(), "insufficient_specific_match")

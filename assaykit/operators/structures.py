@@ -8,12 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import CLAIM_CLARITIES, COUPLINGS, DEPENDENT_MARKS, ELEMENT_ROLES, INDEPENDENT_MARKS, NULLISH, OBSERVABILITIES, ROLES_OF_PARTS
-
-
-def element_id(c: Column) -> Column:
-    """Ids as they are compared: without white space, in capitals, numbers without leading zeros."""
-    return F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")), "0*([0-9]+)", "$1")
+from ..config import CLAIM_CLARITIES, COUPLINGS, ELEMENT_ROLES, NULLISH, OBSERVABILITIES, ROLES_OF_PARTS
+from .linkage import element_key
 
 
 def none_if_nullish(c: Column) -> Column:
@@ -21,22 +17,14 @@ def none_if_nullish(c: Column) -> Column:
     return F.when(~F.lower(F.trim(c)).isin(*NULLISH), c)
 
 
-def claim_type(kind: Column, depends_on: Column) -> Column:
-    """independent or dependent, from words in several languages, else from whether the claim depends on another."""
-    word = F.trim(F.coalesce(kind, F.lit("")))
-    any_ = lambda marks: F.lit(False) if not marks else word.rlike("|".join(marks))
-    free, bound = any_(INDEPENDENT_MARKS) | F.lower(word).contains("independent"), any_(DEPENDENT_MARKS) | F.lower(word).contains("dependent")
-    return F.when(free, "independent").when(bound, "dependent").otherwise(F.when(none_if_nullish(depends_on).isNotNull(), "dependent").otherwise("independent"))
-
-
 def merge_passes(first: DataFrame, second: DataFrame, key: str, elements: str = "key_elements", clarity: str = "key_element_clarity", name: str = "key_element_id") -> DataFrame:
     """key, position and element of the first pass with what the second says of it.
 
-    Ids are compared by `element_id`; of several rows of an id the last counts, rows without an id don't. An element of which the second
+    Ids are compared by `linkage.element_key`; of several rows of an id the last counts, rows without an id don't. An element of which the second
     pass says nothing is `unresolved`, not in an independent claim, with an empty issue; elements keep their order, null ones go."""
-    rows = first.select(key, F.posexplode(elements).alias("position", "element")).where("element IS NOT NULL").withColumn("_id", element_id(F.col(f"element.{name}")))
+    rows = first.select(key, F.posexplode(elements).alias("position", "element")).where("element IS NOT NULL").withColumn("_id", element_key(F.col(f"element.{name}")))
     told = second.select(key, F.posexplode(clarity).alias("_at", "_c")).where(f"_c IS NOT NULL AND _c.{name} <> ''")
-    told = told.groupBy(key, element_id(F.col(f"_c.{name}")).alias("_id")).agg(F.max_by("_c", "_at").alias("_c"))
+    told = told.groupBy(key, element_key(F.col(f"_c.{name}")).alias("_id")).agg(F.max_by("_c", "_at").alias("_c"))
     clear = F.coalesce(F.nullif(F.col("_c.claim_clarity"), F.lit("")), F.lit("unresolved"))
     return rows.join(told, [key, "_id"], "left").select(
         key, "position", "element", F.coalesce("_c.in_independent_claim", F.lit(False)).alias("in_independent_claim"), clear.alias("claim_clarity"), F.coalesce("_c.clarity_issue", F.lit("")).alias("clarity_issue")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DOCUMENT_INDICATORS, INDUSTRY_KEYWORDS
 from ..functions import text
-from ..operators import aggregates, dedupe, documents, filters, matching, model, ranking
+from ..operators import aggregates, dedupe, documents, filters, matching, model, neighbours, ranking
 from ..sources.tables import table
 from .registry import query
 
@@ -33,9 +33,10 @@ def first_texts(df: DataFrame, key: str) -> DataFrame:
 def judged(df: DataFrame, words: Column) -> DataFrame:
     """documents with match_count, similarity, quality and the reason for keeping or rejecting each; texts stay where they are read."""
     rows = filters.quality(df.withColumn("words", text.keywords(F.col("text"))), F.col("words"), words)
-    narrow = rows.select("doc_id", "source", "match_count", "quality", text.jaccard(F.col("words"), words).alias("similarity"))
-    first = first_texts(df, "doc_id").withColumn("_first", F.lit(True))
-    return filters.reasons(narrow.join(first, "doc_id", "left"), [("duplicate", F.col("_first").isNull()), ("no_keyword_match", F.col("match_count") == 0)]).drop("_first")
+    digest = F.coalesce(F.md5(F.lower("text")), F.lit(""))
+    narrow = rows.select("doc_id", "source", "match_count", "quality", text.jaccard(F.col("words"), words).alias("similarity"), digest.alias("_digest"))
+    first = df.groupBy(digest.alias("_digest")).agg(F.min("doc_id").alias("doc_id")).withColumn("_first", F.lit(True))
+    return filters.reasons(narrow.join(first, ["doc_id", "_digest"], "left").drop("_digest"), [("duplicate", F.col("_first").isNull()), ("no_keyword_match", F.col("match_count") == 0)]).drop("_first")
 
 
 _JUDGED = f"""
@@ -117,15 +118,9 @@ docs AS (SELECT doc_id, unnest(w) AS word, len(w) AS size FROM (SELECT doc_id, {
 pairs AS (SELECT item_id, doc_id, round(count(*) * 1.0 / (any_value(i.size) + any_value(d.size) - count(*)), 4) AS similarity FROM items i JOIN docs d ON i.word = d.word GROUP BY ALL)
 SELECT item_id, doc_id, CAST(similarity AS DOUBLE) AS similarity, CAST(row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3""".replace("GROUP BY ALL", "GROUP BY item_id, doc_id"))
 def text_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three documents most similar to each query item, by an inverted index: queries are the items with ids divisible by 20."""
-    from pyspark.sql import Window
-
-    words = lambda name, key: table(spark, sf_dir, name).select(key, text.keywords(F.col("text")).alias("w"))
-    one = lambda df, key, size: df.select(key, F.size("w").alias(size), F.explode("w").alias("word"))
-    pairs = one(words("documents", "doc_id"), "doc_id", "m").join(one(words("benchmark", "item_id").where("item_id % 20 = 0"), "item_id", "n"), "word")
-    scored = pairs.groupBy("item_id", "doc_id").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).select("item_id", "doc_id", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 4).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id"))
-    return scored.withColumn("rank", place).where("rank <= 3")
+    """The three documents most similar to each query item; queries are the items with ids divisible by 20. Their word sets meet the documents where those are read."""
+    words = text.keywords(F.col("text"))
+    return neighbours.most_alike(table(spark, sf_dir, "documents"), "doc_id", words, table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), "item_id", words, k=3)
 
 
 _LINES = "SELECT DISTINCT {0}, lower(trim(unnest(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n')))) AS line FROM {1}"

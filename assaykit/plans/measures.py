@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Valuation
 from ..functions import scores, text
-from ..operators import aggregates, growth, matching, model, ranking
+from ..operators import aggregates, growth, matching, model, neighbours, ranking
 from ..sources.tables import table
 from ..streaming import state
 from .registry import query
@@ -37,7 +37,7 @@ FROM e JOIN e q ON e.label = q.label WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.v
 def vector_rank_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest of each query vector in its own class; queries are the ids divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
-    return ranking.cosine_ranks(rows, rows.where("vec_id % 20 = 0"), vector="embedding", key="vec_id", by="label", k=3)
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), vector="embedding", key="vec_id", by="label", k=3)
 
 
 @query()

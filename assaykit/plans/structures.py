@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.foreign_claims import foreign_claims
 from ..operators import archive_pages, boxes, hybrid, identity, neighbours, rework, structures, trees, walks
 from ..sources.tables import table
 from .registry import query
@@ -247,3 +248,17 @@ def citation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "orders").select(k.alias("l_orderkey"), F.create_map(F.lit("use"), k % 4 * 10, F.lit("fit"), k % 5 * 5).alias("subscores"), (k % 3 * 10 + 10).alias("score"))
     found = rework.citation_rules(scores.join(cited, "l_orderkey"), evidence, "l_orderkey", {"use": (0, 10, 30), "fit": (0, 5, 15, 20)})
     return found.select("l_orderkey", "status", F.concat_ws("|", "issues").alias("issues"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_linenumber > 1 AND l_returnflag <> 'R' THEN 'The device of claim ' || (l_linenumber - 1) || ', with part ' || l_partkey || ' on it' ELSE 'A device for part ' || l_partkey || ' and supplier ' || l_suppkey END AS text,
+  CASE WHEN l_linenumber > 1 AND l_returnflag <> 'R' THEN l_linenumber - 1 END AS dependency, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) AS k FROM lineitem)
+SELECT l_orderkey, n AS claim_no, text, dependency IS NULL AS is_independent, CAST(dependency AS INTEGER) AS dependency FROM l WHERE k = 1 AND length(text) >= 20""")
+def foreign_claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims out of running texts with page marks, images and numbers of pages between them; each order is such a text."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    said = lambda x: F.when((x["l_linenumber"] > 1) & (x["l_returnflag"] != "R"), F.concat(F.lit("The device of claim\n"), (x["l_linenumber"] - 1).cast("string"), F.lit(", with part "), x["l_partkey"].cast("string"), F.lit("  on it"))).otherwise(F.concat(F.lit("A device for part\n\n17\n![image 1](<x>)\n"), x["l_partkey"].cast("string"), F.lit(" and supplier "), x["l_suppkey"].cast("string")))
+    lines = F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(". "), said(x))), "\n## 페이지 2\n")
+    body = F.concat(F.lit("1. no claim but a list of what is known here\nCLAIMS\n"), lines, F.lit("\n## 페이지 9\nwhat follows is no claim"))
+    rows = held.select("l_orderkey", F.explode(foreign_claims(body)).alias("c"))
+    return rows.select("l_orderkey", "c.claim_no", "c.text", "c.is_independent", "c.dependency")

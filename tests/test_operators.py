@@ -125,7 +125,7 @@ def test_interval_join_equals_the_plain_condition(spark):
 
 def test_siblings_and_their_reasons(spark):
     df = spark.createDataFrame([(1, "p", "f", "m"), (2, "p", "f", "x"), (3, "", "f", "m"), (4, "q", "", "")], "id int, product string, family string, management string")
-    got = matching.siblings(df, key="id", product="product", family="family", management="management").where("id = 1")
+    got = matching.siblings(df, df.where("id = 1"), key="id", product="product", family="family", management="management")
     assert rows(got, "sibling") == [(1, 2, 0, ["same_product", "same_family"]), (1, 3, 1, ["same_family", "same_management"])]
 
 

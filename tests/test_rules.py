@@ -167,12 +167,13 @@ def test_site_candidates(spark):
 
 def test_site_scores(value):
     none = L(None).cast("string")
-    run = lambda title, url, product="Robo", area=None, name="자산배분 방법": value(site.score(L(title), none, L(url), L(product).cast("string"), L(name), L(None).cast("string"), L(area).cast("string"), foreign=("aicc",)))
+    run = lambda title, url, product="Robo", area=None, name="자산배분 방법", snippet=None: value(site.score(L(title), none, L(url), L(product).cast("string"), L(name), L(None).cast("string"), L(area).cast("string"), snippet=snippet))
     got = run("Robo for 자산배분", "https://mine.com/finance/x")
     assert got["relevance_score"] == 0.5 + 2 * 0.16 + 0.1 and got["is_relevant"] and got["score_reasons"] == ["matched_related_product", "matched_strong_term:Robo", "matched_strong_term:자산배분", "matched_preferred_path:/finance"]
     weak = run("nothing at all", "https://mine.com/x")
     assert weak["relevance_score"] == 0 and weak["score_reasons"] == ["insufficient_specific_match"]
-    assert "penalty_unrelated_keyword" in run("Robo", "https://mine.com/aicc")["score_reasons"]
+    assert "penalty_unrelated_keyword:AICC" in run("Robo", "https://mine.com/aicc")["score_reasons"]
+    assert run(None, "https://mine.com/x", snippet=L("Robo for 자산배분"))["relevance_score"] == 0.82
     hinted = run("금융 투자 서비스", "https://mine.com/finance", product=None)
     assert hinted["is_relevant"] and hinted["relevance_score"] == 0.26
 
@@ -183,6 +184,10 @@ def test_final_choice(spark):
     chosen = spark.createDataFrame([("a",), ("f",)], "normalized_url string")
     evidence = spark.createDataFrame([("a",)], "normalized_url string")
     got = {r["normalized_url"]: (r["final_selected"], r["final_skip_reason"]) for r in site.final_reasons(found, scored, chosen, evidence).collect()}
+    keyed = lambda df: df.withColumn("q", F.lit(1)).unionByName(df.withColumn("q", F.lit(2)))
+    other = keyed(chosen).where("q = 1 OR normalized_url = 'a'")
+    by_query = {(r["q"], r["normalized_url"]): r["final_skip_reason"] for r in site.final_reasons(keyed(found), keyed(scored), other, keyed(evidence), by="q").collect()}
+    assert by_query[1, "c"] == "max_evidence_limit" and by_query[2, "c"] == by_query[2, "f"] == "lower_relevance_than_selected" and by_query[2, "a"] is None
     assert got == {"a": (True, None), "b": (False, "lower_relevance_than_selected"), "c": (False, "max_evidence_limit"), "d": (False, "insufficient_specific_match"), "e": (False, "file_url"), "f": (False, "empty_content")}
 
 

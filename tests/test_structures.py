@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import reports as report_texts
 from assaykit.functions.arrays import runs, scan
-from assaykit.operators import archive_pages, boxes, hybrid, identity, model, neighbours, reports, rework, structures, trees, walks
+from assaykit.operators import archive_pages, boxes, hybrid, identity, linkage, model, neighbours, reports, rework, structures, trees, walks
 from assaykit.sources.cache import ResultCache, content_key
 
 
@@ -259,10 +259,10 @@ def test_archive_pages_are_read_as_trees(spark):
 
 
 def test_ids_and_types_are_compared_as_written_differently(spark):
-    ids = spark.createDataFrame([("K01",), ("k 1",), (" K1\n",), ("K010",), ("K00",), (None,)], "id string").select(structures.element_id(F.col("id"))).collect()
+    ids = spark.createDataFrame([("K01",), ("k 1",), (" K1\n",), ("K010",), ("K00",), (None,)], "id string").select(linkage.element_key(F.col("id"))).collect()
     assert [r[0] for r in ids] == ["K1", "K1", "K1", "K10", "K0", ""]
     kinds = [("독립항", None), ("独立権利要求", "1"), ("Independent claim", "1"), ("dependent", None), ("従属項", None), ("?", "2"), (None, "null"), ("", None)]
-    got = spark.createDataFrame(kinds, "t string, d string").select(structures.claim_type(F.col("t"), F.col("d"))).collect()
+    got = spark.createDataFrame(kinds, "t string, d string").select(linkage.claim_type(F.col("t"), F.col("d"))).collect()
     assert [r[0] for r in got] == ["independent"] * 3 + ["dependent"] * 3 + ["independent"] * 2
 
 
