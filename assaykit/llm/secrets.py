@@ -13,6 +13,7 @@ except those that a new column replaces.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -179,8 +180,9 @@ def _features(tokens: list[str]) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(4)
 def train(seed: int = 11, lines: int = 800, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (DIM x 3) and transitions (3 x 3); labels O, B, I; a text is led and followed by O."""
+    """Emission weights (DIM x 3) and transitions (3 x 3); labels O, B, I; a text is led and followed by O. Trained once in a process."""
     data = _generated(seed, lines)
     longest = max(map(len, data))
     x, y, real = np.zeros((lines, longest, DIM)), np.zeros((lines, longest), int), np.zeros((lines, longest), bool)

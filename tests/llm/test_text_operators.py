@@ -580,6 +580,24 @@ def test_crf_finds_what_patterns_miss_and_leaves_prose_alone():
     assert tagger.spans("the mill by the river was sold in 1924 to a man from the next town, who lived well") == []
 
 
+def test_secrets_in_lines_of_other_styles():
+    """Neither the generator's forms nor the test tables': what is found is measured, by base spans and the model together."""
+    from .secret_lines import LINES
+
+    tagger = secrets.Tagger(secrets.train())
+    assert secrets.train() is secrets.train()
+    planted = hit = by_model = false = 0
+    for text, wanted in LINES:
+        base, every = secrets.all_spans(tagger, text)
+        planted += len(wanted)
+        inside = lambda spans, s: any(a < text.index(s) + len(s) and b > text.index(s) for a, _, b in spans)  # noqa: B023, E731
+        hit += sum(inside(every, s) for s in wanted)
+        by_model += sum(inside(every, s) and not inside(base, s) for s in wanted)
+        false += sum(not any(a < text.index(s) + len(s) and b > text.index(s) for s in wanted) for a, _, b in every)
+    print(f"planted {planted}, found {hit}, of these by the model alone {by_model}, false spans {false}")
+    assert hit >= 0.8 * planted and by_model > 0 and false <= 4
+
+
 def test_redaction_and_odd_tables(spark, odd, none):
     rows = {r["doc_id"]: r["text"] for r in secrets.redact(odd).where("doc_id IS NOT NULL").collect()}
     assert "hunter2" not in rows[12] and "AKIA" not in rows[12] and "deadbeef" not in rows[12]
