@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +70,26 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS_PER_CALL) -> Iterator[pa.Reco
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: workers live on, and what they keep adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def thrifty(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's function that gives its memory back when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list]]) -> DataFrame:
     """All rows and columns of df with new columns computed from the input columns.
 
@@ -79,6 +101,7 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], make
     keep = [i for i, c in enumerate(df.columns) if c not in new]
     schema = T.StructType([df.schema.fields[i] for i in keep] + fields)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 

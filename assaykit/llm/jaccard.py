@@ -11,7 +11,7 @@ Exact, without pairs of all copies and without caps:
    input up to MOST_COUNTERS (which only decides speed), then each by a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
    orders' pairs of groups are intersected.
 4. Candidates are verified by full sets: the larger group's members in blocks, each against the members of all
-   groups paired with it, in cells of at most two times CELL documents.
+   groups paired with it, in cells of about two times CELL documents, fewer where documents are long.
 5. Groups are the connected components of all links.
 
 Rows: null and empty texts have no shingles and link with nothing; so do rows with null ids. Rows with equal ids are one
@@ -27,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_batches, delete, mix, shared_dir, stored, utf8, windows_of, words_of
+from .common import byte_batches, delete, mix, shared_dir, stored, thrifty, utf8, windows_of, words_of
 from .components import components
 
 K, ORDERS, KEYS = 5, 3, 8
 #: Documents on each side of a cell; members that meet a leader in one cell; text for one bucket of prefixes; pairs of a bucket that leave it together.
 CELL, EARLY_CELL, BUCKET_BYTES, PAIRS = 128, 64, 32 << 20, 1 << 20
+#: Shingles of a document of which cells hold CELL; a larger one counts as several, so cells are bounded by what they hold.
+UNIT = 8_192
+#: Rows of a MinHash value that meet its leader together; a value that more documents have is dealt to several tasks.
+SLICE = 1_024
 #: Counters of shingles: one for each KiB of text between these bounds; they travel in chunks.
 LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 1 << 18, 1 << 23, 4096
 #: Text whose counters are summed in one group before the groups are summed.
@@ -86,6 +90,7 @@ def _features(counters: int = 0, salts: int = 1):
         kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "chunk": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items()], names=list(kinds))
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -168,6 +173,7 @@ def _passing(texts: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(hit).drop("_word", "_bits"), marked.where(~hit).drop("_word", "_bits")
 
 
+@thrifty
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (big, cell, side, id, text) by cell, then side: links of left documents with right ones; a left one needs one link a cell."""
 
@@ -227,6 +233,7 @@ _ENTRY = [("token", "<u4"), ("place", "u1")]
 def _prefixes(buckets: int, levels: np.ndarray):
     """Rows of (id, group, text) to packed prefix shingles of each bucket."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, entries, size = {}, {}, 0
 
@@ -273,19 +280,23 @@ def _prefixes(buckets: int, levels: np.ndarray):
 
 
 def _pairs(parts: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+    @thrifty
+    def found(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = next(tables)
         head = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()])
         for j in range(ORDERS):
             entry = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column(f"e{j}").to_pylist()])
             doc = np.repeat(np.arange(len(head)), head[f"c{j}"])
-            for found in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64)):
-                part = ((mix(found[:, 0].view(np.uint64)) ^ mix(mix(found[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
+            for pairs in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64)):
+                part = ((mix(pairs[:, 0].view(np.uint64)) ^ mix(mix(pairs[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
-                data = [found[order[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+                data = [pairs[order[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array(part[order[edges[:-1]]], pa.int64()), "ord": pa.array([j] * len(data), pa.int32()), "pairs": pa.array(data, pa.binary())})
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from found(iter([pa.Table.from_batches(list(batches))]))
+
     return run
 
 
@@ -404,17 +415,24 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone_id.alias("component_id"))
 
 
+def _weight(n: Column) -> Column:
+    return F.greatest(F.lit(1.0), n / UNIT)
+
+
 def _early_cells(alike: DataFrame) -> DataFrame:
     """Each document with up to three leaders of the MinHash values that it shares with them, at least three values of KEYS."""
-    keyed = alike.select(F.col("rep").alias("id"), F.posexplode("keys").alias("j", "key"))
+    keyed = alike.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("j", "key"))
     several = keyed.groupBy("j", "key").agg(F.count("*").alias("c")).where("c > 1")
     common = stored(keyed.join(several, ["j", "key"]), "common")
     known = common.groupBy("id").agg(F.sum("c").alias("known"))
-    leaders = common.join(known, "id").groupBy("j", "key").agg(F.max(F.struct("known", F.bitwise_not("id").alias("i")))["i"].alias("i")).select("j", "key", F.bitwise_not("i").alias("leader"))
-    shared = common.join(leaders, ["j", "key"]).where("id != leader").groupBy("id", "leader").count().where("count >= 3")
+    leaders = common.join(known, "id").groupBy("j", "key").agg(F.max(F.struct("known", F.bitwise_not("id").alias("i")))["i"].alias("i"), F.max("c").alias("c")).select("j", "key", F.bitwise_not("i").alias("leader"), "c")
+    parts = F.ceil(F.col("c") / SLICE)
+    dealt = common.withColumn("slice", F.pmod(F.xxhash64("id"), parts)).drop("c")
+    met = leaders.select("j", "key", "leader", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("slice"))
+    shared = dealt.join(met, ["j", "key", "slice"]).where("id != leader").groupBy("id", "leader", "n").count().where("count >= 3")
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).where("r <= 3")
-    best = stored(best.select("id", "leader"), "early-pairs")
-    sizes = best.groupBy("leader").agg(F.ceil(F.count("*") / EARLY_CELL).alias("cells"))
+    best = stored(best.select("id", "leader", "n"), "early-pairs")
+    sizes = stored(best.groupBy("leader").agg(F.ceil(F.sum(_weight(F.col("n"))) / EARLY_CELL).alias("cells")), "sizes")
     members = best.join(sizes, "leader").select(F.col("leader").alias("big"), F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell"), F.lit(0).alias("side"), "id")
     centres = sizes.select(F.col("leader").alias("big"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("side"), F.col("leader").alias("id"))
     return members.unionByName(centres)
@@ -422,9 +440,9 @@ def _early_cells(alike: DataFrame) -> DataFrame:
 
 def _late_cells(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
     """For each pair of groups: the larger one's members in blocks against blocks of the members of all its partners."""
-    sizes = labelled.where("id != group").groupBy("group").agg((F.count("*") + 1).alias("size"))
+    sizes = labelled.groupBy("group").agg(F.sum(_weight(F.col("n"))).alias("size")).where("size > 1")
     size = lambda side: sizes.select(F.col("group").alias(side), F.col("size").alias(f"{side}_size"))
-    sized = pairs.join(size("g"), "g", "left").join(size("h"), "h", "left").fillna(1, ["g_size", "h_size"])
+    sized = pairs.join(size("g"), "g", "left").join(size("h"), "h", "left").fillna(1.0, ["g_size", "h_size"])
     turn = F.col("g_size") >= F.col("h_size")
     ordered = sized.select(F.when(turn, F.col("g")).otherwise(F.col("h")).alias("big"), F.when(turn, F.col("h")).otherwise(F.col("g")).alias("small"), F.greatest("g_size", "h_size").alias("big_size"), F.least("g_size", "h_size").alias("small_size"))
     grid = ordered.groupBy("big").agg(F.ceil(F.max("big_size") / CELL).alias("across"), F.ceil(F.sum("small_size") / CELL).alias("down"))

@@ -56,6 +56,24 @@ def test_join_equals_brute_force_on_near_copies(spark, seed, monkeypatch):
     assert got == brute.groups(rows)
 
 
+def test_long_documents_and_hot_values_are_dealt_to_more_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT", 4)  # each document weighs as much as several
+    monkeypatch.setattr(jaccard, "SLICE", 3)
+    rows = copies(7, 320)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(frame(spark, rows)).collect()}
+    assert got == brute.groups(rows)
+
+
+def test_cells_are_bounded_by_what_they_hold(spark):
+    text = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(i, text + f" {i}" * (i + 1)) for i in range(40)]
+    alike = spark.createDataFrame([(i, 60_000, [1, 2, 3, 4, 5, 6, 7, 8]) for i, _ in rows], "rep long, n long, keys array<long>")
+    most = jaccard._early_cells(alike).groupBy("big", "cell").count().agg(F.max("count")).first()[0]
+    assert most < 30  # 64 documents of ordinary length would be together
+    got = {r["component_id"] for r in jaccard.groups(frame(spark, rows)).collect()}
+    assert got == {0}
+
+
 def test_join_of_odd_tables(spark, odd, repeated, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(odd).collect() if r["doc_id"] is not None}
     assert got == brute.groups([x for x in ODD_TEXTS if x[0] is not None])
