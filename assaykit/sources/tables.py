@@ -75,6 +75,21 @@ def current(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    fs, pointer = _filesystem(spark, f"{path.rstrip('/')}/_current")
+    stream = fs.create(pointer, True)
+    stream.write(version.encode())
+    stream.close()
+
+
+def replace(spark: SparkSession, path: str, new: DataFrame, version: str) -> str:
+    """Write rows as a version of their own under path and point to it; versions before stay readable."""
+    out = f"{path.rstrip('/')}/{version}"
+    new.write.mode("errorifexists").parquet(out)
+    _point(spark, path, version)
+    return out
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, fields: list[str], version: str) -> str:
     """Merge new rows into the last version under path by key, write that as a version of its own and point to it; versions before stay readable.
 
@@ -83,10 +98,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, fields: lis
     old = spark.read.parquet(last) if last else spark.createDataFrame([], schema)
     out = f"{path.rstrip('/')}/{version}"
     dedupe.merge_keyed(old, new, key, fields).drop("status").write.mode("errorifexists").parquet(out)
-    fs, pointer = _filesystem(spark, f"{path.rstrip('/')}/_current")
-    stream = fs.create(pointer, True)
-    stream.write(version.encode())
-    stream.close()
+    _point(spark, path, version)
     return out
 
 
