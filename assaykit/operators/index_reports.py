@@ -31,27 +31,27 @@ def is_noise(heading: Column, text: Column, page: Column) -> Column:
     return F.coalesce(page > INDEX_LAST_PAGE, F.lit(False)) | marked | reports.is_no_prose(text, INDEX_TITLE)
 
 
-def merged(rows: DataFrame, key: str, least: int = INDEX_LEAST_CHARS) -> DataFrame:
-    """Sections shorter than `least` joined to the one before, where heading and page are the same."""
+def merged(rows: DataFrame, key: str, least: int = INDEX_LEAST_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sections shorter than `least` joined to the one before, where heading and page are the same. keep: more columns, of each the first section's."""
     own = Window.partitionBy(key).orderBy("section_no")
     joins = (F.length("text") < least) & (F.col("heading") == F.lag("heading").over(own)) & F.col("page").eqNullSafe(F.lag("page").over(own)) & (F.row_number().over(own) > 1)
     grouped = rows.withColumn("_joins", F.coalesce(joins, F.lit(False))).withColumn("_g", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(own))
-    held = grouped.groupBy(key, "_g").agg(F.min(F.struct("section_no", "heading", "page", "industry")).alias("_h"), F.array_sort(F.collect_list(F.struct("section_no", "text"))).alias("_t"))
+    held = grouped.groupBy(key, "_g").agg(F.min(F.struct("section_no", "heading", "page", "industry", *keep)).alias("_h"), F.array_sort(F.collect_list(F.struct("section_no", "text"))).alias("_t"))
     text = documents.clean_section(F.array_join(F.transform("_t", lambda x: x["text"]), "\n"))
-    return held.select(key, "_h.section_no", "_h.heading", "_h.page", "_h.industry", text.alias("text"))
+    return held.select(key, *(f"_h.{c}" for c in keep), "_h.section_no", "_h.heading", "_h.page", "_h.industry", text.alias("text"))
 
 
-def sections(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, section_no, heading, page, industry, text of the sections worth keeping."""
-    cut = report_rows.kept(report_rows.sections(df, key, column))
+def sections(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, section_no, heading, page, industry, text of the sections worth keeping."""
+    cut = report_rows.kept(report_rows.sections(df, key, column, keep=keep))
     rows = cut.withColumn("heading", title_of(F.col("heading"), F.col("text"))).withColumn("industry", F.lit("AI"))
     rows = rows.where(~F.coalesce(is_noise(F.col("heading"), F.col("text"), F.col("page")), F.lit(False))).withColumn("text", reports.without_chart_tail(F.col("text")))
-    return merged(rows, key)
+    return merged(rows, key, keep=keep)
 
 
 def chunks(df: DataFrame, key: str, column: str, source: str, year: str) -> DataFrame:
     """Chunks of 500 tokens that are prose, with ids."""
-    rows = sections(df, key, column).join(df.select(key, source, year), key)
+    rows = sections(df, key, column, (source, year))
     out = report_rows.chunks(rows, key, source, year, size=INDEX_CHUNK[0], overlap=INDEX_CHUNK[1])
     return out.where(~F.coalesce(reports.is_no_prose(F.col("text"), INDEX_TITLE), F.lit(False)))
 

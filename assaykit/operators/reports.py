@@ -31,11 +31,11 @@ def chapter_ranges(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, "_c.industry", F.col("_c.page").alias("first_page"), (after - 1).alias("last_page"))
 
 
-def sections(df: DataFrame, key: str, column: str, first_page: int = REPORT_FIRST_PAGE, by_chapters: bool = False) -> DataFrame:
+def sections(df: DataFrame, key: str, column: str, first_page: int = REPORT_FIRST_PAGE, by_chapters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, section_no, heading, page, industry, text of each report. A page mark and a heading each open a section; the page and the industry hold until the next one.
 
     An industry named in a heading counts from first_page on, or where no page is known. by_chapters: pages have the industry of their
-    chapter in the table of contents, which wins over headings'. All within the row."""
+    chapter in the table of contents, which wins over headings'. keep: more columns of df. All within the row."""
     mark = lambda line: let(F.trim(line), lambda x: F.coalesce(F.concat(F.lit("\x01"), reports.page_mark(x).cast("string")), F.when(x != "", reports.report_heading(x))))
 
     def carried(parts: Column, ranges: Column | None = None) -> Column:
@@ -61,8 +61,8 @@ def sections(df: DataFrame, key: str, column: str, first_page: int = REPORT_FIRS
 
     parts = documents.marked_parts(F.col(column), mark)
     told = let(chapters(F.col(column)), lambda ranges: let(parts, lambda p: carried(p, ranges))) if by_chapters else let(parts, lambda p: carried(p))
-    rows = df.select(key, F.explode(told).alias("s"))
-    return rows.select(key, "s.*").where("text != ''")
+    rows = df.select(key, *keep, F.explode(told).alias("s"))
+    return rows.select(key, *keep, "s.*").where("text != ''")
 
 
 def kept(df: DataFrame, first_page: int = REPORT_FIRST_PAGE) -> DataFrame:

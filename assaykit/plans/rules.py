@@ -138,7 +138,7 @@ def report_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut as reports are: sections, filters, windows, ids. Headings and filters of hangul have no SQL twin; tests hold them against fixtures."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("src"), F.lit(2025).alias("year"))
-    kept = report_rows.kept(report_rows.sections(docs, "doc_id", "text")).join(docs.select("doc_id", "src", "year"), "doc_id")
+    kept = report_rows.kept(report_rows.sections(docs, "doc_id", "text", keep=("src", "year")))
     return report_rows.chunks(kept, "doc_id", "src", "year", size=200, overlap=30).select("doc_id", "section_no", "chunk_no", "chunk_id", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -42,6 +42,99 @@ def test_other_queries_run(spark, small, name):
     assert plans.QUERIES[name](spark, small).count() > 0
 
 
+def documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet").collect()
+
+
+def test_document_indicators_equal_regular_expressions(spark, small):
+    import re
+
+    from assaykit.config import DOCUMENT_INDICATORS
+
+    got = {r["doc_id"]: r.asDict() for r in plans.QUERIES["document_indicators"](spark, small).collect()}
+    for d in documents(spark, small):
+        assert got[d["doc_id"]] == {"doc_id": d["doc_id"]} | {n: len(re.findall(p, d["text"] or "", re.I)) for n, p in DOCUMENT_INDICATORS.items()}
+
+
+def test_document_sections_equal_a_plain_walk(spark, small):
+    import re
+
+    want = []
+    for d in documents(spark, small):
+        parts, at = [[None, []]], 0
+        for line in re.split(r"\r\n|\r|\n", d["text"] or ""):
+            if re.search("^#{1,6}[ \t]+", line) or (3 <= len(line) <= 60 and line.upper() == line):
+                parts.append([line, []])
+            else:
+                parts[-1][1].append(line)
+        for at, (heading, lines) in enumerate(parts):
+            body = "\n".join(lines).strip(" ")
+            if at or body:
+                want.append((d["doc_id"], at, heading, len(body)))
+    got = [(r["doc_id"], r["section_no"], r["heading"], r["chars"]) for r in plans.QUERIES["document_sections"](spark, small).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_evidence_is_compressed_row_by_row(spark, small):
+    import json
+    import re
+
+    from assaykit.operators import model
+
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    want = {}
+    for d in documents(spark, small):
+        label, score = labels.get(d["doc_id"]), d["n_chars"] / 4000 if d["n_chars"] is not None else None
+        kind = None if not label else "competitor_patent" if label["toxic"] == 1 else {1: "news", 0: "industry_report"}.get(label["quality"])
+        route = "candidate" if kind == "news" or (kind == "industry_report" and (score is None or score >= 0.5)) else "passthrough" if kind == "competitor_patent" else "non_target"
+        if route == "candidate":
+            reply = json.loads(model.stub(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", d["text"] or "")[:6_000]))
+            if reply["is_relevant"]:
+                want[d["doc_id"]] = (route, "ok", reply["summary"])
+        else:
+            want[d["doc_id"]] = (route, route, d["text"] and d["text"][:600])
+    got = {r["doc_id"]: (r["route"], r["status"], r["summary"]) for r in plans.QUERIES["evidence_compressed"](spark, small).collect()}
+    assert got == want
+
+
+def test_hashed_embeddings_equal_plain_ones(spark, small):
+    import re
+
+    import xxhash
+
+    got = {(r["conv_id"], r["turn"]): (r["dims"], r["length"]) for r in plans.QUERIES["hashing_embed"](spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
+    vectors = {(r["conv_id"], r["turn"]): r["embedding"] for r in __import__("assaykit.operators.model", fromlist=["embed"]).embed(spark.read.parquet(f"{small}/conversations.parquet"), "text", dims=64).collect()}
+    for r in rows:
+        v = [0.0] * 64
+        for t in [t for t in re.split("[\\s\u00a0\u3000]+", (r["text"] or "").lower()) if t]:
+            h = xxhash.xxh64(t.encode(), seed=42).intdigest()
+            signed = h - (1 << 64) if h >> 63 else h
+            v[(signed >> 1) % 64] += 1 if signed % 2 else -1
+        n = math.sqrt(sum(x * x for x in v))
+        key = (r["conv_id"], r["turn"])
+        assert got[key] == (64, 1.0 if n else 0.0)
+        assert all(abs(a - (b / n if n else b)) < 1e-9 for a, b in zip(vectors[key], v, strict=True))
+
+
+def test_pages_are_read_like_plain_ones(spark, small):
+    """Titles and paragraphs against a plain cut of the pages' markup, which is flat."""
+    import hashlib
+    import html
+    import re
+
+    got = {r["page_id"]: r for r in plans.QUERIES["html_title_text"](spark, small).collect()}
+    for p in spark.read.parquet(f"{small}/pages.parquet").collect():
+        body = re.sub(r"(?s)<(script|style|nav|footer|header|svg|noscript)\b.*?</\1>|<!--.*?-->", "", p["html"])
+        title = " ".join(html.unescape(re.search("(?s)<title>(.*?)</title>", p["html"])[1]).split())
+        parts = re.findall(r"(?s)<(?:p|h1|h2|h3|li)\b[^>]*>(.*?)(?=<(?:p|h1|h2|h3|li)\b|</(?:p|h1|h2|h3|li|ul|ol|body|html)>|\Z)", body)
+        texts = list(dict.fromkeys(t for t in (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts) if len(t) >= 20))
+        heads = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.findall("(?s)<h1>(.*?)</h1>", body)]
+        r = got[p["page_id"]]
+        assert r["title"] == (heads[0] if heads and heads[0] else title)
+        assert (r["paragraphs"], r["text_sha256"]) == (len(texts), hashlib.sha256("\n".join(texts).encode()).hexdigest())
+
+
 def test_entry(spark):
     import __spark_entry__
 
