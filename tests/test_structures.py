@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import reports as report_texts
 from assaykit.functions.arrays import runs, scan
-from assaykit.operators import archive_pages, boxes, hybrid, identity, linkage, model, neighbours, reports, rework, structures, trees, walks
+from assaykit.operators import archive_pages, boxes, hybrid, identity, linkage, model, neighbours, reports, rework, structures, structuring, trees, walks
 from assaykit.sources.cache import ResultCache, content_key
 
 
@@ -300,6 +300,41 @@ def test_cache_calls_once_and_mends_torn_parts(spark, tmp_path):
     assert {r["id"]: r["reply"] for r in cache.fill(docs, "key", compute).collect()} == first and calls == [3, 3]
 
 
+def test_documents_are_structured_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def note(kind):
+        (calls / f"{kind}-{time.time_ns()}").touch()
+
+    def first(prompt):
+        note("first")
+        p = json.loads(prompt)
+        if p.get("specification") == "bad":
+            raise OSError("no answer")
+        words = (p.get("specification") or "").split()
+        return "Sure: " + json.dumps({"key_elements": [{"key_element_id": f"K0{i}", "key_element_name": w, "core_role": "essential"} for i, w in enumerate(words, 1)], "key_flow": [{"key_element_id": "K1", "next_key_element_id": "K2", "coupling_strength": "weak"}]})
+
+    def second(prompt):
+        note("second")
+        p = json.loads(prompt)
+        if p.get("claims") == "no json":
+            return "nothing"
+        return json.dumps({"key_element_clarity": [{"key_element_id": "k 1", "in_independent_claim": True, "claim_clarity": "self_clear"}], "claims": [{"claim_no": str(len(p["key_elements"])), "type": "독립항"}]})
+
+    docs = spark.createDataFrame([(1, "wheel axle", "c", None, "x"), (2, "wheel axle", "c", None, "y"), (3, "bad", "c", "d", "z"), (4, "a", "no json", "d", "z"), (5, None, None, None, None)], "id int, spec string, claims string, drawings string, reply string")
+    cache = ResultCache(spark, str(tmp_path / "cache"))
+    run = lambda: structuring.structured(docs, cache, specification="spec", claims="claims", drawings="drawings", first=first, second=second, model="m")
+    got = {r["id"]: r for r in run().collect()}
+    assert [(e["key_element_name"], e["in_independent_claim"], e["claim_clarity"]) for e in got[1]["structure"]["key_elements"]] == [("wheel", True, "self_clear"), ("axle", False, "unresolved")]
+    assert got[1]["structure"] == got[2]["structure"] and got[1]["structure"]["claims"][0]["claim_no"] == "2" and got[3]["structure"] is None and got[4]["structure"] is None and got[5]["structure"]["key_elements"] == [] and got[2]["reply"] == "y"
+    n = len(list(calls.iterdir()))
+    again = {r["id"]: r["structure"] for r in run().collect()}
+    assert again == {i: r["structure"] for i, r in got.items()} and len(list(calls.iterdir())) <= n + 4  # only what failed is asked again
+    light = run().where("id = 1").select(structuring.light(F.col("structure"), elements=1).alias("l")).first()["l"]
+    assert [e["key_element_name"] for e in light["key_elements"]] == ["wheel"] and len(light["key_flow"]) == 1
+
+
 def test_cache_evicts_what_was_not_used(spark, tmp_path):
     cache = ResultCache(spark, str(tmp_path / "cache"))
     put = lambda *keys: cache.put(spark.createDataFrame([(k, json.dumps({"k": k})) for k in keys], "key string, reply string"), "key", "reply")
