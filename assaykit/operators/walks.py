@@ -46,10 +46,11 @@ def until_enough(candidates: DataFrame, group: str, key: str, sources: list[tupl
     out = candidates.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= cap).drop("_n")
     out = out.withColumns({"_value": F.lit(None).cast("string"), "found_in": F.lit(None).cast("string"), "tried": F.array().cast("array<string>"), "_open": F.lit(True)})
     for i, (name, source) in enumerate(sources):
-        known = source.select(F.col(key).alias("_key"), text.present(F.col(value)).alias("_new")).where("_new IS NOT NULL").groupBy("_key").agg(F.min("_new").alias("_new"))
+        known = source.select(F.col(key).cast("string").alias("_key"), text.present(F.col(value)).alias("_new")).where("_new IS NOT NULL").groupBy("_key").agg(F.min("_new").alias("_new"))
         wanted = F.col("_value").isNull() & F.col("_open")
-        # a null key on rows that ask for nothing: they meet nothing and aren't dealt by a number that many share
-        out = out.withColumn("_ask", F.when(wanted, F.col(key))).join(known, F.col("_ask") == F.col("_key"), "left").drop("_key", "_ask")
+        # rows that ask for nothing meet nothing; each has a key of its own, since nulls would all be dealt to one task
+        spread = F.concat(F.lit("\x00"), F.xxhash64(group, place).cast("string"))
+        out = out.withColumn("_ask", F.when(wanted, F.col(key).cast("string")).otherwise(spread)).join(known, F.col("_ask") == F.col("_key"), "left").drop("_key", "_ask")
         had = F.sum(F.when(F.col("_value").isNotNull(), 1).otherwise(0)).over(whole)
         now = F.sum(F.when(wanted & F.col("_new").isNotNull(), 1).otherwise(0)).over(before)
         out = out.withColumn("_tries", wanted & (had + F.coalesce(now, F.lit(0)) < goal))
