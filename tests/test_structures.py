@@ -255,6 +255,18 @@ def test_archive_pages_are_read_as_trees(spark):
     assert text == "# A & B\n\n## ABSTRACT\n\nAn abstract\n\n## DETAILED DESCRIPTION\n\nField One Two\n\n## CLAIMS\n\n1. 1. A device with a wheel turning\n\n2. The device of claim 1\n\n## REFERENCES CITED\n\n- US 123 B2"
 
 
+def test_plain_pages_are_read_alike_and_once(spark, monkeypatch):
+    bits = ["<div class='claim' num=3>", "<div class=claim-text>", "</div>", "<tr itemprop=forwardReferences>", "<td>", "<span itemprop='title'>", "</span>", "</table>", "<table>", "<p>", "<br>", '<meta name="DC.title" content="T">', "a &amp; b", "<li>", "<h2>", "</ p>", "<!-- x -->", "<a href='x>y'>", "<title>", "<br/>", "<"]
+    r = random.Random(3)
+    pages = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(3_000)]
+    fast = [archive_pages._parts(p) for p in pages]
+    assert sum(archive_pages._plain(p) is not None for p in pages) > 200
+    monkeypatch.setattr(archive_pages, "_plain", lambda page: None)
+    assert fast == [archive_pages._parts(p) for p in pages]
+    refs = archive_pages.references(archive_pages.read(spark.createDataFrame([(1, PAGE)], "id int, html string"), "html"), "id")
+    assert refs._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 # --- merged structures ----------------------------------------------------------------------------
 
 
