@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _NODE = "position long, parent long, depth int, path string, key string, idx long, kind string, parent_kind string, parent_key string, value string"
 #: Rows that are handed on together.
@@ -72,16 +72,24 @@ def walk(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).alias("doc"), F.col(column).cast("string").alias("json")).mapInArrow(run, schema)
 
 
+def _listed(tokens: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether a node is an element of a list under a key with one of the tokens, and whether it is an object under one."""
+    has = lambda c: F.coalesce(F.lower(c).rlike("|".join(tokens)), F.lit(False))
+    return (F.col("parent_kind") == "array") & has(F.col("parent_key")), (F.col("kind") == "object") & (F.col("parent_kind") == "object") & has(F.col("key"))
+
+
+def _order(element: Column) -> Column:
+    met = F.when(element, F.col("parent")).otherwise(F.col("position"))
+    return F.struct(met.alias("met"), F.when(element, F.col("idx")).otherwise(-1).alias("idx"))
+
+
 def listed_under(nodes: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
     """Items under keys whose name has one of the tokens, whatever the case: elements of lists and objects, at any depth.
 
     Items come when the walk meets the list or object that holds them, so a list's elements come before what is nested in them.
     Returns doc, item (from 1), position and path of the item's node; its own values are the nodes with that parent."""
-    has = lambda c: F.coalesce(F.lower(c).rlike("|".join(tokens)), F.lit(False))
-    element = (F.col("parent_kind") == "array") & has(F.col("parent_key"))
-    own = (F.col("kind") == "object") & (F.col("parent_kind") == "object") & has(F.col("key"))
-    met = F.when(element, F.col("parent")).otherwise(F.col("position"))
-    found = nodes.where(element | own).select("doc", "position", "path", F.struct(met.alias("met"), F.when(element, F.col("idx")).otherwise(-1).alias("idx")).alias("_order"))
+    element, own = _listed(tokens)
+    found = nodes.where(element | own).select("doc", "position", "path", _order(element).alias("_order"))
     items = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_order", "position", "path"))).alias("_items"))
     return items.select("doc", F.posexplode("_items").alias("_i", "_item")).select("doc", (F.col("_i") + 1).alias("item"), "_item.position", "_item.path")
 
@@ -94,6 +102,24 @@ def fields(nodes: DataFrame, items: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("doc", "item").agg(*(F.min_by(F.when(F.col("_k") == n.lower(), F.col("value")), F.when(F.col("_k") == n.lower(), F.col("_at"))).alias(n) for n in names))
 
 
+def listed_fields(nodes: DataFrame, tokens: tuple[str, ...], names: list[str]) -> DataFrame:
+    """doc, item, position and depth of the items of `listed_under` with their named scalars as in `fields`.
+
+    Nodes are walked once; an item and its scalars meet by grouping, so nothing is joined or broadcast, however many nodes a small text makes."""
+    wanted = [n.lower() for n in names]
+    element, own = _listed(tokens)
+    scalar = F.coalesce(F.lower("key").isin(wanted), F.lit(False)) & F.col("value").isNotNull()
+    none = lambda kind: F.lit(None).cast(kind)
+    as_item = F.struct(F.col("position").alias("node"), F.struct(_order(element).alias("order"), "depth").alias("i"), none("string").alias("k"), none("string").alias("v"), none("long").alias("at"))
+    as_scalar = F.struct(F.col("parent").alias("node"), none("struct<order:struct<met:bigint,idx:bigint>,depth:int>").alias("i"), F.lower("key").alias("k"), F.col("value").alias("v"), F.col("position").alias("at"))
+    # a scalar may itself be an element of a list, and then is both
+    both = F.array_compact(F.array(F.when(element | own, as_item), F.when(scalar, as_scalar)))
+    rows = nodes.where(element | own | scalar).select("doc", F.inline(both))
+    met = rows.groupBy("doc", "node").agg(F.max("i").alias("i"), *(F.min_by(F.when(F.col("k") == n, F.col("v")), F.when(F.col("k") == n, F.col("at"))).alias(f"_f{j}") for j, n in enumerate(wanted)))
+    held = met.where("i IS NOT NULL").withColumn("item", F.row_number().over(Window.partitionBy("doc").orderBy("i.order", "node")))
+    return held.select("doc", "item", F.col("node").alias("position"), F.col("i.depth").alias("depth"), *(F.col(f"_f{j}").alias(n) for j, n in enumerate(names)))
+
+
 def _object(root: ET.Element):
     """An element as strings, mappings and lists; a tag that comes again makes a list. Namespaces are left out."""
     made: dict[int, object] = {}

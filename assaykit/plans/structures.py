@@ -75,9 +75,7 @@ def nested_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["part"].alias("part"), F.struct(F.struct(x["supp"].alias("supplier")).alias("citation")).alias("more")))
     docs = held.select("l_orderkey", F.to_json(F.struct(F.lit("x").alias("status"), F.struct(cited.alias("patentDocuments")).alias("body"))).alias("json"))
     nodes = trees.walk(docs, "l_orderkey", "json")
-    items = trees.listed_under(nodes, ("documentsinfo", "patentdocuments", "citation"))
-    levels = nodes.select("doc", "position", "depth")
-    return trees.fields(nodes, items, ["line", "part", "supplier"]).join(items.select("doc", "item", "position"), ["doc", "item"]).join(levels, ["doc", "position"]).drop("position")
+    return trees.listed_fields(nodes, ("documentsinfo", "patentdocuments", "citation"), ["line", "part", "supplier"]).select("doc", "item", "line", "part", "supplier", "depth")
 
 
 @query("""SELECT event_id, count(*) AS nodes, count(*) FILTER (type IN ('OBJECT', 'ARRAY')) AS inner_nodes, string_agg(fullkey, '|' ORDER BY id) AS paths FROM events, json_tree(props) GROUP BY event_id""")

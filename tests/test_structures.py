@@ -214,6 +214,22 @@ def test_walk_of_nested_documents(spark):
         assert [json.dumps(at(d, p)) for p in items.get(i, [])] == [json.dumps(x) for x in plain_items(d, tokens)], i
 
 
+def test_items_and_their_fields_without_joins(spark):
+    r = random.Random(9)
+    docs = [(i, random_json(r, 6)) for i in range(80)] + [(900, {"citation": {"Line": 1, "line": 2}, "patentDocuments": [{"part": "p", "supplier": None}, 7, {"line": [1]}, {"line": "x", "more": {"citation": {"supplier": 3}}}]})]
+    names = ["line", "part", "supplier", "a", "b"]
+    tokens = ("documentsinfo", "patentdocuments", "citation", "a")
+    nodes = trees.walk(spark.createDataFrame([(i, json.dumps(d)) for i, d in docs], "id long, body string"), "id", "body")
+    items = trees.listed_under(nodes, tokens)
+    joined = trees.fields(nodes, items, names).join(items.select("doc", "item", "position"), ["doc", "item"]).join(nodes.select("doc", "position", "depth"), ["doc", "position"])
+    got = trees.listed_fields(nodes, tokens, names)
+    columns = ["doc", "item", "position", "depth", *names]
+    rows = sorted(map(tuple, got.select(columns).collect()), key=lambda x: x[:2])
+    assert rows == sorted(map(tuple, joined.select(columns).collect()), key=lambda x: x[:2]) and len(rows) > 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_xml_becomes_records(spark):
     xml = '<?xml version="1.0"?><r xmlns:n="u"><n:a> 1 </n:a><b/><c><d>x</d><d>y</d></c><a>2</a></r>'
     rows = spark.createDataFrame([(1, xml), (2, "<broken"), (3, None), (4, '<!DOCTYPE x [<!ENTITY e "v">]><x>&e;</x>'), (5, "<one>t</one>"), (6, "<a>" * 3_000 + "z" + "</a>" * 3_000)], "id int, body string").withColumn("json", trees.xml_to_json(F.col("body")))
