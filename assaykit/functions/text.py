@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..config import DOCUMENT_INDICATORS, NEWS_STOPWORDS
+from .patents import let
 
 TOKEN = "[0-9a-zA-Z가-힣]{2,}"
 
@@ -97,8 +98,13 @@ def hits(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def word_hits(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     """As hits; Latin words must stand between characters that are no letters or digits, hangul ones may stand anywhere."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    one = lambda w: F.contains(low, F.lit(w)) if any("가" <= c <= "힣" for c in w) else low.rlike(f"(^|[^0-9a-z]){w}($|[^0-9a-z])")
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: word_hits_in(low, words))
+
+
+def word_hits_in(low: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """The same for a text that is in lower case and not null. A word's edges are only looked for where it occurs at all."""
+    has = lambda w: F.contains(low, F.lit(w))
+    one = lambda w: has(w) if any("가" <= c <= "힣" for c in w) else has(w) & low.rlike(f"(^|[^0-9a-z]){w}($|[^0-9a-z])")
     return reduce(lambda a, b: a + b, [one(w.lower()).cast("int") for w in words], F.lit(0))
 
 

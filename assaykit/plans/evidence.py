@@ -203,7 +203,8 @@ _LABELS = {f"l{i}": label for i, label in enumerate(INDUSTRY_KEYWORDS)}
        + ", ".join(_LABELS) + ") AS top FROM (SELECT doc_id, " + ", ".join(f"{_hits_sql(INDUSTRY_KEYWORDS[label])} AS {k}" for k, label in _LABELS.items()) + " FROM documents))")
 def industry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The industry with the most keyword hits among fifteen; ties go to the more special one."""
-    rows = matching.best_label(table(spark, sf_dir, "documents"), {k: text.word_hits(F.col("text"), ws) for k, ws in INDUSTRY_KEYWORDS.items()})
+    low = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    rows = matching.best_label(low, {k: text.word_hits_in(F.col("_low"), ws) for k, ws in INDUSTRY_KEYWORDS.items()})
     return rows.select("doc_id", "label", "label_hits")
 
 

@@ -6,8 +6,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit import plans
+from assaykit.functions import text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -153,3 +155,14 @@ def test_all_indicators_of_cjk_texts(spark, tmp_path):
     for i, t in enumerate(texts):
         assert rows[i] == {"doc_id": i} | {n: len(re.findall(p, t or "", re.I)) for n, p in DOCUMENT_INDICATORS.items()}
     assert all(rows[0][n] for n in DOCUMENT_INDICATORS)
+
+
+def test_industry_hits_lower_a_text_once(spark, small):
+    import re
+
+    df = plans.QUERIES["industry_match"](spark, small)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    said = [("Battery, LITHIUM-ess 5g",), ("batterybattery",), ("x-battery",), ("리튬lithium",), (None,)]
+    words = ("battery", "lithium", "ess", "5g", "리튬")
+    want = [sum(w in (t or "").lower() if w == "리튬" else bool(re.search(f"(^|[^0-9a-z]){w}($|[^0-9a-z])", (t or "").lower())) for w in words) for (t,) in said]
+    assert [r[0] for r in spark.createDataFrame(said, "t string").select(text.word_hits(F.col("t"), words)).collect()] == want
