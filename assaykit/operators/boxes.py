@@ -9,12 +9,16 @@ Nulls: a word or box with a null coordinate contains nothing and is in nothing;
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import reports
 
 #: Side of the smallest cells, in points.
 CELL = 32.0
+#: Boxes of a page that go along with its words; a page with more of them has a grid.
+TOGETHER = 64
 
 
 def _levels(boxes: DataFrame) -> DataFrame:
@@ -34,11 +38,19 @@ def _cell(c: Column, level: int) -> Column:
 def outside(words: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
     """The words whose centre lies in no box of their page (edges are inside).
 
-    One anti join for each level that boxes have; levels are powers of two of a cell, so there are few of them."""
-    frames = _levels(boxes.select(*page, *(F.col(c).cast("double") for c in ("x0", "top", "x1", "bottom"))))
+    Words are dealt once, by page, where they meet the boxes of pages that have few. For the boxes of other pages there is one anti join
+    for each level that they have; levels are powers of two of a cell, so there are few of them."""
+    sides = ("x0", "top", "x1", "bottom")
+    whole = boxes.select(*page, *(F.col(c).cast("double") for c in sides)).where("x0 <= x1 AND top <= bottom")
+    held = whole.groupBy(*(F.col(p).alias(f"_b_{i}") for i, p in enumerate(page))).agg(F.collect_list(F.struct(*sides)).alias("_boxes"))
+    frames = _levels(held.where(F.size("_boxes") > TOGETHER).select(*(F.col(f"_b_{i}").alias(p) for i, p in enumerate(page)), F.inline("_boxes")))
     levels = [r["_level"] for r in frames.select("_level").distinct().collect()]
     middle = lambda a, b: (F.col(a).cast("double") + F.col(b).cast("double")) / 2
     out = words.withColumns({"_x": middle("x0", "x1"), "_y": middle("top", "bottom")})
+    own = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_b_{i}") for i, p in enumerate(page)])
+    holds = F.exists("_boxes", lambda b: F.col("_x").between(b["x0"], b["x1"]) & F.col("_y").between(b["top"], b["bottom"]))
+    met = out.join(held.where(F.size("_boxes") <= TOGETHER), own, "left")
+    out = met.where(~F.coalesce(holds, F.lit(False))).drop("_boxes", *(f"_b_{i}" for i in range(len(page))))
     for level in sorted(levels):
         spans = lambda a, b: F.explode(F.sequence(_cell(F.col(a), level), _cell(F.col(b), level)))  # noqa: B023, E731
         some = frames.where(F.col("_level") == level).withColumn("_cx", spans("x0", "x1")).withColumn("_cy", spans("top", "bottom"))

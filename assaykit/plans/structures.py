@@ -22,8 +22,8 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, sha256(string_agg(line, chr(10
 def words_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document set as a page of words: what lies in none of its boxes, as lines of text again."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("no", "line"))
-    words = lines.select("doc_id", "no", F.posexplode(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("i", "text"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", r"\r\n|\r|\n", -1)).alias("no", "line"))
+    words = lines.select("doc_id", "no", F.posexplode_outer(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("i", "text")).where("text IS NOT NULL")
     placed = words.selectExpr("doc_id", "text", "40 * i AS x0", "40 * i + 5 * length(text) AS x1", "12 * no AS top", "12 * no + 10 AS bottom")
     frames = docs.selectExpr("doc_id", *_BOXES[0].split(", ")).unionByName(docs.where("doc_id % 3 = 0").selectExpr("doc_id", *_BOXES[1].split(", ")))
     kept = boxes.outside(placed, frames, ["doc_id"])
@@ -258,5 +258,6 @@ def foreign_claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda x: F.when((x["l_linenumber"] > 1) & (x["l_returnflag"] != "R"), F.concat(F.lit("The device of claim\n"), (x["l_linenumber"] - 1).cast("string"), F.lit(", with part "), x["l_partkey"].cast("string"), F.lit("  on it"))).otherwise(F.concat(F.lit("A device for part\n\n17\n![image 1](<x>)\n"), x["l_partkey"].cast("string"), F.lit(" and supplier "), x["l_suppkey"].cast("string")))
     lines = F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(". "), said(x))), "\n## 페이지 2\n")
     body = F.concat(F.lit("1. no claim but a list of what is known here\nCLAIMS\n"), lines, F.lit("\n## 페이지 9\nwhat follows is no claim"))
-    rows = held.select("l_orderkey", F.explode(foreign_claims(body)).alias("c"))
+    # outer: of an inner one Spark would ask the size first, and read each text twice
+    rows = held.select("l_orderkey", F.explode_outer(foreign_claims(body)).alias("c")).where("c IS NOT NULL")
     return rows.select("l_orderkey", "c.claim_no", "c.text", "c.is_independent", "c.dependency")

@@ -243,6 +243,20 @@ def test_xml_becomes_records(spark):
     assert (fields["B"], fields["q"]) == ("", None)
 
 
+@pytest.mark.parametrize("together", [0, 2, 64])
+def test_words_meet_few_boxes_in_one_join(spark, monkeypatch, together):
+    monkeypatch.setattr(boxes, "TOGETHER", together)
+    r = random.Random(6)
+    words = [(p, r.uniform(0, 300), r.uniform(0, 300)) for _ in range(300) for p in [r.choice((0, 1, 2, None))]] + [(0, None, 1.0)]
+    frames = [(p, x := r.uniform(0, 250), t := r.uniform(0, 250), x + r.uniform(0, 90), t + r.uniform(0, 90)) for p in (0, 1, 1, 1, None) for _ in range(2)] + [(0, 0.0, None, 300.0, 300.0)]
+    w = spark.createDataFrame([(i, p, x, x, y, y) for i, (p, x, y) in enumerate(words)], "i int, page int, x0 double, x1 double, top double, bottom double")
+    kept = boxes.outside(w, spark.createDataFrame(frames, "page int, x0 double, top double, x1 double, bottom double"), ["page"])
+    held = lambda p, x, y: p is not None and x is not None and any(q == p and None not in b and b[0] <= x <= b[2] and b[1] <= y <= b[3] for q, *b in frames)
+    assert {k["i"] for k in kept.collect()} == {i for i, (p, x, y) in enumerate(words) if not held(p, x, y)}
+    if together == 64:
+        assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 # --- archive pages --------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>Fallback</title><meta name="dc.title" content=" A &amp; B "><body>
