@@ -43,9 +43,8 @@ def table_references(c: Column) -> Column:
 @once
 def is_note(c: Column) -> Column:
     """Nothing, a short note to a table, or symbols of an outlook table only."""
-    s = _squeezed(c)
-    rest = F.regexp_replace(s, r"[☂☼ㆍ·\s,.:;()（）전년대비영향정도큰폭감소다소증가]", "")
-    return (s == "") | ((F.length(s) <= 160) & (s.rlike(r"^(주|자료|단위)\s*:") | (rest == "")))
+    rest = lambda s: F.regexp_replace(s, r"[☂☼ㆍ·\s,.:;()（）전년대비영향정도큰폭감소다소증가]", "")
+    return let(_squeezed(c), lambda s: (s == "") | ((F.length(s) <= 160) & (s.rlike(r"^(주|자료|단위)\s*:") | (rest(s) == ""))))
 
 
 def is_symbol_line(c: Column) -> Column:
@@ -53,8 +52,8 @@ def is_symbol_line(c: Column) -> Column:
 
 
 def is_imprint(c: Column) -> Column:
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")
-    return reduce(lambda a, b: a + b, [F.contains(s, F.lit(m)).cast("int") for m in IMPRINT_MARKS]) >= 2
+    squeezed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")
+    return let(squeezed, lambda s: reduce(lambda a, b: a + b, [F.contains(s, F.lit(m)).cast("int") for m in IMPRINT_MARKS]) >= 2)
 
 
 def without_table_lines(c: Column) -> Column:
@@ -86,7 +85,7 @@ def body_heading(c: Column, most: int = 80) -> Column:
 def industry_of(c: Column, names: tuple[str, ...] = REPORT_INDUSTRIES) -> Column:
     """The first of the names that a text contains, whatever its spaces."""
     tight = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    return F.coalesce(*(F.when(F.contains(tight, F.lit(n)), n) for n in names))
+    return let(tight, lambda x: F.coalesce(*(F.when(F.contains(x, F.lit(n)), n) for n in names)))
 
 
 def page_mark(line: Column) -> Column:
@@ -100,9 +99,10 @@ def report_heading(line: Column) -> Column:
     """A line's heading: Markdown, table, short industry line, or outline number; notes and symbols have none."""
     markdown = F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1)
     outline = F.regexp_extract(line, r"^(?:[0-9]{1,2}[.)]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.)]?|[가-힣][.)])\s+(.{2,80})$", 1)
-    short = industry_of(line).isNotNull() & (F.length(line) <= 40)
+    short = (F.length(line) <= 40) & industry_of(line).isNotNull()
     made = F.when(markdown != "", F.trim(markdown)).when(is_table_heading(line) | short, line).when(outline != "", F.trim(outline))
-    return F.when(~(line.startswith("⋅") | is_note(line) | is_symbol_line(line)), made)
+    # most lines are none, and are asked no more
+    return let(made, lambda x: F.when(x.isNotNull() & ~(line.startswith("⋅") | is_note(line) | is_symbol_line(line)), x))
 
 
 def report_kind(name: Column) -> Column:

@@ -44,7 +44,7 @@ def sections(df: DataFrame, key: str, column: str, heading: Callable[[Column], C
     """Lines gathered under the heading before them: key, section_no, heading, text. Text before the first heading has none.
 
     heading: gives a line's heading or null; by default Markdown headings."""
-    rows = df.select(key, F.explode(marked_parts(F.col(column), heading)).alias("s"))
+    rows = df.select(key, F.explode_outer(marked_parts(F.col(column), heading)).alias("s")).where("s IS NOT NULL")
     body = F.when(F.col("s.heading").isNull(), F.col("s.lines")).otherwise(F.slice("s.lines", 2, F.greatest(F.size("s.lines"), F.lit(1))))
     out = rows.select(key, "s.section_no", "s.heading", F.trim(F.array_join(body, "\n")).alias("text"))
     return out.where((F.col("section_no") > 0) | (F.col("text") != ""))
@@ -83,7 +83,7 @@ def chunks(df: DataFrame, column: str, size: int = 1_000, overlap: int = 150) ->
     step = size - min(max(overlap, 0), size - 1)
     rows = df.withColumn("_t", text.tokens(F.col(column)))
     n = F.when(F.size("_t") <= size, 1).otherwise(F.ceil((F.size("_t") - size) / F.lit(step)).cast("int") + 1)
-    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(1), n)))
+    rows = rows.withColumn("chunk_no", F.explode_outer(F.sequence(F.lit(1), n))).where("chunk_no IS NOT NULL")
     cut = F.array_join(F.slice("_t", (F.col("chunk_no") - 1) * step + 1, size), " ")
     return rows.withColumn("chunk", F.when(F.size("_t") <= size, F.col(column)).otherwise(cut)).drop("_t")
 

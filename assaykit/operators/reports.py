@@ -61,7 +61,8 @@ def sections(df: DataFrame, key: str, column: str, first_page: int = REPORT_FIRS
 
     parts = documents.marked_parts(F.col(column), mark)
     told = let(chapters(F.col(column)), lambda ranges: let(parts, lambda p: carried(p, ranges))) if by_chapters else let(parts, lambda p: carried(p))
-    rows = df.select(key, *keep, F.explode(told).alias("s"))
+    # outer: of an inner one Spark would ask the size first, and cut each report twice
+    rows = df.select(key, *keep, F.explode_outer(told).alias("s"))
     return rows.select(key, *keep, "s.*").where("text != ''")
 
 
@@ -71,7 +72,8 @@ def kept(df: DataFrame, first_page: int = REPORT_FIRST_PAGE) -> DataFrame:
     body = F.when(table, reports.from_body_start(F.col("text"))).otherwise(F.col("text"))
     rows = df.where(F.col("page").isNull() | (F.col("page") >= first_page)).withColumn("text", body)
     rows = rows.withColumn("heading", F.when(table, F.coalesce(reports.body_heading(F.col("text")), F.lit("본문"))).otherwise(F.col("heading")))
-    return rows.withColumn("text", documents.clean_section(reports.without_table_lines(F.col("text")))).where(reports.keeps(F.col("text")))
+    # a generator holds the text, since a filter on a plain column would move before it and clean it once more
+    return rows.withColumn("text", F.explode_outer(F.array(documents.clean_section(reports.without_table_lines(F.col("text")))))).where(reports.keeps(F.col("text")))
 
 
 def chunks(df: DataFrame, key: str, source: str, year: str, *, size: int = 1_000, overlap: int = 150) -> DataFrame:

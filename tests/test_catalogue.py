@@ -166,3 +166,8 @@ def test_industry_hits_lower_a_text_once(spark, small):
     words = ("battery", "lithium", "ess", "5g", "리튬")
     want = [sum(w in (t or "").lower() if w == "리튬" else bool(re.search(f"(^|[^0-9a-z]){w}($|[^0-9a-z])", (t or "").lower())) for w in words) for (t,) in said]
     assert [r[0] for r in spark.createDataFrame(said, "t string").select(text.word_hits(F.col("t"), words)).collect()] == want
+
+
+def test_report_chunks_clean_a_section_once(spark, small):
+    plan = plans.QUERIES["report_chunks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("removed_tables") == 2  # of sections, then of chunks
