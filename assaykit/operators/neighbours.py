@@ -20,6 +20,8 @@ from ..functions.patents import let
 BLOCK_BYTES = 8 << 20
 #: Rows compared with a block together.
 ROWS = 512
+#: Queries compared with these at once: ROWS x QUERIES similarities of 8 bytes, and a few copies of them, are what a task holds.
+QUERIES = 1_024
 
 
 def _blocks(queries: DataFrame, key: str, size: Column, block_bytes: int) -> Iterator[list]:
@@ -55,24 +57,28 @@ def _scan(rows: list, k: int, places: int, grouped: bool):
     wanted = np.array([known[g] for g in groups])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((0, len(ids)), -np.inf), np.zeros((0, len(ids)), np.int64)
+        best = {lo: (np.full((0, n), -np.inf), np.zeros((0, n), np.int64)) for lo in range(0, len(ids), QUERIES) for n in [min(QUERIES, len(ids) - lo)]}
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 vs = [np.asarray(v if v is not None else (), np.float64) for v in part.column(1).to_pylist()]
                 size = np.array([len(v) for v in vs])
-                sims = np.zeros((len(keys), len(ids)))
-                for n, (columns, matrix) in of_length.items():
-                    if len(own := np.flatnonzero(size == n)):
-                        sims[np.ix_(own, columns)] = np.round(unit(np.array([vs[i] for i in own])) @ matrix.T, places) + 0.0  # no negative zeros
-                sims[keys[:, None] == ids[None, :]] = -np.inf
-                if grouped:
-                    codes = np.array([known.get(g, -1) for g in part.column(2).to_pylist()])
-                    sims[codes[:, None] != wanted[None, :]] = -np.inf
-                best = _best(np.concatenate([best[0], sims]), np.concatenate([best[1], np.repeat(keys[:, None], len(ids), axis=1)]), k)
-        there = np.isfinite(best[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, there.shape)[there]), pa.array(best[1][there]), pa.array(best[0][there])], names=["query", "match", "similarity"])
+                units = [(own, unit(np.array([vs[i] for i in own])), columns, matrix) for n, (columns, matrix) in of_length.items() if len(own := np.flatnonzero(size == n))]
+                codes = np.array([known.get(g, -1) for g in part.column(2).to_pylist()]) if grouped else None
+                for lo in range(0, len(ids), QUERIES):  # a slice of queries at a time: what a task holds doesn't grow with the block
+                    some = slice(lo, min(lo + QUERIES, len(ids)))
+                    sims = np.zeros((len(keys), some.stop - lo))
+                    for own, rows_, columns, matrix in units:
+                        first, last = np.searchsorted(columns, (lo, some.stop))
+                        sims[np.ix_(own, columns[first:last] - lo)] = np.round(rows_ @ matrix[first:last].T, places) + 0.0  # no negative zeros
+                    sims[keys[:, None] == ids[None, some]] = -np.inf
+                    if grouped:
+                        sims[codes[:, None] != wanted[None, some]] = -np.inf
+                    best[lo] = _best(np.concatenate([best[lo][0], sims]), np.concatenate([best[lo][1], np.repeat(keys[:, None], some.stop - lo, axis=1)]), k)
+        for lo, (top, matches) in best.items():
+            there = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[lo : lo + QUERIES], there.shape)[there]), pa.array(matches[there]), pa.array(top[there])], names=["query", "match", "similarity"])
 
     return run
 

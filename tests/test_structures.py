@@ -8,6 +8,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,3 +496,19 @@ def test_most_alike_in_blocks(spark):
         got = neighbours.most_alike(df, "id", F.col("w"), queries, "q", F.col("w"), k=3, block_bytes=size)
         assert {(x["q"], x["rank"]): (x["id"], x["similarity"]) for x in got.collect()} == want
     assert neighbours.most_alike(df, "id", F.col("w"), queries.limit(0), "q", F.col("w"), k=3).count() == 0
+
+
+def test_neighbours_of_many_queries_are_found_in_slices(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 3, r.normal(size=4 if i % 5 else 6).round(1).tolist()) for i in range(90)] + [(90, 0, None), (91, 1, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "i long, g int, v array<double>")
+    found = lambda by: sorted(map(tuple, neighbours.nearest(df, df.where("i % 2 = 0"), vector="v", key="i", k=4, by=by).collect()))
+    whole = [found(None), found("g")]
+    held = []
+    best = neighbours._best
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    assert [found(None), found("g")] == whole
+    monkeypatch.setattr(neighbours, "_best", lambda sims, keys, k: held.append(sims.shape[1]) or best(sims, keys, k))
+    block = [{"q": i, "g": "", "v": v} for i, _, v in rows[:60]]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows]), pa.array([v for *_, v in rows], pa.list_(pa.float64())), pa.array([""] * len(rows))], names=["m", "v", "g"])
+    assert sum(b.num_rows for b in neighbours._scan(block, 4, 4, False)(iter([batch]))) == 240 and max(held) == 7
