@@ -42,7 +42,7 @@ def korean_claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     leans = lambda x: (x["l_linenumber"] > 1) & (x["l_returnflag"] != "R")
     body = lambda x: F.when(leans(x), F.concat(F.lit("제"), (x["l_linenumber"] - 1).cast("string"), F.lit("항에 있어서, 부품 "), x["l_partkey"].cast("string"), F.lit("를 더 포함하는 장치"))).otherwise(F.concat(F.lit("부품 "), x["l_partkey"].cast("string"), F.lit("를 포함하는 장치")))
     text = F.concat(F.array_join(F.transform("lines", lambda x: F.concat(F.lit("청구항 "), n(x), F.lit("\n"), body(x))), "\n"), F.lit("\n# 발명의 설명\n청구항 99\n아니다"))
-    rows = _claims(spark, sf_dir).select("l_orderkey", F.explode(patents.claim_list(text)).alias("c"))
+    rows = _claims(spark, sf_dir).select("l_orderkey", F.explode_outer(patents.claim_list(text)).alias("c")).where("c IS NOT NULL")
     return rows.select("l_orderkey", "c.claim_no", "c.is_independent", "c.dependency", "c.text")
 
 
@@ -60,8 +60,11 @@ def cover_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 12 + 1).cast("string"), L("월9일\n(73) 특허권자\nFirm"), s("c_nationkey"), L(" Inc.\n서울특별시 중구\n(72) 발명자\n홍길동\n서울특별시\n전체 청구항 수 : 총 "), (F.col("o_orderkey") % 20 + 1).cast("string"),
         L(" 항\n(54) 발명의 명칭 Device of "), s("c_mktsegment"), L("\n(57) 요 약\nx"),
     )
-    f = rows.select("o_orderkey", patents.cover_fields(page).alias("f"))
-    return f.select("o_orderkey", "f.registration_number", "f.application_number", "f.title", "f.filing_date", F.array_join("f.assignee", "|").alias("assignee"), F.array_join("f.cpc", "|").alias("cpc"), "f.claim_count")
+    laid = rows.select("o_orderkey", page.alias("page"))
+    f = patents.cover_fields(F.col("page"))  # fields are taken out of the expression, so that the others aren't computed
+    plain = lambda *names: (f[n].alias(n) for n in names)
+    lists = (F.array_join(f[n], "|").alias(n) for n in ("assignee", "cpc"))
+    return laid.select("o_orderkey", *plain("registration_number", "application_number", "title", "filing_date"), *lists, *plain("claim_count"))
 
 
 @query("""SELECT o_orderkey, '도' || (o_orderkey % 3 + 1) AS figure_number, 'order' || o_orderkey || '/image' || (o_orderkey % 3 + 1) || '.png' AS image_path, 'drawing_section' AS image_source FROM orders""")

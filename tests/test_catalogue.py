@@ -171,3 +171,10 @@ def test_industry_hits_lower_a_text_once(spark, small):
 def test_report_chunks_clean_a_section_once(spark, small):
     plan = plans.QUERIES["report_chunks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("removed_tables") == 2  # of sections, then of chunks
+
+
+def test_claims_and_covers_are_computed_once_and_only_what_is_selected(spark, small):
+    plan = lambda name: plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "特開" not in plan("cover_page_fields")  # prior art is not selected
+    for name in ("korean_claim_rows", "foreign_claim_rows"):
+        assert ", true, [c#" in plan(name)  # an outer generator, of which no filter on its size is inferred
