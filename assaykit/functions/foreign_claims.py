@@ -12,7 +12,7 @@ from ..config import (
 )
 from . import text
 from .arrays import runs
-from .patents import fullwidth_digits, let, lines_of
+from .patents import filled, fullwidth_digits, let, lines_of
 
 
 def claims_section(c: Column) -> Column:
@@ -20,8 +20,7 @@ def claims_section(c: Column) -> Column:
 
     def of(x: Column) -> Column:
         def end(pattern: str) -> Column:
-            head = F.regexp_extract(x, rf"(?Uis)^(.*?(?m:{pattern}))", 1)
-            return F.when(head != "", F.length(head))
+            return let(F.regexp_extract(x, rf"(?Uis)^(.*?(?m:{pattern}))", 1), lambda head: F.when(head != "", F.length(head)))
 
         ends = F.array_compact(F.array(*map(end, FOREIGN_CLAIM_MARKERS)))
         return let(ends, lambda e: F.when(F.size(e) > 0, F.substring(x, F.array_min(e) + 1, F.length(x))).otherwise(x))
@@ -31,7 +30,7 @@ def claims_section(c: Column) -> Column:
 
 def claim_body(lines: Column) -> Column:
     """Lines of a claim as one text, without images, page marks, fences and numbers of pages; a claim 1 that was read as a letter is mended."""
-    plain = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: (x != "") & ~F.exists(F.array(*map(F.lit, FOREIGN_CLAIM_NOISE)), lambda p: F.regexp_like(x, F.concat(F.lit("(?U)"), p))))
+    plain = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: (x != "") & ~x.rlike("(?U)" + "|".join(f"(?:{p})" for p in FOREIGN_CLAIM_NOISE)))
     joined = F.trim(F.regexp_replace(F.array_join(plain, " "), r"(?U)\s+", " "))
     return F.regexp_replace(joined, FOREIGN_MISREAD_ONE, "$1 1")
 
@@ -39,7 +38,7 @@ def claim_body(lines: Column) -> Column:
 def dependency(body: Column) -> Column:
     """The claim that a claim refers to, in English, Chinese or Japanese; null for one that stands alone."""
     tight = F.regexp_replace(body, r"(?U)\s+", "")
-    found = lambda x, pattern: F.nullif(fullwidth_digits(F.regexp_extract(x, "(?Ui)" + pattern, 1)), F.lit(""))
+    found = lambda x, pattern: filled(fullwidth_digits(F.regexp_extract(x, "(?Ui)" + pattern, 1)))
     first = F.coalesce(*(found(body, p) for p in FOREIGN_DEPENDENCIES), found(tight, JAPANESE_DEPENDENCY))
     return F.when(~tight.rlike("(?Uds)^" + JAPANESE_OWN_THING), first.cast("int"))
 
