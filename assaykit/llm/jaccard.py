@@ -9,7 +9,8 @@ Exact, without pairs of all copies and without caps:
 3. Multiple-global-order filtering: under any order of all shingles, two documents that link share one of the first
    n - ceil(0.75 n) + 1 of each. ORDERS orders are used, all rare before frequent by a table of hashed counts that grows with the
    input up to MOST_COUNTERS (which only decides speed), then each by a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
-   orders' pairs of groups are intersected.
+   orders' pairs of groups are intersected. Where a shingle is frequent, documents bring a sketch of their set: bits that differ are a
+   lower bound of shingles that differ, so most pairs of a large family whose members are too far from each other aren't made at all.
 4. Candidates are verified by full sets: the larger group's members in blocks, each against the members of all
    groups paired with it, in cells of about two times CELL documents, fewer where documents are long.
 5. Groups are the connected components of all links.
@@ -44,12 +45,15 @@ SLICE = 1_024
 LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 1 << 18, 1 << 23, 4096
 #: Text whose counters are summed in one group before the groups are summed.
 COUNTED_BYTES = 8 << 30
+#: Bits of a set's sketch, and the logarithm of the count from which a shingle asks for one; rarer ones make few pairs.
+SKETCH_BITS, FREQUENT = 256, 5
 #: Bits of the filter that tells which texts a join needs: a bound for what is broadcast; more ids only make it pass more.
 FILTER_BITS = 1 << 24
 
 _KEY_SEEDS = mix(np.arange(101, 101 + KEYS, dtype=np.uint64))
 _ORDER_SEEDS = mix(np.arange(201, 201 + ORDERS, dtype=np.uint64))
 _COUNTER_SEED = mix(np.arange(301, 302, dtype=np.uint64))[0]
+_SKETCH_SEED = mix(np.arange(401, 402, dtype=np.uint64))[0]
 
 
 def sets_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -226,20 +230,30 @@ def _links(texts: DataFrame, cells: DataFrame) -> DataFrame:
 
 # --- step 3: prefixes ------------------------------------------------------------------------------------
 
-_HEAD = [("group", "<i8"), ("n", "<u4"), *((f"c{j}", "<u2") for j in range(ORDERS))]
+_HEAD = [("group", "<i8"), ("n", "<u4"), ("sketched", "u1"), *((f"c{j}", "<u2") for j in range(ORDERS))]
 _ENTRY = [("token", "<u4"), ("place", "u1")]
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS classes of shingles, whether the set holds an odd number. Two sets differ in no fewer shingles than sketches in bits."""
+    return np.packbits(np.bincount((mix(s ^ _SKETCH_SEED) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches and this many shingles together can have 0.75: 7 times their difference is their sum at most."""
+    return 7 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= sizes
+
+
 def _prefixes(buckets: int, levels: np.ndarray):
     """Rows of (id, group, text) to packed prefix shingles of each bucket."""
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, entries, size = {}, {}, 0
+        heads, sketches, entries, size = {}, {}, {}, 0
 
         def packed():
             for b in heads:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.array(heads[b], _HEAD).tobytes()], pa.binary()), *(pa.array([b"".join(e)], pa.binary()) for e in entries[b])], names=["bucket", "heads", *(f"e{j}" for j in range(ORDERS))])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.array(heads[b], _HEAD).tobytes()], pa.binary()), pa.array([b"".join(sketches.get(b, []))], pa.binary()), *(pa.array([b"".join(e)], pa.binary()) for e in entries[b])], names=["bucket", "heads", "sketches", *(f"e{j}" for j in range(ORDERS))])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -252,12 +266,14 @@ def _prefixes(buckets: int, levels: np.ndarray):
                     p = n - -(-3 * n // 4) + 1
                     level = levels[_counter(s, len(levels))].astype(np.uint64) << np.uint64(58)
                     found: dict[int, list[bytes]] = {}
+                    frequent, sketch = set(), None
                     for j, seed in enumerate(_ORDER_SEEDS):
                         rank = level | (mix(s ^ seed) >> np.uint64(6))
                         first = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
                         first = first[np.argsort(rank[first])][:p]
                         token = mix(s[first] ^ _COUNTER_SEED)
                         bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                        frequent.update(np.unique(bucket[level[first] >= np.uint64(FREQUENT << 58)]).tolist())
                         entry = np.empty(p, _ENTRY)
                         entry["token"], entry["place"] = token & np.uint64(0xFFFFFFFF), np.arange(p) * 256 // p
                         order = np.argsort(bucket, kind="stable")
@@ -266,14 +282,17 @@ def _prefixes(buckets: int, levels: np.ndarray):
                             for x in range(a, b, 65_535):  # counts have 16 bits
                                 found.setdefault((int(bucket[order[a]]), (x - a) // 65_535), [b""] * ORDERS)[j] = entry[order[x : min(b, x + 65_535)]].tobytes()
                     for (b, _), each in found.items():
-                        heads.setdefault(b, []).append((group, n, *(len(e) // 5 for e in each)))
+                        heads.setdefault(b, []).append((group, n, b in frequent, *(len(e) // 5 for e in each)))
+                        if b in frequent:
+                            sketch = sketch or sketch_of(s)
+                            sketches.setdefault(b, []).append(sketch)
                         lists = entries.setdefault(b, [[] for _ in range(ORDERS)])
                         for lst, e in zip(lists, each, strict=True):
                             lst.append(e)
                 size += sum(map(len, texts))
                 if size > 16 << 20:
                     yield from packed()
-                    heads, entries, size = {}, {}, 0
+                    heads, sketches, entries, size = {}, {}, {}, 0
         yield from packed()
 
     return run
@@ -284,10 +303,12 @@ def _pairs(parts: int):
     def found(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = next(tables)
         head = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()])
+        sketches = np.frombuffer(b"".join(table.column("sketches").to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+        sketch = np.where(head["sketched"] > 0, np.cumsum(head["sketched"], dtype=np.int64) - 1, -1)
         for j in range(ORDERS):
             entry = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column(f"e{j}").to_pylist()])
             doc = np.repeat(np.arange(len(head)), head[f"c{j}"])
-            for pairs in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64)):
+            for pairs in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64), sketch[doc], sketches):
                 part = ((mix(pairs[:, 0].view(np.uint64)) ^ mix(mix(pairs[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
@@ -300,8 +321,10 @@ def _pairs(parts: int):
     return run
 
 
-def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of groups (smaller, larger) that share a token with lengths and places that allow a link, distinct ones of about PAIRS at a time."""
+def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of groups (smaller, larger) that share a token with lengths, places and sketches that allow a link, distinct ones of about PAIRS at a time.
+
+    sketch: the row of sketches of each entry's document, or -1. Where a group has several documents with a token, none is asked."""
     p = n - -(-3 * n // 4) + 1
     rest = n - place * p // 256  # shingles from this place on, or a few more
     # only tokens of two groups or more
@@ -314,15 +337,16 @@ def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.
         return
     inner = np.lexsort((group[order], token))
     order, token = order[inner], token[inner]
-    g, size, rest = group[order], n[order], rest[order]
+    g, size, rest, sketch = group[order], n[order], rest[order], sketch[order]
     new = np.ones(len(order), bool)
     new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
     at = np.flatnonzero(new)
     token, g = token[at], g[at]
+    sketch = np.where(np.diff(at, append=len(new)) == 1, sketch[at], -1)
     low, high, rest = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(rest, at)
     # within each token by size, so that the partners of each lie next to it
     order = np.lexsort((low, token))
-    token, g, low, high, rest = token[order], g[order], low[order], high[order], rest[order]
+    token, g, low, high, rest, sketch = token[order], g[order], low[order], high[order], rest[order], sketch[order]
     last = np.searchsorted(token, token, side="right")
     out, seen = [], 0
     step = 1
@@ -333,6 +357,9 @@ def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.
         other = alive + step
         fits = (4 * high[alive] >= 3 * low[other]) & (4 * high[other] >= 3 * low[alive])
         fits &= 7 * np.minimum(rest[alive], rest[other]) >= 3 * (low[alive] + low[other])
+        asked = np.flatnonzero(fits & (sketch[alive] >= 0) & (sketch[other] >= 0))
+        x, y = alive[asked], other[asked]
+        fits[asked] = may_link(sketches[sketch[x]], sketches[sketch[y]], low[x] + low[y])
         pair = np.stack([g[alive[fits]], g[other[fits]]], axis=1)
         if len(pair):
             pair.sort(axis=1)
@@ -403,7 +430,7 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     told = some.join(moved.withColumn("moved", F.lit(True)), "id", "left").where("moved IS NULL OR group IS NOT NULL").select("id", F.coalesce("group", "id").alias("group"), "text")
     prefixed = alone.select("id", F.col("id").alias("group"), "text").unionByName(told)
     buckets = max(1, -(-total // BUCKET_BYTES))
-    packed = prefixed.mapInArrow(_prefixes(buckets, levels), "bucket long, heads binary, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
+    packed = prefixed.mapInArrow(_prefixes(buckets, levels), "bucket long, heads binary, sketches binary, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
     pairs = packed.groupBy("bucket").applyInArrow(_pairs(buckets), "part long, ord int, pairs binary").groupBy("part").applyInArrow(_intersect, "g long, h long")
     pairs = stored(pairs, "pairs")
 
@@ -424,8 +451,8 @@ def _early_cells(alike: DataFrame) -> DataFrame:
     keyed = alike.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("j", "key"))
     several = keyed.groupBy("j", "key").agg(F.count("*").alias("c")).where("c > 1")
     common = stored(keyed.join(several, ["j", "key"]), "common")
-    known = common.groupBy("id").agg(F.sum("c").alias("known"))
-    leaders = common.join(known, "id").groupBy("j", "key").agg(F.max(F.struct("known", F.bitwise_not("id").alias("i")))["i"].alias("i"), F.max("c").alias("c")).select("j", "key", F.bitwise_not("i").alias("leader"), "c")
+    known = F.sum("c").over(Window.partitionBy("id"))  # of KEYS rows at most
+    leaders = common.withColumn("known", known).groupBy("j", "key").agg(F.max(F.struct("known", F.bitwise_not("id").alias("i")))["i"].alias("i"), F.max("c").alias("c")).select("j", "key", F.bitwise_not("i").alias("leader"), "c")
     parts = F.ceil(F.col("c") / SLICE)
     dealt = common.withColumn("slice", F.pmod(F.xxhash64("id"), parts)).drop("c")
     met = leaders.select("j", "key", "leader", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("slice"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,29 @@ def test_long_documents_and_hot_values_are_dealt_to_more_cells(spark, monkeypatc
     assert got == brute.groups(rows)
 
 
+def test_members_of_a_family_that_are_far_apart_make_no_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(x if k % 25 else f"{x}x{i}" for k, x in enumerate(base[j:] + base[:j]))) for i in range(150) for j in [r.randrange(200)]]
+    rows += [(i + 150, text + " more") for i, text in rows[:5]]  # and five that have a copy
+    made, cells = [], jaccard._late_cells
+    monkeypatch.setattr(jaccard, "_levels", lambda rows, counters, salts: np.full(counters, 6, np.uint8))  # as in large inputs, whose counters are full
+    monkeypatch.setattr(jaccard, "_early_cells", lambda alike: alike.select(F.col("rep").alias("big"), F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), F.col("rep").alias("id")).where("false"))
+    monkeypatch.setattr(jaccard, "_late_cells", lambda pairs, labelled: made.append(pairs.count()) or cells(pairs, labelled))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.groups(frame(spark, rows)).collect()}
+    assert got == brute.groups(rows)
+    assert 5 <= made[0] < 1_000  # of 11,935
+
+
+def test_sketches_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)  # all bring one
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 4_000)
+    monkeypatch.setattr(jaccard, "_early_cells", lambda alike: alike.select(F.col("rep").alias("big"), F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), F.col("rep").alias("id")).where("false"))
+    rows = copies(3, 640)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.groups(frame(spark, rows)).collect()}
+    assert got == brute.groups(rows)
+
+
 def test_cells_are_bounded_by_what_they_hold(spark):
     text = " ".join(f"w{i}" for i in range(60_000))
     rows = [(i, text + f" {i}" * (i + 1)) for i in range(40)]
