@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import text
+from ..functions.patents import let, once
 
 #: The fields of a brief and the least and most items of its lists, in the order of the text.
 SENTENCES = ("one_line_summary", "problem", "core_idea", "expected_effect")
@@ -16,13 +17,14 @@ def _sentence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+@once
 def brief(raw: Column) -> Column:
     """A brief with sentences squeezed and lists cut; a list with too few items is empty."""
 
     def listed(name: str) -> Column:
         least, most = LISTS[name]
         items = F.slice(F.filter(F.transform(F.coalesce(raw[name], F.array().cast("array<string>")), _sentence), lambda x: x != ""), 1, most)
-        return F.when(F.size(items) >= least, items).otherwise(F.array().cast("array<string>"))
+        return let(items, lambda x: F.when(F.size(x) >= least, x).otherwise(F.array().cast("array<string>")))
 
     names = ("one_line_summary", "problem", "core_idea", "key_components", "operation_steps", "expected_effect")
     return F.struct(*((listed(n) if n in LISTS else _sentence(raw[n])).alias(n) for n in names))

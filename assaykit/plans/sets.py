@@ -53,8 +53,9 @@ def summary_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.transform("lines", lambda x: F.concat(F.lit(" part\n"), x["l_partkey"].cast("string")))
     steps = F.transform("lines", lambda x: F.concat(F.lit("by  "), x["l_suppkey"].cast("string")))
     reply = F.to_json(F.struct(F.concat(F.lit("Order\t"), F.col("l_orderkey").cast("string")).alias("one_line_summary"), F.lit(" why ").alias("problem"), F.lit("how  it works").alias("core_idea"), parts.alias("key_components"), steps.alias("operation_steps"), F.lit("gain").alias("expected_effect")))
-    rows = held.select("l_orderkey", briefs.brief(F.from_json(reply, briefs.BRIEF)).alias("b"))
-    return rows.select("l_orderkey", F.concat_ws(",", briefs.missing(F.col("b"))).alias("missing"), F.sha2(briefs.markdown(F.col("b")), 256).alias("markdown_sha256"))
+    told = lambda b: F.struct(F.concat_ws(",", briefs.missing(b)).alias("missing"), F.sha2(briefs.markdown(b), 256).alias("markdown_sha256"))
+    rows = held.select("l_orderkey", F.inline(F.transform(F.array(briefs.brief(F.from_json(reply, briefs.BRIEF))), told)))
+    return rows.select("l_orderkey", "missing", "markdown_sha256")
 
 
 @query("""WITH f AS (SELECT c_nationkey, c_mktsegment AS q, min(c_custkey) AS o FROM customer GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY o) AS n FROM f),

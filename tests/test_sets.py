@@ -9,8 +9,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit import plans
 from assaykit.functions import vectors
-from assaykit.operators import briefs, evidence_sets
+from assaykit.operators import briefs, evidence_sets, walks
 from assaykit.sources import vector_store
 from assaykit.sources.vector_store import VectorStore
 
@@ -110,3 +111,11 @@ def test_briefs_are_checked_and_laid_out(spark):
     assert got[1]["text"] == "# 특허 이해 요약\n\n## 한 줄 요약\n\none line\n\n## 해결하려는 문제\n\np\n\n## 핵심 아이디어\n\nc\n\n## 주요 기술/구성\n\n- a\n- b\n- c\n- d\n- e\n- f\n\n## 작동 방식 3단계\n\n1. 1\n2. 2\n3. 3\n\n## 기대 효과\n\ne"
     table = spark.createDataFrame([("x|y\nz", None)], "a string, b string").select(briefs.table({"A": F.col("a"), "B": F.col("b")})).first()[0]
     assert table == "| 항목 | 내용 |\n|---|---|\n| A | x\\|y z |\n| B | - |"
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_briefs_read_a_reply_once(spark, small):
+    assert plans.QUERIES["summary_briefs"](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
