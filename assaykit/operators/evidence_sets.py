@@ -20,9 +20,11 @@ def samples(evidence: DataFrame, by: str, order: str, cited: Column, most: int =
 
 
 def identifiers(rows: DataFrame, by: str, order: str, fields: list[str]) -> DataFrame:
-    """by, identifiers: the distinct non-blank values of some fields, row after row and field after field, in the order in which they first come."""
+    """by, identifiers: the distinct non-blank values of some fields, row after row and field after field, in the order in which they first come.
+
+    Rows are dealt by target before their values are rows of their own, so each travels once and both groupings need nothing else."""
     values = F.array(*(F.struct(F.lit(i).alias("field"), text.present(F.trim(F.col(f).cast("string"))).alias("value")) for i, f in enumerate(fields)))
-    every = rows.select(by, order, F.inline(values)).where("value IS NOT NULL")
+    every = rows.select(by, order, *(f for f in fields if f not in (by, order))).repartition(by).select(by, order, F.inline(values)).where("value IS NOT NULL")
     first = every.groupBy(by, "value").agg(F.min(F.struct(order, "field")).alias("at"))
     return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("identifiers"))
 

@@ -119,3 +119,14 @@ def planned(df) -> str:
 
 def test_summary_briefs_read_a_reply_once(spark, small):
     assert plans.QUERIES["summary_briefs"](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_identifiers_are_dealt_once(spark, small):
+    assert planned(plans.QUERIES["reference_identifiers"](spark, small)).count("Exchange hashpartitioning") == 1
+
+
+def test_identifiers_of_rows_with_one_order(spark):
+    rows = spark.createDataFrame([("t", 1, "b", "a"), ("t", 1, "a", "c"), ("t", 0, "c", " "), (None, 2, "x", None), ("u", 3, None, "")], "t string, o int, f string, g string")
+    got = {r["t"]: r["identifiers"] for r in evidence_sets.identifiers(rows, "t", "o", ["f", "g"]).collect()}
+    assert got == {"t": ["c", "a", "b"], None: ["x"]}
+    assert {r["t"]: r["identifiers"] for r in evidence_sets.identifiers(rows, "t", "f", ["f", "t"]).collect()} == {"t": ["a", "t", "b", "c"], None: ["x"], "u": ["u"]}
