@@ -1,12 +1,14 @@
 """Walking ranked candidates until enough of them succeed, with further sources for the failures.
 
 A lookup is a join with a landed table. Which candidates a walk would have tried follows from counts of successes before each row, so
-rounds are windows within groups, one for each source, and nothing is tried row by row. Only candidates that are tried are looked up in
-a later source.
+rounds are windows within groups, one for each source, and nothing is tried row by row. Sources meet by key first, so candidates are
+dealt by key once for all of them and by group once for all rounds; what a round doesn't try, it doesn't see.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
@@ -22,15 +24,18 @@ def ranked_candidates(citations: DataFrame, mentioned: DataFrame, group: str, ho
     home = F.lit(home) if isinstance(home, str) else home
     flag = lambda c: F.coalesce(c, F.lit(False))
     kind, country = F.upper(F.coalesce("kind_code", F.lit(""))), F.upper(F.coalesce("country_code", F.lit("")))
-    rank = F.struct(F.lit(0).alias("origin"), (~flag(F.col("is_standardized"))).alias("a"), (~kind.startswith("B")).alias("b"), (~flag(country == F.upper(home))).alias("c"), F.lit(0).cast("long").alias("position"))
-    cited = citations.select(group, text.present(F.trim("display_number")).alias("display_number"), F.lit("citation").alias("origin"), "country_code", "kind_code", rank.alias("_rank"))
-    last = F.struct(F.lit(1).alias("origin"), F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(False).alias("c"), F.col("position").cast("long").alias("position"))
+    # one number for the class: mentioned ones from 8 on
+    worse = lambda c, n: F.when(c, 0).otherwise(n)
+    rank = worse(flag(F.col("is_standardized")), 4) + worse(kind.startswith("B"), 2) + worse(flag(country == F.upper(home)), 1)
+    cited = citations.select(group, text.present(F.trim("display_number")).alias("display_number"), "country_code", "kind_code", rank.alias("_class"), F.lit(0).cast("long").alias("_position"))
     number = text.present(F.trim("display_number"))
-    said = mentioned.select(group, number.alias("display_number"), F.lit("mentioned").alias("origin"), F.upper(F.substring(number, 1, 2)).alias("country_code"), F.lit(None).cast("string").alias("kind_code"), last.alias("_rank"))
-    every = cited.unionByName(said).where("display_number IS NOT NULL")
-    first = every.groupBy(group, "display_number").agg(F.min(F.struct("_rank", "origin", "country_code", "kind_code")).alias("_first"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_first._rank", "display_number"))
-    return first.select(group, "display_number", "_first.origin", "_first.country_code", "_first.kind_code", place.alias("place"))
+    said = mentioned.select(group, number.alias("display_number"), F.upper(F.substring(number, 1, 2)).alias("country_code"), F.lit(None).cast("string").alias("kind_code"), F.lit(8).alias("_class"), F.col("position").cast("long").alias("_position"))
+    # dealt by group once: that is enough for the distinct numbers, their places and a walk's first window
+    every = cited.unionByName(said).where("display_number IS NOT NULL").repartition(group)
+    first = every.groupBy(group, "display_number").agg(F.min(F.struct("_class", "_position", "country_code", "kind_code")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_first._class", "_first._position", "display_number"))
+    origin = F.when(F.col("_first._class") < 8, "citation").otherwise("mentioned")
+    return first.select(group, "display_number", origin.alias("origin"), "_first.country_code", "_first.kind_code", place.alias("place"))
 
 
 def until_enough(candidates: DataFrame, group: str, key: str, sources: list[tuple[str, DataFrame]], *, place: str = "place", value: str = "text", goal: int = 3, most: int = 15) -> DataFrame:
@@ -44,13 +49,16 @@ def until_enough(candidates: DataFrame, group: str, key: str, sources: list[tupl
     whole = Window.partitionBy(group)
     cap = max(most, goal)
     out = candidates.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= cap).drop("_n")
-    out = out.withColumns({"_value": F.lit(None).cast("string"), "found_in": F.lit(None).cast("string"), "tried": F.array().cast("array<string>"), "_open": F.lit(True)})
-    for i, (name, source) in enumerate(sources):
-        known = source.select(F.col(key).cast("string").alias("_key"), text.present(F.col(value)).alias("_new")).where("_new IS NOT NULL").groupBy("_key").agg(F.min("_new").alias("_new"))
-        wanted = F.col("_value").isNull() & F.col("_open")
-        # rows that ask for nothing meet nothing; each has a key of its own, since nulls would all be dealt to one task
+    said = [source.select(F.col(key).cast("string").alias("_key"), F.lit(i).alias("_i"), text.present(F.col(value)).alias("_new")).where("_key IS NOT NULL AND _new IS NOT NULL") for i, (_, source) in enumerate(sources)]
+    if said:
+        known = reduce(DataFrame.unionByName, said).groupBy("_key").agg(*(F.min(F.when(F.col("_i") == i, F.col("_new"))).alias(f"_new{i}") for i in range(len(said))))
+        # rows without a key meet nothing; each has one of its own, since nulls would all be dealt to one task
         spread = F.concat(F.lit("\x00"), F.xxhash64(group, place).cast("string"))
-        out = out.withColumn("_ask", F.when(wanted, F.col(key).cast("string")).otherwise(spread)).join(known, F.col("_ask") == F.col("_key"), "left").drop("_key", "_ask")
+        out = out.withColumn("_ask", F.coalesce(F.col(key).cast("string"), spread)).join(known, F.col("_ask") == F.col("_key"), "left").drop("_key", "_ask")
+    out = out.withColumns({"_value": F.lit(None).cast("string"), "found_in": F.lit(None).cast("string"), "tried": F.array().cast("array<string>")})
+    for i, (name, _) in enumerate(sources):
+        out = out.withColumnRenamed(f"_new{i}", "_new")
+        wanted = F.col("_value").isNull()
         had = F.sum(F.when(F.col("_value").isNotNull(), 1).otherwise(0)).over(whole)
         now = F.sum(F.when(wanted & F.col("_new").isNotNull(), 1).otherwise(0)).over(before)
         out = out.withColumn("_tries", wanted & (had + F.coalesce(now, F.lit(0)) < goal))
@@ -58,7 +66,7 @@ def until_enough(candidates: DataFrame, group: str, key: str, sources: list[tupl
         out = out.withColumns({"_value": F.when(found, F.col("_new")).otherwise(F.col("_value")), "found_in": F.when(found, F.lit(name)).otherwise(F.col("found_in")), "tried": F.when(F.col("_tries"), F.array_append("tried", F.lit(name))).otherwise(F.col("tried"))})
         # what the first source doesn't reach is never tried; of later ones, all that failed stay open
         out = (out.where("_tries") if i == 0 else out).drop("_new", "_tries")
-    return out.withColumnRenamed("_value", value).drop("_open")
+    return out.withColumnRenamed("_value", value)
 
 
 def summary(walked: DataFrame, candidates: DataFrame, group: str, goal: int = 3) -> DataFrame:

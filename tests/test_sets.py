@@ -130,3 +130,16 @@ def test_identifiers_of_rows_with_one_order(spark):
     got = {r["t"]: r["identifiers"] for r in evidence_sets.identifiers(rows, "t", "o", ["f", "g"]).collect()}
     assert got == {"t": ["c", "a", "b"], None: ["x"]}
     assert {r["t"]: r["identifiers"] for r in evidence_sets.identifiers(rows, "t", "f", ["f", "t"]).collect()} == {"t": ["a", "t", "b", "c"], None: ["x"], "u": ["u"]}
+
+
+def test_a_walk_deals_its_candidates_by_group_and_by_key_once(spark, small):
+    assert planned(plans.QUERIES["prior_art_walk"](spark, small)).count("Exchange hashpartitioning") <= 4  # by group, by key, what is known, by group
+
+
+def test_a_walk_with_null_keys_and_no_sources(spark):
+    rows = spark.createDataFrame([(1, None, 1), (1, "a", 2), (1, "b", 3), (1, "c", 4), (2, None, 1)], "g int, k string, place int")
+    first = spark.createDataFrame([("b", " "), ("a", "y"), ("a", "x"), (None, "z")], "k string, text string")
+    second = spark.createDataFrame([("b", "w"), ("a", "v"), ("c", "u")], "k string, text string")
+    walk = lambda sources: sorted((r["g"], r["place"], r["text"], r["found_in"], list(r["tried"])) for r in walks.until_enough(rows, "g", "k", sources, goal=2).collect())
+    assert walk([("one", first), ("two", second)]) == [(1, 1, None, None, ["one", "two"]), (1, 2, "x", "one", ["one"]), (1, 3, "w", "two", ["one", "two"]), (1, 4, None, None, ["one"]), (2, 1, None, None, ["one", "two"])]
+    assert [r[2:] for r in walk([])] == [(None, None, [])] * 5
