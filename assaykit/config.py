@@ -18,6 +18,11 @@ DOCUMENT_INDICATORS = {
     "control_mentions": r"제어|피드백|상태|동기화|control|feedback|state|synchroni[sz]|制御|控制|反馈",
     "step_reference_mentions": r"\bS\d{2,4}\b|단계|step\s*\d+|ステップ|步骤",
 }
+#: The characters that each indicator can begin with, in one case.
+INDICATOR_STARTS = {
+    "embodiment_mentions": "실e実实具", "figure_mentions": "도f図附", "formula_mentions": "수산ef式公", "parameter_mentions": "파매임가ptw閾参阈", "data_structure_mentions": "데테리배행벡그dtlamvg",
+    "input_output_mentions": "입출io入出输", "condition_branch_mentions": "조분경이반cbiwl条分", "control_mentions": "제피상동cfs制控反", "step_reference_mentions": "s단ス步",
+}
 TECHNOLOGY_CANDIDATES = {
     "configuration_operation_differentiation": (0, 10, 20, 30),
     "effect_differentiation": (0, 6, 12, 18),

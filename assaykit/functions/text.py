@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..config import DOCUMENT_INDICATORS, NEWS_STOPWORDS
+from ..config import DOCUMENT_INDICATORS, INDICATOR_STARTS, NEWS_STOPWORDS
 from .patents import let
 
 TOKEN = "[0-9a-zA-Z가-힣]{2,}"
@@ -108,9 +108,10 @@ def word_hits_in(low: Column, words: list[str] | tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [one(w.lower()).cast("int") for w in words], F.lit(0))
 
 
-def indicators(text: Column, patterns: dict[str, str] | None = None) -> dict[str, Column]:
-    """How often each pattern occurs, whatever the case."""
-    return {name: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?iu){p}")) for name, p in (patterns or DOCUMENT_INDICATORS).items()}
+def indicators(text: Column, patterns: dict[str, str] | None = None, starts: dict[str, str] | None = None) -> dict[str, Column]:
+    """How often each pattern occurs, whatever the case. starts: the characters that a match can begin with, where known; elsewhere no alternative is tried."""
+    first = {n: f"(?=[{c}])" for n, c in (starts or ({} if patterns else INDICATOR_STARTS)).items()}
+    return {name: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?iu){first.get(name, '')}(?:{p})")) for name, p in (patterns or DOCUMENT_INDICATORS).items()}
 
 
 def url_normal(c: Column) -> Column:

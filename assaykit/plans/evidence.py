@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import DOCUMENT_INDICATORS, INDUSTRY_KEYWORDS
+from ..config import DOCUMENT_INDICATORS, INDICATOR_STARTS, INDUSTRY_KEYWORDS
 from ..functions import text
 from ..operators import aggregates, dedupe, documents, filters, matching, model, neighbours, ranking
 from ..sources.tables import table
@@ -187,7 +187,7 @@ def indicator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine indicators with their whole patterns; word edges, digits and spaces are Unicode's, as in the reference, so there is no SQL twin."""
     patterns = {n: f"(?U){p}" for n, p in DOCUMENT_INDICATORS.items()}
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.indicators(F.col("text"), patterns).items()))
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.indicators(F.col("text"), patterns, INDICATOR_STARTS).items()))
 
 
 def _hits_sql(words: tuple[str, ...]) -> str:

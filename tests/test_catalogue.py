@@ -178,3 +178,15 @@ def test_claims_and_covers_are_computed_once_and_only_what_is_selected(spark, sm
     assert "特開" not in plan("cover_page_fields")  # prior art is not selected
     for name in ("korean_claim_rows", "foreign_claim_rows"):
         assert ", true, [c#" in plan(name)  # an outer generator, of which no filter on its size is inferred
+
+
+def test_indicators_say_how_they_begin(spark, small):
+    import re
+
+    from assaykit.config import DOCUMENT_INDICATORS, INDICATOR_STARTS
+
+    assert set(INDICATOR_STARTS) == set(DOCUMENT_INDICATORS)
+    for name, pattern in DOCUMENT_INDICATORS.items():
+        heads = re.split(r"\|", pattern)
+        assert {re.sub(r"^(?:\\b|\(\?:)+", "", h)[0].lower() for h in heads} <= set(INDICATOR_STARTS[name])
+    assert plans.QUERIES["document_indicators"](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("(?=[") == len(DOCUMENT_INDICATORS)
