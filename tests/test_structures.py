@@ -298,6 +298,20 @@ def test_plain_pages_are_read_alike_and_once(spark, monkeypatch):
     assert refs._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_plain_pages_need_no_tree(monkeypatch):
+    bits = ["<div class='claim claim-text' num=3>", "<div class='claim' num=12>", "<div class=claim-text>", "<div class=abstract>", "<p itemprop=description>", "</div>", "</p>", "<tr itemprop=forwardReferences>", "<tr itemprop='backwardReferencesOrig'>", "<td itemprop=examinerCited>", "<meta itemprop=title>", "<span itemprop=publicationNumber>", "</span>", "<table>", "</table>", "<h3>", "</h3>", "<img itemprop=thumbnail src=a.png>", "<meta name=dc.description content=D>", "<a href=x>", "a &amp; b", " &lt;&amp;amp; ", "c > d"]
+    r = random.Random(5)
+    pages = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(4_000)]
+    pages += ["<div class=claim num=1>" * 400 + "<div class=claim-text>deep" + "</div>" * 200 + "<div class=claim-text>later", "<h2>a</x>b</h2><h2>c<b></b>d</h2>"]
+    trees = [archive_pages._parts(p + "<!-- -->") for p in pages]
+    monkeypatch.setattr(archive_pages, "_Tree", None)
+    assert [archive_pages._parts(p) for p in pages] == trees
+    monkeypatch.setattr(archive_pages, "_KNOWN_MOST", 8)
+    monkeypatch.setattr(archive_pages, "_KNOWN_OF_A_PAGE", 1_000)
+    assert [archive_pages._parts(p) for p in pages] == trees
+    assert archive_pages._plain("<b>" * 2_000) is None and archive_pages._parts("<h2>x</h2>")[6] == ["x"]
+
+
 # --- merged structures ----------------------------------------------------------------------------
 
 
