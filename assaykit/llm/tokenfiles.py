@@ -20,12 +20,13 @@ Writing is idempotent: a task writes beside the final name and renames, so a los
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ NULL_ID = -(1 << 63)
 MAGIC = b"TKF1"
 #: Distinct words whose ids a task remembers (speed only).
 CACHE = 500_000
+#: Signs at the end of words that are encoded by themselves (speed only).
+SIGNS = ".,!?:;#$%&*"
 #: Ids that end a file, and text for one range at most on average.
 FILE_IDS, RANGE_BYTES = 1 << 23, 128 << 20
 
@@ -162,6 +165,17 @@ def cuts_words(definition: dict) -> tuple[bool, bool]:
     return by_word, by_word and split and any(n["type"] == "Lowercase" for n in normal)
 
 
+def _kept(memory: dict, seen: Iterable) -> dict:
+    """What is remembered of what comes again: frequent words needn't be learnt anew."""
+    return {x: memory[x] for x in seen if x in memory}
+
+
+def _list(array: pa.Array) -> list:
+    """Texts or bytes without line ends as a list; to_pylist makes an object of Arrow's for each."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array), pa.scalar("\n", array.type))[0].as_py()
+    return joined.split("\n" if isinstance(joined, str) else b"\n") if len(array) else []
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, remembered by word.
 
@@ -173,10 +187,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.by_word, self.by_stem = cuts_words(json.loads(definition))
+        self.tokenizer = self.plain = Tokenizer.from_str(definition)
+        told = json.loads(definition)
+        self.by_word, self.by_stem = cuts_words(told)
+        #: signs at a word's end that the library cuts from letters, all together; none that a token of its own may hold
+        self.signs = "".join(c for c in SIGNS if not any(c in t["content"] for t in told.get("added_tokens") or []))
+        if self.by_stem:  # normalising leaves lower-case ASCII letters as they are, and white space alone cuts them: the same model without both
+            rest = _steps(told["pre_tokenizer"], "pretokenizers")[1:]
+            self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
         #: by id: whether a token ends a word; then words of letters alone can be encoded many at a time and told apart
-        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        suffix = told["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix and self.by_word:
@@ -188,40 +208,49 @@ class WordTokenizer:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))  # words of no bytes at a text's ends have no ids
+        coded = lists.flatten().dictionary_encode()
+        words = _list(coded.dictionary.cast(pa.binary()))
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        words = [x.split() for x in texts]  # bytes: ASCII white space only
-        self._learn(set().union(*words).difference(self.cache))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in words]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Many new words differ only by case or by a full stop or comma at their end: those are encoded once.
+            self.cache = _kept(self.cache, words)
+        self._learn([x for x in words if x not in self.cache])
+        known = list(map(self.cache.__getitem__, words))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        of = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[of])])  # in the ids of all texts, by word
+        first = (np.cumsum(sizes) - sizes)[of] - ends[:-1]
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first, sizes[of]) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Many new words differ only by case or by signs at their end: those are encoded once.
 
         Safe where the library cuts letters from what follows them and lowers ASCII letters (checked)."""
-        words = list(new)
         whole = pa.array(words, pa.binary()).cast(pa.string())
         ends: dict[int, str] = {}
         if self.by_stem and words:
             ascii_ = pc.string_is_ascii(whole)
-            bare = pc.utf8_rtrim(whole, ".,")
+            bare = pc.utf8_rtrim(whole, self.signs) if self.signs else whole
             cut = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(whole)), pc.match_substring_regex(bare, "[A-Za-z]$"))
-            stems = pc.if_else(ascii_, pc.ascii_lower(pc.if_else(cut, bare, whole)), whole).to_pylist()
+            stems = _list(pc.if_else(ascii_, pc.ascii_lower(pc.if_else(cut, bare, whole)), whole))
             for i in pc.indices_nonzero(pc.and_(ascii_, cut)).to_pylist():
                 ends[i] = words[i][len(stems[i]) :].decode()
             for i in pc.indices_nonzero(pc.invert(ascii_)).to_pylist():
-                stem = stems[i].rstrip(".,")
+                stem = stems[i].rstrip(self.signs)
                 if stem != stems[i] and stem and unicodedata.normalize("NFC", stem).lower()[-1].isalpha():
                     ends[i] = stems[i][len(stem) :]
                     stems[i] = stem.lower() if stem.isascii() else stem
         else:
-            stems = whole.to_pylist()
+            stems = _list(whole)
+        seen = set(stems).union(ends.values())
         if len(self.stems) > CACHE:
-            self.stems.clear()
-        rest = list(set(stems).union(ends.values()).difference(self.stems))
+            self.stems = _kept(self.stems, seen)
+        rest = list(seen.difference(self.stems))
         if self.ends.any():
             letters = [y for y in rest if y.isalpha()]
-            self._learn_letters(letters)
+            self._learn_letters([y for y in letters if not y.isascii()], self.tokenizer)
+            self._learn_letters([y for y in letters if y.isascii()], self.plain)
             rest = [y for y in rest if y not in self.stems]
         for i in range(0, len(rest), 4096):
             for y, e in zip(rest[i : i + 4096], self.tokenizer.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False), strict=True):
@@ -230,11 +259,11 @@ class WordTokenizer:
         for i, end in ends.items():
             self.cache[words[i]] += self.stems[end]
 
-    def _learn_letters(self, stems: list[str], together: int = 64) -> None:
+    def _learn_letters(self, stems: list[str], tokenizer, together: int = 64) -> None:
         """Words of letters alone, joined by spaces: each has one token that ends a word. Where the count says otherwise, nothing is learnt."""
         groups = [stems[i : i + together] for i in range(0, len(stems), together)]
         for i in range(0, len(groups), 64):
-            for group, e in zip(groups[i : i + 64], self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[i : i + 64]], add_special_tokens=False), strict=True):
+            for group, e in zip(groups[i : i + 64], tokenizer.encode_batch_fast([" ".join(g) for g in groups[i : i + 64]], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
                 if len(cuts) == len(group):

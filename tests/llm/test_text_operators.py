@@ -275,6 +275,25 @@ def test_token_files_equal_the_library(spark, small, texts):
         assert tokenizer.encode([x.encode()])[0] == np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_words_are_learnt_once(monkeypatch):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    ids = lambda x: np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    tokenizer = tokenfiles.WordTokenizer(Path(p.path("word_bpe_49k.json")).read_text())
+    signs = ["", ".", ",", "!!", "&&&", ",***", "%%%", "###", "$$$", ":;?", "'s", "'.", "<", "|>", "<|endoftext|>", "<|endoftext|>!", "<|endoftext|>.,"]
+    stems = ["Market", "market", "\u00e9cole", "\u00c9cole", "e\u0301cole", "H\u0331", "stra\u00dfe", "<|endoftext", "12", "a1", "\u6f22\u5b57", "\u03a3\u039f\u03a3", "na\u00efve", "x\u0338", "=\u0338", "\u1e9e"]
+    texts = [f"{x}{y}{z}" for x in stems for y in signs for z in ("", " ", "\x1c", "\x85", "\xa0x", "\u3000", "\x00", "\x0b\x0c")] + ["", " \t\n\x0b\x0c\r ", " lead", "trail ", "a  b"]
+    assert tokenizer.encode([x.encode() for x in texts]) == [ids(x) for x in texts]
+    assert "market" in tokenizer.stems and not {"market!!", "market&&&", "market,***", "Market"} & set(tokenizer.stems)
+    monkeypatch.setattr(tokenfiles, "CACHE", 1)
+    learnt = []
+    monkeypatch.setattr(tokenizer, "_learn", lambda words, f=tokenizer._learn: learnt.extend(words) or f(words))
+    assert tokenizer.encode([b"market quite&&&new"]) == [ids("market quite&&&new")] and learnt == [b"quite&&&new"] and len(tokenizer.cache) == 2
+    assert tokenizer.encode([]) == [] and tokenizer.encode([b""]) == [b""]
+
+
 def test_token_files_of_odd_tables(spark, repeated, none):
     import public_tokenizers as p
 
