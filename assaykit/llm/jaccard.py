@@ -9,8 +9,10 @@ Exact, without pairs of all copies and without caps:
 3. Multiple-global-order filtering: under any order of all shingles, two documents that link share one of the first
    n - ceil(0.75 n) + 1 of each. ORDERS orders are used, all rare before frequent by a table of hashed counts that grows with the
    input up to MOST_COUNTERS (which only decides speed), then each by a hash of its own. Groups of step 2 that share such a shingle under every order, with fitting lengths and places, are candidates; the
-   orders' pairs of groups are intersected. Where a shingle is frequent, documents bring a sketch of their set: bits that differ are a
-   lower bound of shingles that differ, so most pairs of a large family whose members are too far from each other aren't made at all.
+   orders' pairs of groups are intersected. A shingle of more than FREQUENT groups is set aside, and these meet again with sketches of
+   their sets: bits that differ are a lower bound of shingles that differ, so most pairs of a large family whose members are too far
+   from each other aren't made at all. An entry of a shingle has what it needs in itself, so it costs as much however many buckets
+   there are.
 4. Candidates are verified by full sets: the larger group's members in blocks, each against the members of all
    groups paired with it, in cells of about two times CELL documents, fewer where documents are long.
 5. Groups are the connected components of all links.
@@ -45,8 +47,8 @@ SLICE = 1_024
 LEAST_COUNTERS, MOST_COUNTERS, CHUNK = 1 << 18, 1 << 23, 4096
 #: Text whose counters are summed in one group before the groups are summed.
 COUNTED_BYTES = 8 << 30
-#: Bits of a set's sketch, and the logarithm of the count from which a shingle asks for one; rarer ones make few pairs.
-SKETCH_BITS, FREQUENT = 256, 5
+#: Bits of a set's sketch, and the groups that may share a shingle before their sketches are asked: so many make few pairs.
+SKETCH_BITS, FREQUENT = 1024, 32
 #: Bits of the filter that tells which texts a join needs: a bound for what is broadcast; more ids only make it pass more.
 FILTER_BITS = 1 << 24
 
@@ -84,14 +86,14 @@ def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
 
 # --- step 1: one row for each document, and the counters of each task ----------------------------------
 
-_FEATURES = "id long, n long, s1 long, s2 long, keys array<long>, chunk int, salt int, counts binary"
+_FEATURES = "id long, n long, s1 long, s2 long, keys array<long>, sketch array<long>, chunk int, salt int, counts binary"
 
 
 def _features(counters: int = 0, salts: int = 1):
     """Rows of (id, text) to their features; with counters, each task adds its own in chunks that hold any."""
 
     def batch_of(size, **columns):
-        kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "chunk": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
+        kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64()), "chunk": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items()], names=list(kinds))
 
     @thrifty
@@ -109,37 +111,43 @@ def _features(counters: int = 0, salts: int = 1):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = sets_of(utf8(part.column(1)))
-                n, s1, s2, keys = [], [], [], []
+                n, s1, s2, keys, sketch = [], [], [], [], []
                 for s in sets:
                     n.append(len(s))
                     mixed = mix(s)
                     s1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
                     s2.append(int(mix(mixed).sum(dtype=np.uint64).view(np.int64)))
                     keys.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _KEY_SEEDS] if len(s) else [])
+                    sketch.append(sketch_of(s).tolist())
                 if counters:
                     waiting.append(_counter(np.concatenate(sets), counters))
                     held += len(waiting[-1])
                     if held >= 1 << 20:
                         add()
                         held = 0
-                yield batch_of(len(sets), id=part.column(0), n=n, s1=s1, s2=s2, keys=keys)
+                yield batch_of(len(sets), id=part.column(0), n=n, s1=s1, s2=s2, keys=keys, sketch=sketch)
         add()
         chunks = total.reshape(-1, CHUNK)
         some = np.flatnonzero(chunks.any(axis=1)).tolist()
         salt = TaskContext.get().partitionId() % salts
         for i in range(0, len(some), 64):
             own = some[i : i + 64]
-            yield batch_of(len(own), chunk=own, salt=[salt] * len(own), counts=[chunks[k].astype("<i8").tobytes() for k in own])
+            yield batch_of(len(own), chunk=own, salt=[salt] * len(own), counts=[_packed_counts(chunks[k]) for k in own])
 
     return run
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """In the fewest bytes that hold the largest: most tasks count less than 256 of a shingle."""
+    return counts.astype(f"<u{next(k for k in (1, 2, 4, 8) if int(counts.max()) < 256**k)}").tobytes()
+
+
 def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CHUNK, np.int64)
     for batch in batches:
         for x in batch.column("counts").to_pylist():
-            total += np.frombuffer(x, "<i8")
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x, f"<u{len(x) // CHUNK}").astype(np.int64)
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_packed_counts(total)], pa.binary())})
 
 
 def _levels(rows: DataFrame, counters: int, salts: int) -> np.ndarray:
@@ -149,7 +157,8 @@ def _levels(rows: DataFrame, counters: int, salts: int) -> np.ndarray:
 
     def level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sum_counts(key, batches):
-            counts = np.frombuffer(batch.column("counts")[0].as_py(), "<i8")
+            packed = batch.column("counts")[0].as_py()
+            counts = np.frombuffer(packed, f"<u{len(packed) // CHUNK}")
             yield pa.RecordBatch.from_pydict({"chunk": batch.column("chunk"), "levels": pa.array([np.log2(counts + 1.0).astype(np.uint8).tobytes()], pa.binary())})
 
     levels = np.zeros(counters, np.uint8)
@@ -177,6 +186,12 @@ def _passing(texts: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(hit).drop("_word", "_bits"), marked.where(~hit).drop("_word", "_bits")
 
 
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is none of the ids; only rows that the filter can't tell from these travel."""
+    some, others = _passing(rows, _filter(ids))
+    return others.unionByName(some.join(ids, "id", "left_anti"))
+
+
 @thrifty
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (big, cell, side, id, text) by cell, then side: links of left documents with right ones; a left one needs one link a cell."""
@@ -230,30 +245,65 @@ def _links(texts: DataFrame, cells: DataFrame) -> DataFrame:
 
 # --- step 3: prefixes ------------------------------------------------------------------------------------
 
-_HEAD = [("group", "<i8"), ("n", "<u4"), ("sketched", "u1"), *((f"c{j}", "<u2") for j in range(ORDERS))]
-_ENTRY = [("token", "<u4"), ("place", "u1")]
+#: An entry of a prefix: 14 bytes before compression. Groups are differences, and their bytes lie apart, so that near ones are mostly zeros.
+_ENTRY_BYTES, PLACES = 14, 128
+#: Sizes of sets travel as eighths of their binary logarithm: the least and the largest size of each.
+_EDGES = np.ceil(2.0 ** (np.arange(257) / 8)).astype(np.int64)
+_LOWEST, _HIGHEST = _EDGES[:-1], np.maximum(_EDGES[1:] - 1, _EDGES[:-1])
+
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """For each class of shingles, whether the set holds an odd number. Two sets differ in no fewer shingles than sketches in bits.
 
-def sketch_of(s: np.ndarray) -> bytes:
-    """For each of SKETCH_BITS classes of shingles, whether the set holds an odd number. Two sets differ in no fewer shingles than sketches in bits."""
-    return np.packbits(np.bincount((mix(s ^ _SKETCH_SEED) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).tobytes()
+    There are SKETCH_BITS classes, twice as many for each doubling of a set of more than two times these."""
+    bits = SKETCH_BITS
+    while 2 * bits < len(s):
+        bits *= 2
+    return np.packbits(np.bincount((mix(s ^ _SKETCH_SEED) % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).view("<i8")
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer classes."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether sets with these sketches and this many shingles together can have 0.75: 7 times their difference is their sum at most."""
-    return 7 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= sizes
+    return 7 * np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64) <= sizes  # of signed ones it would count the absolute value's
+
+
+def _pack(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray) -> bytes:
+    step = np.diff(group, prepend=np.int64(0))
+    return token.astype("<u4").tobytes() + step.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + size.tobytes() + place.tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = len(data) // _ENTRY_BYTES
+    raw = np.frombuffer(data, np.uint8)
+    step = np.ascontiguousarray(raw[4 * k : 12 * k].reshape(8, k).T).view("<i8").ravel()
+    return raw[: 4 * k].view("<u4"), np.cumsum(step), raw[12 * k : 13 * k], raw[13 * k :]
 
 
 def _prefixes(buckets: int, levels: np.ndarray):
-    """Rows of (id, group, text) to packed prefix shingles of each bucket."""
+    """Rows of (id, group, text) to packed prefix shingles of each bucket: token, group, size and place of each."""
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, sketches, entries, size = {}, {}, {}, 0
+        held, size = [[] for _ in range(ORDERS)], 0
 
         def packed():
-            for b in heads:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.array(heads[b], _HEAD).tobytes()], pa.binary()), pa.array([b"".join(sketches.get(b, []))], pa.binary()), *(pa.array([b"".join(e)], pa.binary()) for e in entries[b])], names=["bucket", "heads", "sketches", *(f"e{j}" for j in range(ORDERS))])
+            out: dict[int, list[bytes]] = {}
+            for j, parts in enumerate(held):
+                if parts:
+                    bucket, token, group, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.lexsort((group, bucket))
+                    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
+                    for a, b in zip(edges, edges[1:], strict=False):
+                        at = order[a:b]
+                        out.setdefault(int(bucket[at[0]]), [b""] * ORDERS)[j] = _pack(token[at], group[at], n[at], place[at])
+                parts.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([x[j] for x in out.values()], pa.binary()) for j in range(ORDERS))], names=["bucket", *(f"e{j}" for j in range(ORDERS))])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -264,89 +314,105 @@ def _prefixes(buckets: int, levels: np.ndarray):
                     if not n:
                         continue
                     p = n - -(-3 * n // 4) + 1
+                    sized = np.full(p, np.searchsorted(_EDGES, n, side="right") - 1, np.uint8)
                     level = levels[_counter(s, len(levels))].astype(np.uint64) << np.uint64(58)
-                    found: dict[int, list[bytes]] = {}
-                    frequent, sketch = set(), None
+                    places, groups = (np.arange(p) * PLACES // p).astype(np.uint8), np.full(p, group, np.int64)
                     for j, seed in enumerate(_ORDER_SEEDS):
                         rank = level | (mix(s ^ seed) >> np.uint64(6))
                         first = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
                         first = first[np.argsort(rank[first])][:p]
                         token = mix(s[first] ^ _COUNTER_SEED)
-                        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                        frequent.update(np.unique(bucket[level[first] >= np.uint64(FREQUENT << 58)]).tolist())
-                        entry = np.empty(p, _ENTRY)
-                        entry["token"], entry["place"] = token & np.uint64(0xFFFFFFFF), np.arange(p) * 256 // p
-                        order = np.argsort(bucket, kind="stable")
-                        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-                        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                            for x in range(a, b, 65_535):  # counts have 16 bits
-                                found.setdefault((int(bucket[order[a]]), (x - a) // 65_535), [b""] * ORDERS)[j] = entry[order[x : min(b, x + 65_535)]].tobytes()
-                    for (b, _), each in found.items():
-                        heads.setdefault(b, []).append((group, n, b in frequent, *(len(e) // 5 for e in each)))
-                        if b in frequent:
-                            sketch = sketch or sketch_of(s)
-                            sketches.setdefault(b, []).append(sketch)
-                        lists = entries.setdefault(b, [[] for _ in range(ORDERS)])
-                        for lst, e in zip(lists, each, strict=True):
-                            lst.append(e)
+                        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                        held[j].append((bucket, token.astype(np.uint32), groups, sized, places))
                 size += sum(map(len, texts))
                 if size > 16 << 20:
                     yield from packed()
-                    heads, sketches, entries, size = {}, {}, {}, 0
+                    size = 0
         yield from packed()
 
     return run
 
 
+_PARTS = "part long, ord int, pairs binary"
+#: Pairs of groups by part, or groups that share a hot token.
+_MET = f"{_PARTS}, token long, group long, low long, high long, rest long"
+
+
+def _dealt(pairs: np.ndarray, j: int, parts: int) -> dict[str, pa.Array]:
+    part = ((mix(pairs[:, 0].view(np.uint64)) ^ mix(mix(pairs[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
+    data = [pairs[order[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+    return {"part": pa.array(part[order[edges[:-1]]], pa.int64()), "ord": pa.array([j] * len(data), pa.int32()), "pairs": pa.array(data, pa.binary())}
+
+
 def _pairs(parts: int):
+    names = ("token", "group", "low", "high", "rest")
+
     @thrifty
-    def found(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    def found(bucket: int, tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = next(tables)
-        head = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()])
-        sketches = np.frombuffer(b"".join(table.column("sketches").to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
-        sketch = np.where(head["sketched"] > 0, np.cumsum(head["sketched"], dtype=np.int64) - 1, -1)
         for j in range(ORDERS):
-            entry = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column(f"e{j}").to_pylist()])
-            doc = np.repeat(np.arange(len(head)), head[f"c{j}"])
-            for pairs in _group_pairs(entry["token"], head["group"][doc], head["n"][doc].astype(np.int64), entry["place"].astype(np.int64), sketch[doc], sketches):
-                part = ((mix(pairs[:, 0].view(np.uint64)) ^ mix(mix(pairs[:, 1].view(np.uint64)))) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
-                data = [pairs[order[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(part[order[edges[:-1]]], pa.int64()), "ord": pa.array([j] * len(data), pa.int32()), "pairs": pa.array(data, pa.binary())})
+            met = _met(*(np.concatenate(x) for x in zip(*map(_unpack, table.column(f"e{j}").to_pylist()), strict=True)))
+            edges = np.flatnonzero(np.diff(met[0].astype(np.int64), prepend=-1, append=-1))
+            hot = np.repeat(np.diff(edges) > FREQUENT, np.diff(edges))
+            for pairs in _group_pairs(*(x[~hot] for x in met)):
+                own = _dealt(pairs, j, parts)
+                yield pa.RecordBatch.from_pydict(own | {c: pa.nulls(len(own["part"]), pa.int64()) for c in names})
+            rows = dict(zip(names, (x[hot].astype(np.int64) for x in met), strict=True))
+            rows["token"] |= bucket << 32
+            k = len(rows["token"])
+            yield pa.RecordBatch.from_pydict({"part": pa.nulls(k, pa.int64()), "ord": pa.array([j] * k, pa.int32()), "pairs": pa.nulls(k, pa.binary())} | {c: pa.array(x, pa.int64()) for c, x in rows.items()})
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from found(iter([pa.Table.from_batches(list(batches))]))
+        yield from found(key[0].as_py(), iter([pa.Table.from_batches(list(batches))]))
 
     return run
 
 
-def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of groups (smaller, larger) that share a token with lengths, places and sketches that allow a link, distinct ones of about PAIRS at a time.
+def _hot_pairs(parts: int):
+    """Groups that share a token (ord, token, group, low, high, rest, sketch) to pairs; a group of several documents has no sketch and isn't asked."""
 
-    sketch: the row of sketches of each entry's document, or -1. Where a group has several documents with a token, none is asked."""
-    p = n - -(-3 * n // 4) + 1
-    rest = n - place * p // 256  # shingles from this place on, or a few more
-    # only tokens of two groups or more
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("low")
+        g, low, high, rest = (table.column(c).to_numpy() for c in ("group", "low", "high", "rest"))
+        data = table.column("sketch").to_pylist()
+        has = np.array([x is not None for x in data], bool)
+        sketches = np.array([folded(np.array(x, np.int64), SKETCH_BITS // 64) for x in data if x is not None], np.int64).reshape(-1, SKETCH_BITS // 64)
+        for pairs in _group_pairs(np.zeros(len(g), np.uint32), g, low, high, rest, np.where(has, np.cumsum(has) - 1, -1), sketches):
+            yield pa.RecordBatch.from_pydict(_dealt(pairs, key[0].as_py(), parts))
+
+    return run
+
+
+def _met(token: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens of several groups: token, group, the least and largest set of the group that has it, and the most shingles from there on, by token and least set."""
+    # only tokens of two entries or more
     order = np.argsort(token, kind="stable")
     token = token[order]
     cut = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1, append=-1))
     several = np.repeat(np.diff(cut) > 1, np.diff(cut))
     order, token = order[several], token[several]
     if not len(order):
-        return
+        return token, *(np.zeros(0, np.int64),) * 4
     inner = np.lexsort((group[order], token))
     order, token = order[inner], token[inner]
-    g, size, rest, sketch = group[order], n[order], rest[order], sketch[order]
+    g, low, high, place = group[order], _LOWEST[size[order]], _HIGHEST[size[order]], place[order].astype(np.int64)
+    rest = high - place * (high - -(-3 * high // 4) + 1) // PLACES  # shingles from this place on, or a few more
     new = np.ones(len(order), bool)
     new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
     at = np.flatnonzero(new)
     token, g = token[at], g[at]
-    sketch = np.where(np.diff(at, append=len(new)) == 1, sketch[at], -1)
-    low, high, rest = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(rest, at)
+    low, high, rest = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(rest, at)
     # within each token by size, so that the partners of each lie next to it
     order = np.lexsort((low, token))
-    token, g, low, high, rest, sketch = token[order], g[order], low[order], high[order], rest[order], sketch[order]
+    return token[order], g[order], low[order], high[order], rest[order]
+
+
+def _group_pairs(token: np.ndarray, g: np.ndarray, low: np.ndarray, high: np.ndarray, rest: np.ndarray, sketch: np.ndarray | None = None, sketches: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of groups (smaller, larger) that share a token with lengths, places and sketches that allow a link, distinct ones of about PAIRS at a time.
+
+    Entries come by token and low. sketch: the row of sketches of each one, or -1."""
     last = np.searchsorted(token, token, side="right")
     out, seen = [], 0
     step = 1
@@ -357,9 +423,10 @@ def _group_pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.
         other = alive + step
         fits = (4 * high[alive] >= 3 * low[other]) & (4 * high[other] >= 3 * low[alive])
         fits &= 7 * np.minimum(rest[alive], rest[other]) >= 3 * (low[alive] + low[other])
-        asked = np.flatnonzero(fits & (sketch[alive] >= 0) & (sketch[other] >= 0))
-        x, y = alive[asked], other[asked]
-        fits[asked] = may_link(sketches[sketch[x]], sketches[sketch[y]], low[x] + low[y])
+        if sketch is not None:
+            asked = np.flatnonzero(fits & (sketch[alive] >= 0) & (sketch[other] >= 0))
+            x, y = alive[asked], other[asked]
+            fits[asked] = may_link(sketches[sketch[x]], sketches[sketch[y]], high[x] + high[y])
         pair = np.stack([g[alive[fits]], g[other[fits]]], axis=1)
         if len(pair):
             pair.sort(axis=1)
@@ -400,7 +467,7 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (total >> 10).bit_length()))
     salts = -(-total // COUNTED_BYTES) or 1
     all_rows = stored(texts.mapInArrow(_features(counters, salts), _FEATURES), "features")
-    features = all_rows.where("chunk IS NULL").select("id", "n", "s1", "s2", "keys")
+    features = all_rows.where("chunk IS NULL").select("id", "n", "s1", "s2", "keys", "sketch")
     levels = _levels(all_rows.where("chunk IS NOT NULL").select("chunk", "salt", "counts"), counters, salts)
 
     nodes = features.where("id IS NOT NULL AND n > 0")
@@ -430,9 +497,18 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     told = some.join(moved.withColumn("moved", F.lit(True)), "id", "left").where("moved IS NULL OR group IS NOT NULL").select("id", F.coalesce("group", "id").alias("group"), "text")
     prefixed = alone.select("id", F.col("id").alias("group"), "text").unionByName(told)
     buckets = max(1, -(-total // BUCKET_BYTES))
-    packed = prefixed.mapInArrow(_prefixes(buckets, levels), "bucket long, heads binary, sketches binary, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
-    pairs = packed.groupBy("bucket").applyInArrow(_pairs(buckets), "part long, ord int, pairs binary").groupBy("part").applyInArrow(_intersect, "g long, h long")
-    pairs = stored(pairs, "pairs")
+    packed = prefixed.mapInArrow(_prefixes(buckets, levels), "bucket long, " + ", ".join(f"e{j} binary" for j in range(ORDERS)))
+    met = stored(packed.groupBy("bucket").applyInArrow(_pairs(buckets), _MET), "met")
+    # sketches of the groups that are one document
+    families = labelled.where("id != group").select("group").distinct()
+    single = nodes.select(F.col("id").alias("group"), "n", "sketch").join(families, "group", "left_anti")
+    exact = lambda c: F.coalesce("n", c).alias(c)
+    hot = met.where("token IS NOT NULL")
+    hot = hot.join(_of(single, hot.select(F.col("group").alias("id"))), "group", "left").select("ord", "token", "group", exact("low"), exact("high"), "rest", "sketch")
+    more_pairs = hot.groupBy("ord", "token").applyInArrow(_hot_pairs(buckets), _PARTS)
+    pairs = met.where("pairs IS NOT NULL").select("part", "ord", "pairs").unionByName(more_pairs)
+    pairs = stored(pairs.groupBy("part").applyInArrow(_intersect, "g long, h long"), "candidates")
+    pairs = stored(_sketched(pairs, single), "pairs")
 
     more_links = _links(texts, _late_cells(pairs, labelled))
     final = components(first_links.unionByName(more_links))
@@ -442,6 +518,35 @@ def groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone_id.alias("component_id"))
 
 
+def _of(single: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of single whose group may be one of the ids."""
+    return _passing(single.withColumnRenamed("group", "id"), _filter(ids))[0].withColumnRenamed("id", "group")
+
+
+def _sketched(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """Pairs of groups without those whose sketches allow no link."""
+    single = _of(single, pairs.select(F.explode(F.array("g", "h")).alias("id")))
+    of = lambda side: single.select(F.col("group").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
+    known = pairs.join(of("g"), "g", "left").join(of("h"), "h", "left")
+    return known.select("g", "h", "g_n", "h_n", "g_sketch", "h_sketch").mapInArrow(_near, "g long, h long")
+
+
+@thrifty
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, h, g_n, h_n, g_sketch, h_sketch) whose sizes and sketches allow a link, or aren't known."""
+    for batch in batches:
+        near = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+            if fits := n is None or m is None or 3 * max(n, m) <= 4 * min(n, m):
+                if n is not None and m is not None:
+                    words = min(len(x), len(y))
+                    both = (folded(np.array(z, np.int64), words).reshape(1, -1) for z in (x, y))
+                    fits = bool(may_link(*both, np.array([n + m]))[0])
+            near.append(fits)
+        kept = batch.filter(pa.array(near, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["g", "h"])
+
+
 def _weight(n: Column) -> Column:
     return F.greatest(F.lit(1.0), n / UNIT)
 

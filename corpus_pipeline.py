@@ -43,9 +43,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = stored(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
     key = F.col(c["doc_id"])
     order = numbered.select("row", F.struct(key.isNull().alias("unnamed"), key.alias("doc_id"), F.xxhash64(*c.values()).alias("hash"), "row").alias("order"))
-    groups = jaccard.groups(numbered, doc_id="row", text=c["text"]).select(F.col("doc_id").alias("row"), "component_id")
-    kept = groups.join(order, "row").groupBy("component_id").agg(F.min("order")["row"].alias("row"))
-    return numbered.join(kept, "row", "left_semi").select(*c.values()).toDF(*docs.columns)
+    groups = stored(jaccard.groups(numbered, doc_id="row", text=c["text"]).select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    kept = groups.join(order, "row").groupBy("component_id").agg(F.min("order")["row"].alias("kept"), F.count("*").alias("rows")).where("rows > 1")
+    dropped = stored(groups.join(kept, "component_id").where("row != kept").select(F.col("row").alias("id")), "dropped")
+    return jaccard.without(numbered.withColumnRenamed("row", "id"), dropped).select(*c.values()).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,30 @@ def test_sketches_lose_no_link(spark, monkeypatch):
     assert got == brute.groups(rows)
 
 
+def test_an_entry_of_a_prefix_costs_as_much_in_many_buckets():
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(9999)}" for _ in range(300)).encode() for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64())] * 2 + [pa.array(texts, pa.binary())], names=["id", "group", "text"])
+    size = lambda buckets: sum(len(x) for out in jaccard._prefixes(buckets, np.full(1 << 12, 6, np.uint8))(iter([batch])) for column in out.columns[1:] for x in column.to_pylist())
+    assert size(1) == size(1_000)
+
+
+def test_sketches_and_sizes_of_entries_bound_what_they_stand_for():
+    r = np.random.default_rng(4)
+    for n in (1, 7, 900, 5_000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.concatenate([a[n // 9 :], r.integers(0, 1 << 63, n // 20).astype(np.uint64)])
+        words = jaccard.SKETCH_BITS // 64
+        for x, y in ((a, b), (b, a)):
+            sketches = [jaccard.folded(jaccard.sketch_of(z), words).reshape(1, -1) for z in (x, y)]
+            assert jaccard.may_link(*sketches, np.array([7 * len(np.setxor1d(x, y))]))[0]
+    sizes = np.concatenate([np.arange(1, 3_000), [1 << 20, (1 << 31) - 1]])
+    at = np.searchsorted(jaccard._EDGES, sizes, side="right") - 1
+    assert (at < 256).all() and (jaccard._LOWEST[at] <= sizes).all() and (sizes <= jaccard._HIGHEST[at]).all()
+    packed = jaccard._pack(*(x := (np.array([5, 9, 7], np.uint32), np.array([-(1 << 62), 3, 1 << 62]), np.array([1, 2, 3], np.uint8), np.array([4, 5, 6], np.uint8))))
+    assert all((y == z).all() for y, z in zip(jaccard._unpack(packed), x, strict=True))
+
+
 def test_cells_are_bounded_by_what_they_hold(spark):
     text = " ".join(f"w{i}" for i in range(60_000))
     rows = [(i, text + f" {i}" * (i + 1)) for i in range(40)]
